@@ -188,3 +188,8 @@ def age_seconds(ts, as_of) -> Column:
 
 def whole_days(ts, as_of) -> Column:
     return F.floor(age_seconds(ts, as_of) / 86400)
+
+
+def tagged(kind: str, arr) -> Column:
+    """Array of values -> array of (kind, value), for a single ``inline`` over several lists."""
+    return F.transform(col(arr), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))

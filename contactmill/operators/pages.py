@@ -209,7 +209,7 @@ def request_log_breakdown(log: DataFrame) -> DataFrame:
     """Requests per status and per method-like event status, long form."""
     return (log.select("scraper", F.inline(F.array(
         F.struct(F.lit("http_status").alias("kind"), F.col("http_status").cast("string").alias("value")),
-        F.struct(F.lit("status"), F.col("status"))))).groupBy("scraper", "kind", "value").agg(F.count("*").alias("n")))
+        F.struct(F.lit("status").alias("kind"), F.col("status").alias("value"))))).groupBy("scraper", "kind", "value").agg(F.count("*").alias("n")))
 
 
 def page_render_class(pages: DataFrame) -> DataFrame:

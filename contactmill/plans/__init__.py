@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["urls", "pages"]
+GROUPS = ["urls", "pages", "contacts"]
 
 
 def load_all():

@@ -167,9 +167,9 @@ def insert_if_absent(t):
     return u.join(u.filter("id % 7 = 0").select("url"), "url", "left_anti").select("id", "url")
 
 
-@query("urls_by_query", twin("SELECT id, url FROM queue WHERE search_query = lower('Group Travel INDIA')", "fx_urls", queue=QUEUE))
+@query("urls_by_query", twin("SELECT id, url FROM queue WHERE search_query = lower('Group Travel NATION_3')", "fx_urls", queue=QUEUE))
 def urls_by_query(t):
-    return U.urls_by(queue(t), search_query="Group Travel INDIA").select("id", "url")
+    return U.urls_by(queue(t), search_query="Group Travel NATION_3").select("id", "url")
 
 
 @query("urls_by_type", twin("SELECT id, url FROM queue WHERE url_type = 'linkedin'", "fx_urls", queue=QUEUE))
@@ -177,9 +177,9 @@ def urls_by_type(t):
     return U.urls_by(queue(t), url_type="linkedin").select("id", "url")
 
 
-@query("urls_by_query_and_type", twin("SELECT count(*) AS n FROM queue WHERE search_query = 'group travel india' AND url_type = 'instagram'", "fx_urls", queue=QUEUE))
+@query("urls_by_query_and_type", twin("SELECT count(*) AS n FROM queue WHERE search_query = 'group travel nation_3' AND url_type = 'instagram'", "fx_urls", queue=QUEUE))
 def urls_by_query_and_type(t):
-    return U.urls_by(queue(t), "group travel india", "instagram").agg(F.count("*").alias("n"))
+    return U.urls_by(queue(t), "group travel nation_3", "instagram").agg(F.count("*").alias("n"))
 
 
 @query("urls_by_type_and_icp", twin("SELECT id, url FROM queue WHERE url_type = 'youtube' AND icp_identifier = 'icp_2'", "fx_urls", queue=QUEUE))
