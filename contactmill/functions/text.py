@@ -55,9 +55,21 @@ def hits(c, words) -> Column:
 
 
 def n_hits(c, words) -> Column:
-    """How many different words the text contains."""
-    parts = [F.when(col(c).contains(w), 1).otherwise(0) for w in words]
-    return reduce(lambda a, b: a + b, parts)
+    """How many different words the text contains (a fold over a constant array, so the plan stays small)."""
+    return F.size(hits(c, words))
+
+
+def weighted_hits(c, weights, cap: int | None = None) -> Column:
+    """Sum of weight times occurrences (each word counted at most ``cap`` times); ``weights`` are (word, weight)."""
+    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(v).alias("weight")) for w, v in weights])
+    c = col(c)
+
+    def add(total, row):
+        seen = F.try_divide(F.length(c) - F.length(F.replace(c, row["word"], F.lit(""))), F.length(row["word"])).cast("int")
+        seen = F.least(seen, F.lit(cap)) if cap else seen
+        return F.when(F.contains(c, row["word"]), total + seen * row["weight"]).otherwise(total)
+
+    return F.aggregate(table, F.lit(0), add)
 
 
 def first_rule(c, rules, default) -> Column:

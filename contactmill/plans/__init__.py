@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["urls", "pages", "contacts"]
+GROUPS = ["urls", "pages", "contacts", "business"]
 
 
 def load_all():
