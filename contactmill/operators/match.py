@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contactmill.functions import text as X
 
@@ -26,3 +32,274 @@ def similar_url_hint(probe: DataFrame, cache: DataFrame) -> DataFrame:
     best = probes.join(newest, ["site", "prefix"]).groupBy("id").agg(
         F.max_by("hit", F.struct(F.col("hit.ts"), F.expr("-crc32(hit.url)"))).alias("hit"))
     return best.select("id", "hit.classification", (F.col("hit.confidence") * 0.9).alias("confidence"))
+
+
+# --- contact keys ---------------------------------------------------------------------------------------------
+
+def email_key(c) -> Column:
+    return F.when(~X.blank(c), F.concat(F.lit("e:"), F.lower(X.strip(c))))
+
+
+def phone_key(c) -> Column:
+    return F.when(X.digits(c) != "", F.concat(F.lit("p:"), X.digits(c)))
+
+
+def raw_phone_key(c) -> Column:
+    return F.when(~X.blank(c), F.concat(F.lit("p:"), X.strip(c)))
+
+
+def contact_keys(emails, phones, phone=raw_phone_key) -> Column:
+    """Distinct keys of the contacts of one lead."""
+    arr = lambda a: F.coalesce(X.col(a), F.array().cast("array<string>"))
+    return F.array_distinct(F.array_compact(F.concat(F.transform(arr(emails), email_key), F.transform(arr(phones), phone))))
+
+
+def subset_keys(*fields) -> Column:
+    """Keys of every non-empty subset of the filled fields: what a partially filled row could ask for."""
+    low = [F.lower(X.strip(F.coalesce(X.col(f), F.lit("")))) for f in fields]
+    keys = []
+    for mask in range(1, 2 ** len(fields)):
+        used = [low[i] for i in range(len(fields)) if mask >> i & 1]
+        keys.append(F.when(reduce(and_, [u != "" for u in used]), F.concat_ws("\u0001", F.lit(f"f{mask}:"), *used)))
+    return F.array_compact(F.array(*keys))
+
+
+def full_key(*fields) -> Column:
+    """Key over exactly the filled fields (null when none is filled)."""
+    low = [F.lower(X.strip(F.coalesce(X.col(f), F.lit("")))) for f in fields]
+    mask = reduce(lambda a, b: a + b, [F.when(c != "", 2 ** i).otherwise(0) for i, c in enumerate(low)])
+    return F.when(mask > 0, F.concat_ws("\u0001", F.concat(F.lit("f"), mask.cast("string"), F.lit(":")),
+                                        *[F.nullif(c, F.lit("")) for c in low]))
+
+
+def _known(rows: DataFrame, stored_keys: DataFrame) -> DataFrame:
+    """Ids of rows that share a key with the store. The stored keys are reduced to one row each before the join; a key
+    that very many new rows hold is a skewed streamed side of a semi join, which adaptive execution splits."""
+    return (rows.select("id", F.explode("keys").alias("key"))
+            .join(stored_keys.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi")
+            .select("id").distinct())
+
+
+def dup_unified(leads: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ids of leads that the store already has: same email or phone; a lead without contacts matches on those of
+    name, URL, company and type that it has, whatever contacts the stored lead holds."""
+    fields = ("full_name", "url", "company_name", "content_type")
+    c = contact_keys("emails", "phones")
+    new = leads.select("id", F.when(F.size(c) > 0, c).otherwise(F.array_compact(F.array(full_key(*fields)))).alias("keys"))
+    old = stored.select(F.concat(contact_keys("emails", "phones"), subset_keys(*fields)).alias("keys"))
+    return _known(new, old)
+
+
+def first_holders(rows: DataFrame, stored_keys: DataFrame | None = None) -> DataFrame:
+    """``rows(id, ord, keys)`` -> ids that hold every one of their keys first, in arrival order and after the store.
+
+    Each key is reduced to its first holder (partial aggregation before the shuffle), then holders are counted per
+    id: no join on the key, so a key shared by a third of all rows costs one row per map task.
+    """
+    held = rows.select(F.explode("keys").alias("key"), "ord", "id")
+    if stored_keys is not None:
+        blocked = stored_keys.select(F.explode("keys").alias("key")).select(
+            "key", F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"))
+        held = held.unionByName(blocked)
+    # Nulls sort first, so a stored key wins over every arrival.
+    first = held.groupBy("key").agg(F.min(F.struct("ord", "id")).alias("h")).select(F.col("h.id").alias("id"))
+    owned = first.filter("id is not null").groupBy("id").agg(F.count("*").alias("owned"))
+    kept = rows.join(owned, "id", "left").filter(F.coalesce(F.col("owned"), F.lit(0)) == F.size("keys"))
+    return kept.select("id")
+
+
+def dup_crawl(leads: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ids of the batch that are new: no email or phone of an earlier row or of the store; rows without contacts are
+    compared with other rows without contacts on name, URL, company and type."""
+    c = contact_keys("emails", "phones")
+    own = F.array_compact(F.array(full_key("full_name", "url", "company_name", "content_type")))
+    keys = F.when(F.size(c) > 0, c).otherwise(own)
+    return first_holders(leads.select("id", "ord", keys.alias("keys")), stored.select(keys.alias("keys")))
+
+
+def web_keys(emails, phones, websites, name) -> Column:
+    """Any email, any phone by digits, or business name with a website."""
+    n = F.lower(X.strip(F.coalesce(X.col(name), F.lit(""))))
+    sites = F.transform(X.clean_array(websites), lambda w: F.when(n != "", F.concat(F.lit("w:"), n, F.lit("\u0001"), X.strip(w))))
+    return F.array_distinct(F.array_compact(F.concat(contact_keys(emails, phones, phone_key), sites)))
+
+
+def dup_web(leads: DataFrame, stored: DataFrame) -> DataFrame:
+    keys = web_keys("emails", "phones", "websites", "business_name").alias("keys")
+    return _known(leads.select("id", keys), stored.select(keys))
+
+
+def dup_log(leads: DataFrame, stored: DataFrame, merged_at: Column) -> DataFrame:
+    """For each duplicate the first stored lead it duplicates."""
+    keys = web_keys("emails", "phones", "websites", "business_name")
+    first = (stored.select(F.explode(keys).alias("key"), "id", "url").groupBy("key")
+             .agg(F.min(F.struct("id", "url")).alias("o")))
+    return (leads.select("id", "url", F.explode(keys).alias("key")).join(first, "key")
+            .groupBy("id", "url").agg(F.min("o").alias("o"))
+            .select(F.col("o.url").alias("original_url"), F.col("url").alias("duplicate_url"), merged_at.alias("merged_at")))
+
+
+def by_ids(leads: DataFrame, ids: DataFrame, status: str | None = None) -> DataFrame:
+    out = leads.join(ids.select("id").distinct(), "id", "left_semi")
+    return out if status is None else out.filter(F.col("status") == status)
+
+
+def leads_missing_contact(leads: DataFrame) -> DataFrame:
+    empty = lambda c: F.coalesce(F.size(c) == 0, F.lit(True))
+    return leads.filter(empty("emails") | empty("phones"))
+
+
+def apply_contacts(leads: DataFrame, found: DataFrame) -> DataFrame:
+    """``leads(id, contact{...})`` with the emails and phones that were found; other contact fields stay."""
+    f = found.select("id", F.col("emails").alias("_e"), F.col("phone_numbers").alias("_p"))
+    pick = lambda new, old: F.when(F.size(new) > 0, F.col(new)).otherwise(F.col(old))
+    return (leads.join(f, "id", "left")
+            .withColumn("contact", F.col("contact").withField("emails", pick("_e", "contact.emails"))
+                        .withField("phone_numbers", pick("_p", "contact.phone_numbers"))).drop("_e", "_p"))
+
+
+def post_to_profile(posts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """First profile row of each post author; missing contact fields come from the author's first post that has them."""
+    from contactmill.operators.urls import first_per_key
+    per_user = posts.filter(X.filled("username")).groupBy("username").agg(*[
+        F.min_by(F.when(X.filled(c), F.col(c)), F.when(X.filled(c), F.col("id"))).alias("_" + c)
+        for c in ("business_email", "business_phone_number")])
+    own = first_per_key(profiles, ["username"], "id")
+    fill = lambda c: F.coalesce(X.null_if_blank(c), F.col("_" + c)).alias(c)
+    return per_user.join(own, "username").select("username", "id", fill("business_email"), fill("business_phone_number"))
+
+
+# --- entities -------------------------------------------------------------------------------------------------
+
+def components(members: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Connected components of ``members(id, key)``: ids that share a key belong together, transitively.
+
+    Smallest-id labels travel from ids to keys and back, with pointer jumping, so the number of rounds grows with the
+    logarithm of the longest chain.  Keys are reduced by partial aggregation; keys with one holder are dropped first.
+    Every round ends in ``checkpoint()``, so a lost executor repeats one round at most.  Ids without a shared key come
+    back as their own component.
+    """
+    from contactmill.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(members.sparkSession)
+    linked = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # A key held by a third of all rows is a skewed streamed side here and below: adaptive execution splits it.
+    state = members.join(linked, "key").withColumn("label", F.col("id")).checkpoint()
+    for _ in range(max_rounds):
+        per_key = state.groupBy("key").agg(F.min("label").alias("key_label"))
+        per_id = (state.join(per_key, "key").groupBy("id")
+                  .agg(F.min(F.least("key_label", "label")).alias("near"), F.min("label").alias("old")))
+        hop = per_id.select(F.col("id").alias("near"), F.col("near").alias("far"))
+        labels = (per_id.join(hop, "near", "left")
+                  .select("id", "old", F.least("near", F.coalesce("far", "near")).alias("label")).checkpoint())
+        moved = labels.filter("label <> old").limit(1).count()
+        state = state.drop("label").join(labels.select("id", "label"), "id")
+        if not moved:
+            break
+        state = state.checkpoint()
+    else:
+        raise RuntimeError("components did not settle; raise max_rounds")
+    found = labels.select("id", F.col("label").alias("component"))
+    return (members.select("id").distinct().join(found, "id", "left")
+            .select("id", F.coalesce("component", "id").alias("component")))
+
+
+def dup_richest(rows: DataFrame, richness: Column) -> DataFrame:
+    """``rows(id, ord, email, phone, ...)`` -> the richest row of every group linked by email or phone (ties: first
+    arrival); rows without contacts stay."""
+    keys = F.array_compact(F.array(F.when(~X.blank("email"), F.concat(F.lit("e:"), X.strip("email"))),
+                                   F.when(~X.blank("phone"), F.concat(F.lit("p:"), X.strip("phone")))))
+    scored = rows.withColumn("_rich", richness)
+    comp = components(scored.select("id", F.explode(keys).alias("key")))
+    grouped = scored.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    best = grouped.groupBy("component").agg(F.min(F.struct((-F.col("_rich")).alias("r"), "ord", "id")).alias("b"), F.count("*").alias("group_size"))
+    return best.select(F.col("b.id").alias("id"), "component", "group_size").join(rows, "id")
+
+
+# --- fuzzy names ----------------------------------------------------------------------------------------------
+
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & where.get(ch, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - bin(row).count("1")
+
+
+@F.pandas_udf(T.IntegerType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Insert/delete similarity in whole percent: 2 * LCS / (len a + len b)."""
+    return pd.Series([round(200 * _lcs(x, y) / (len(x) + len(y))) if x or y else 0 for x, y in zip(a, b)], dtype="int32")
+
+
+def similar_names(names: DataFrame, percent: int, signature: int = 2) -> DataFrame:
+    """``names(name)``, distinct -> (a, b, percent) for every pair a < b at or above ``percent``; none is missed.
+
+    Two names this similar share at least ``need`` two-letter grams (each deletion breaks at most two grams of a name,
+    each insertion one).  Sorted by rarity, the first ``grams - need + signature`` grams of both then have
+    ``signature`` grams in common, so the equi-join on combinations of that many rare grams finds every such pair.
+    A larger ``signature`` makes the join keys rarer, at the price of more keys per name.
+    """
+    t = (percent - 0.5) / 100.0
+    shortest = lambda n: F.ceil(n * (t / (2 - t)) - 1e-9)
+    need_of = lambda n: F.greatest(F.ceil((n + shortest(n)) * (1.5 * t - 1) - 1 - 1e-9), F.lit(1)).cast("int")
+    base = names.select("name", F.length("name").alias("n")).filter("n >= 3")
+    spans = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("name"), i, F.lit(2)))
+    # The k-th repeat of a gram inside a name is a gram of its own.
+    grams = (base.select("name", "n", F.posexplode(spans).alias("i", "g"))
+             .groupBy("name", "n", "g").agg(F.count("*").alias("times"))
+             .select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")),
+                                                        lambda k: F.concat(F.col("g"), k.cast("string")))).alias("g")))
+    rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
+    ordered = (grams.join(rarity, "g").groupBy("name", "n")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("gs")))
+    size = F.least(F.lit(signature), need_of(F.col("n")))
+    low = F.least(size, need_of(shortest(F.col("n"))))
+    parts = ordered.withColumn("levels", F.sequence(low, size)).withColumn("level", F.explode("levels"))
+    prefix = F.slice("gs", F.lit(1), F.greatest(F.size("gs") - need_of(F.col("n")) + F.col("level"), F.col("level")))
+    parts = parts.withColumn("p", F.array_sort(prefix))
+    sigs = F.when(F.col("level") == 1, F.col("p"))
+    pairs_of = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(
+        F.slice(p, i + 2, F.size(p)), lambda y: F.concat_ws("\u0001", x, y))))
+    sigs = sigs.when(F.col("level") == 2, pairs_of(F.col("p")))
+    triples = F.flatten(F.transform("p", lambda x, i: F.transform(
+        pairs_of(F.slice("p", i + 2, F.size("p"))), lambda y: F.concat_ws("\u0001", x, y))))
+    keyed = parts.select("name", "n", F.explode(sigs.otherwise(triples)).alias("sig"))
+    a = keyed.select("sig", F.col("name").alias("a"), F.col("n").alias("na"))
+    b = keyed.select("sig", F.col("name").alias("b"), F.col("n").alias("nb"))
+    close = F.least("na", "nb") * 2.0 >= (F.col("na") + F.col("nb")) * t - 1e-9
+    cand = a.join(b, "sig").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    # Edit distance never exceeds the insert/delete distance, so this JVM test is safe and leaves little to the UDF.
+    room = F.floor((F.length("a") + F.length("b")) * (1 - t) + 1e-9).cast("int")
+    near = cand.filter(F.levenshtein("a", "b") <= room)
+    # Non-deterministic only so that the filter is not pushed below the projection, which would run the UDF twice.
+    return near.withColumn("percent", ratio.asNondeterministic()("a", "b")).filter(F.col("percent") >= percent)
+
+
+def similar_company_pairs(leads: DataFrame, percent: int = 85) -> DataFrame:
+    """Pairs of distinct lower-cased company names; equal names are one entry, so they never form pairs."""
+    names = leads.select(F.lower(X.strip("company_name")).alias("name")).filter(F.length("name") >= 3).distinct()
+    return similar_names(names, percent)
+
+
+ADDRESS_SHORT = [("street", "st"), ("avenue", "ave"), ("road", "rd"), ("boulevard", "blvd"), ("lane", "ln"),
+                 ("drive", "dr"), ("court", "ct"), ("place", "pl"), ("apartment", "apt")]  # fixed values
+
+
+def normal_address(c) -> Column:
+    out = F.regexp_replace(F.lower(X.strip(c)), r"\s+", " ")
+    for long, short in ADDRESS_SHORT:
+        out = F.regexp_replace(out, rf"\b{long}\b", short)
+    return F.regexp_replace(out, r"[^\p{L}\p{N}_\s-]", "")
+
+
+def similar_address_pairs(leads: DataFrame, percent: int = 80) -> DataFrame:
+    """Pairs of distinct normalised addresses; two different house numbers never match."""
+    names = leads.select(normal_address("address").alias("name")).filter(F.col("name") != "").distinct()
+    number = lambda c: X.extract(c, r"^(\d+)")
+    return similar_names(names, percent).filter(
+        F.coalesce(number("a") == number("b"), F.lit(True)))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["urls", "pages", "contacts", "business"]
+GROUPS = ["urls", "pages", "contacts", "business", "match"]
 
 
 def load_all():
