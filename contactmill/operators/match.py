@@ -231,12 +231,16 @@ def _lcs(a: str, b: str) -> int:
 
 
 @F.pandas_udf(T.IntegerType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insert/delete similarity in whole percent: 2 * LCS / (len a + len b)."""
     return pd.Series([round(200 * _lcs(x, y) / (len(x) + len(y))) if x or y else 0 for x, y in zip(a, b)], dtype="int32")
 
 
-def similar_names(names: DataFrame, percent: int, signature: int = 2) -> DataFrame:
+# Non-deterministic only so that a filter on the result is not pushed below the projection (it would run twice).
+ratio = _ratio.asNondeterministic()
+
+
+def similar_names(names: DataFrame, percent: int, signature: int = 1) -> DataFrame:
     """``names(name)``, distinct -> (a, b, percent) for every pair a < b at or above ``percent``; none is missed.
 
     Two names this similar share at least ``need`` two-letter grams (each deletion breaks at most two grams of a name,
@@ -247,6 +251,8 @@ def similar_names(names: DataFrame, percent: int, signature: int = 2) -> DataFra
     t = (percent - 0.5) / 100.0
     shortest = lambda n: F.ceil(n * (t / (2 - t)) - 1e-9)
     need_of = lambda n: F.greatest(F.ceil((n + shortest(n)) * (1.5 * t - 1) - 1 - 1e-9), F.lit(1)).cast("int")
+    from contactmill.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(names.sparkSession)
     base = names.select("name", F.length("name").alias("n")).filter("n >= 3")
     spans = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("name"), i, F.lit(2)))
     # The k-th repeat of a gram inside a name is a gram of its own.
@@ -255,8 +261,12 @@ def similar_names(names: DataFrame, percent: int, signature: int = 2) -> DataFra
              .select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")),
                                                         lambda k: F.concat(F.col("g"), k.cast("string")))).alias("g")))
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
+    # One row per distinct name, used on both sides of the join below: written once. The rows are short but much work
+    # follows from each, so the partition number is set by hand (adaptive execution would merge them by size).
+    n_parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (grams.join(rarity, "g").groupBy("name", "n")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("gs")))
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("gs"))
+               .repartition(n_parts, "name").checkpoint())
     size = F.least(F.lit(signature), need_of(F.col("n")))
     low = F.least(size, need_of(shortest(F.col("n"))))
     parts = ordered.withColumn("levels", F.sequence(low, size)).withColumn("level", F.explode("levels"))
@@ -268,16 +278,19 @@ def similar_names(names: DataFrame, percent: int, signature: int = 2) -> DataFra
     sigs = sigs.when(F.col("level") == 2, pairs_of(F.col("p")))
     triples = F.flatten(F.transform("p", lambda x, i: F.transform(
         pairs_of(F.slice("p", i + 2, F.size("p"))), lambda y: F.concat_ws("\u0001", x, y))))
-    keyed = parts.select("name", "n", F.explode(sigs.otherwise(triples)).alias("sig"))
-    a = keyed.select("sig", F.col("name").alias("a"), F.col("n").alias("na"))
-    b = keyed.select("sig", F.col("name").alias("b"), F.col("n").alias("nb"))
-    close = F.least("na", "nb") * 2.0 >= (F.col("na") + F.col("nb")) * t - 1e-9
-    cand = a.join(b, "sig").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    keyed = parts.select("name", "n", "level", size.alias("size"), "p", F.explode(sigs.otherwise(triples)).alias("sig"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    close = F.least("a.n", "b.n") * 2.0 >= (F.col("a.n") + F.col("b.n")) * t - 1e-9
+    # A pair meets on many signatures; it is kept on the first one only, so no distinct shuffle follows.
+    first = F.array_join(F.slice(F.array_intersect("a.p", "b.p"), F.lit(1), F.col("a.level")), "\u0001")
+    once = (F.col("a.level") == F.least("a.size", "b.size")) & (F.col("a.sig") == first)
     # Edit distance never exceeds the insert/delete distance, so this JVM test is safe and leaves little to the UDF.
-    room = F.floor((F.length("a") + F.length("b")) * (1 - t) + 1e-9).cast("int")
-    near = cand.filter(F.levenshtein("a", "b") <= room)
-    # Non-deterministic only so that the filter is not pushed below the projection, which would run the UDF twice.
-    return near.withColumn("percent", ratio.asNondeterministic()("a", "b")).filter(F.col("percent") >= percent)
+    room = F.floor((F.col("a.n") + F.col("b.n")) * (1 - t) + 1e-9).cast("int")
+    near = (a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.level") == F.col("b.level"))
+                   & (F.col("a.name") < F.col("b.name")) & close & once)
+            .filter(F.levenshtein("a.name", "b.name") <= room)
+            .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
+    return near.withColumn("percent", ratio("a", "b")).filter(F.col("percent") >= percent)
 
 
 def similar_company_pairs(leads: DataFrame, percent: int = 85) -> DataFrame:
