@@ -169,7 +169,7 @@ def epoch_ts(c) -> Column:
 def short_count_trimmed(c) -> Column:
     """16000 -> 16K, 1234567 -> 1.2M; a trailing .0 is removed."""
     n = col(c).try_cast("bigint")
-    one = lambda d: F.replace(F.format_number(n / d, "0.0"), F.lit(".0"), F.lit(""))
+    one = lambda d: F.replace(F.format_string("%.1f", n / d), F.lit(".0"), F.lit(""))
     return (F.when(n >= 1_000_000, F.concat(one(1e6), F.lit("M")))
             .when(n >= 1_000, F.concat(one(1e3), F.lit("K")))
             .when(n.isNotNull(), n.cast("string"))
@@ -179,7 +179,7 @@ def short_count_trimmed(c) -> Column:
 def short_count(c) -> Column:
     """1234 -> 1.2K, with B for billions; text that is already shortened passes through."""
     n = F.regexp_replace(col(c), ",", "").try_cast("bigint")
-    one = lambda d: F.format_number(n / d, "0.0")
+    one = lambda d: F.format_string("%.1f", n / d)
     return (F.when(~filled(c), None)
             .when(col(c).rlike(r"\d+[KMB]"), col(c))
             .when(n >= 1_000_000_000, F.concat(one(1e9), F.lit("B")))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["urls", "pages", "contacts", "business", "match"]
+GROUPS = ["urls", "pages", "contacts", "business", "match", "unify", "reports"]
 
 
 def load_all():
