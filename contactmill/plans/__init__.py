@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["urls", "pages", "contacts", "business", "match", "unify", "reports"]
+GROUPS = ["urls", "pages", "contacts", "business", "match", "unify", "reports", "jsonld"]
 
 
 def load_all():
