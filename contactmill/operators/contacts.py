@@ -13,6 +13,7 @@ from contactmill.functions import contact_rules as R
 from contactmill.functions import text as X
 
 EMPTY = "array<string>"
+DIGIT_RUN = r"\d[-.\s()]*\d[-.\s()]*\d"  # every phone pattern needs at least this
 PHONE_KIND = "array<struct<value:string,clean_value:string,confidence:double,source:string,context:string>>"
 
 
@@ -108,7 +109,7 @@ def phones(text, html=None) -> Column:
 
     lists = [F.transform(F.filter(finds(text, p), lambda f: phone_plausible(X.phone_key(f["value"]))
                                   & ~phone_false_positive(f["value"], around(text, f, 100))), candidate) for p in R.PHONE_PATTERNS]
-    has_digits = text.rlike(r"\d[-.\s()]*\d[-.\s()]*\d")
+    has_digits = text.rlike(DIGIT_RUN)
     found = F.when(has_digits, F.concat(*lists).cast(PHONE_KIND)).otherwise(F.array().cast(PHONE_KIND))
     kept = drop_near_duplicates(found, F.transform(tel, lambda t: t["clean_value"]))
     return by_confidence(F.concat(tel, kept))
