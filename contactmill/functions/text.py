@@ -41,35 +41,47 @@ def any_of(conditions) -> Column:
     return reduce(or_, conditions)
 
 
+def let(value, body) -> Column:
+    """``body(v)`` with ``value`` computed once. A higher-order function evaluates everything in its lambda again for
+    every element, so a costly input (a lower-cased text, a stripped page) has to be bound to a variable first."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
+def word_array(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
 def has_any(c, words) -> Column:
-    """True when the text contains at least one of the words (long lists become one alternation, which keeps the
-    generated code of a rule chain small)."""
+    """True when the text contains at least one of the words. Plain substring search: much faster on long texts than an
+    alternation pattern, and a constant array keeps the generated code of a rule chain small."""
     words = list(words)
-    test = col(c).rlike(words_regex(words)) if len(words) > 3 else any_of([col(c).contains(w) for w in words])
+    if len(words) <= 2:
+        test = any_of([col(c).contains(w) for w in words])
+    else:
+        test = let(c, lambda t: F.exists(word_array(words), lambda w: F.contains(t, w)))
     return F.coalesce(test, F.lit(False))
 
 
 def hits(c, words) -> Column:
     """The words found in the text, in the order of the word list."""
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(col(c), w))
+    return let(c, lambda t: F.filter(word_array(words), lambda w: F.contains(t, w)))
 
 
 def n_hits(c, words) -> Column:
-    """How many different words the text contains (a fold over a constant array, so the plan stays small)."""
+    """How many different words the text contains."""
     return F.size(hits(c, words))
 
 
 def weighted_hits(c, weights, cap: int | None = None) -> Column:
     """Sum of weight times occurrences (each word counted at most ``cap`` times); ``weights`` are (word, weight)."""
     table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(v).alias("weight")) for w, v in weights])
-    c = col(c)
 
-    def add(total, row):
-        seen = F.try_divide(F.length(c) - F.length(F.replace(c, row["word"], F.lit(""))), F.length(row["word"])).cast("int")
+    def add(t, total, row):
+        seen = F.try_divide(F.length(t) - F.length(F.replace(t, row["word"], F.lit(""))), F.length(row["word"])).cast("int")
         seen = F.least(seen, F.lit(cap)) if cap else seen
-        return F.when(F.contains(c, row["word"]), total + seen * row["weight"]).otherwise(total)
+        return F.when(F.contains(t, row["word"]), total + seen * row["weight"]).otherwise(total)
 
-    return F.aggregate(table, F.lit(0), add)
+    return let(c, lambda t: F.aggregate(table, F.lit(0), lambda total, row: add(t, total, row)))
 
 
 def first_rule(c, rules, default) -> Column:
@@ -205,3 +217,9 @@ def whole_days(ts, as_of) -> Column:
 def tagged(kind: str, arr) -> Column:
     """Array of values -> array of (kind, value), for a single ``inline`` over several lists."""
     return F.transform(col(arr), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
+def once(df, **exprs):
+    """Add columns through a generator, so that later filters on them stay above it. A plain projection would be copied
+    into every filter that follows, and its expressions would run once more for each."""
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))

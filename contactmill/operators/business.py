@@ -37,8 +37,8 @@ def company_name(title, url) -> Column:
 
 def industry_scores(text, table=None) -> Column:
     """Array of scores in table order: occurrences times twice the number of words of each keyword."""
-    low = F.lower(X.col(text))
-    return F.array(*[X.weighted_hits(low, [(k, 2 * len(k.split())) for k in ks]) for ks in (table or B.INDUSTRIES).values()])
+    return X.let(F.lower(X.col(text)), lambda low: F.array(*[
+        X.weighted_hits(low, [(k, 2 * len(k.split())) for k in ks]) for ks in (table or B.INDUSTRIES).values()]))
 
 
 def industry_of(scores, table=None) -> Column:
@@ -53,12 +53,16 @@ def industry(pages: DataFrame, text: str = "text", table=None) -> DataFrame:
 
 
 def services(text, table=None) -> Column:
-    low = F.lower(X.col(text))
-    return F.array_compact(F.array(*[F.when(X.has_any(low, ws), F.lit(n)) for n, ws in (table or B.SERVICES).items()]))
+    tags = F.array(*[F.struct(F.lit(n).alias("name"), X.word_array(ws).alias("words")) for n, ws in (table or B.SERVICES).items()])
+    return X.let(F.lower(X.col(text)), lambda low: F.transform(
+        F.filter(tags, lambda s: F.exists(s["words"], lambda w: F.contains(low, w))), lambda s: s["name"]))
 
 
 def size_estimate(text) -> Column:
-    low = F.lower(X.col(text))
+    return X.let(F.lower(X.col(text)), _size)
+
+
+def _size(low) -> Column:
     count = X.extract(low, r"(\d+)\s*(?:employees|staff|team members)").try_cast("bigint")
     counted = X.has_any(low, B.COUNTED_WORDS)
     return (F.when(X.has_any(low, B.LARGE_WORDS), "large")
@@ -164,8 +168,7 @@ def people(pages: DataFrame) -> DataFrame:
 def intent_hits(text, table=None) -> Column:
     """Array of (category, match) in table order."""
     rows = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("match")) for c, ks in (table or B.INTENTS).items() for k in ks])
-    low = F.lower(F.coalesce(X.col(text), F.lit("")))
-    return F.filter(rows, lambda r: F.contains(low, r["match"]))
+    return X.let(F.lower(F.coalesce(X.col(text), F.lit(""))), lambda low: F.filter(rows, lambda r: F.contains(low, r["match"])))
 
 
 def intent_score(hits, weights=None) -> Column:
@@ -186,19 +189,18 @@ def data_confidence(*lists) -> Column:
 def section_rank(sections: DataFrame) -> DataFrame:
     """``sections(page_id, pos, tag, text, class, id)`` -> sections with a contact or enough confidence."""
     from contactmill.operators import contacts as C
-    s = sections.filter(F.length("text") >= 10).select(
-        "*", C.phones("text").alias("phones"), C.emails("text").alias("emails"), C.addresses("text").alias("addresses"),
-        C.outlinks("text", F.lit(""), F.lit("")).alias("_links"))
+    s = X.once(sections.filter(F.length("text") >= 10), phones=C.phones("text"), emails=C.emails("text"), addresses=C.addresses("text"),
+               _links=C.outlinks("text", F.lit(""), F.lit("")))
     has = lambda c: F.size(c) > 0
     web = has(C.websites(F.col("_links"))) | has(C.social_media(F.col("_links")))
     n = X.n_hits(F.lower("text"), B.SECTION_WORDS)
     marked = lambda w: F.lower(F.concat_ws(" ", "class", "id")).contains(w)
     pts = lambda cond, v: F.when(cond, F.lit(v)).otherwise(0.0)
-    s = s.withColumn("contact_found", has("phones") | has("emails") | has("addresses") | web).withColumn("keyword_matches", n)
+    s = X.once(s, contact_found=has("phones") | has("emails") | has("addresses") | web, keyword_matches=n)
     score = plus([pts(has("phones"), 0.4), pts(has("emails"), 0.4), pts(has("addresses"), 0.2), pts(web, 0.2),
                   F.least(F.col("keyword_matches") * 0.05, F.lit(0.2)), pts(F.col("tag").isin("footer", "header"), 0.1),
                   pts(marked("contact"), 0.2), pts(marked("about"), 0.15)])
-    return (s.withColumn("_raw", F.round(score, 6)).filter((F.col("_raw") >= 0.3) | F.col("contact_found"))
+    return (X.once(s, _raw=F.round(score, 6)).filter((F.col("_raw") >= 0.3) | F.col("contact_found"))
             .withColumn("confidence", F.least("_raw", F.lit(1.0))).drop("_raw", "_links"))
 
 
@@ -209,7 +211,7 @@ def section_select(ranked: DataFrame, top: int = 20) -> DataFrame:
     pts = lambda cond, v: F.when(cond, F.lit(v)).otherwise(0.0)
     priority = (F.col("confidence") + F.least(X.n_hits(everything, B.SECTION_VALUABLE) * 0.1, F.lit(0.3)) + pts(direct, 0.2)
                 + pts(F.col("tag").isin("footer", "header", "aside"), 0.1))
-    kept = (ranked.filter(~X.has_any(everything, B.SECTION_IRRELEVANT)).withColumn("_p", F.round(priority, 6))
+    kept = (X.once(ranked.filter(~X.has_any(everything, B.SECTION_IRRELEVANT)), _p=F.round(priority, 6))
             .filter(F.col("_p") >= 0.4).withColumn("priority_score", F.least("_p", F.lit(1.0))).drop("_p"))
     w = Window.partitionBy("page_id").orderBy(F.desc("priority_score"), "pos")
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -92,7 +92,10 @@ def by_confidence(arr) -> Column:
 
 def phones(text, html=None) -> Column:
     """Array of (value, clean_value, confidence, source, context), highest confidence first."""
-    text = F.coalesce(X.col(text), F.lit(""))
+    return X.let(F.coalesce(X.col(text), F.lit("")), lambda t: _phones(t, html))
+
+
+def _phones(text, html) -> Column:
     links = X.extract_all(F.coalesce(X.col(html), F.lit("")), r"(?i)href=[\"']tel:([^\"']+)[\"']", 1) if html is not None \
         else F.array().cast(EMPTY)
     entry = lambda v, clean, conf, src, ctx: F.struct(v.alias("value"), clean.alias("clean_value"),
@@ -123,8 +126,10 @@ def email_role(email) -> Column:
 
 def emails(text, html=None) -> Column:
     """Array of (value, confidence, role, source, is_personal), highest confidence first."""
-    text = F.coalesce(X.col(text), F.lit(""))
+    return X.let(F.coalesce(X.col(text), F.lit("")), lambda t: _emails(t, html))
+
 
+def _emails(text, html) -> Column:
     def entry(value, conf, source):
         role = email_role(value)
         return F.struct(value.alias("value"), conf.cast("double").alias("confidence"), role.alias("role"),
@@ -154,8 +159,10 @@ def address_false_positive(address, context) -> Column:
 
 def addresses(text) -> Column:
     """Array of (value, confidence, type, source), highest confidence first."""
-    text = F.coalesce(X.col(text), F.lit(""))
+    return X.let(F.coalesce(X.col(text), F.lit("")), _addresses)
+
 
+def _addresses(text) -> Column:
     def entry(f):
         v = X.strip(f["value"])
         conf = (F.lit(0.6) + F.when(v.rlike(r"\d{5}(?:-\d{4})?"), 0.2).otherwise(0.0)
@@ -204,7 +211,7 @@ def outlinks(text, html, url) -> Column:
     found = F.concat(hrefs, X.extract_all(F.coalesce(X.col(text), F.lit("")), R.TEXT_URL))
     full = F.array_distinct(F.filter(F.transform(found, absolute_url), lambda u: u.isNotNull()))
     pairs = F.transform(full, lambda u: F.struct(u.alias("url"), F.lower(X.netloc(u)).alias("host")))
-    return F.filter(pairs, lambda p: ~skip_host(p["host"], F.coalesce(X.netloc(url), F.lit(""))))
+    return X.let(F.coalesce(X.netloc(url), F.lit("")), lambda own: F.filter(pairs, lambda p: ~skip_host(p["host"], own)))
 
 
 def websites(links) -> Column:
@@ -316,7 +323,10 @@ def caption_phone(text) -> Column:
 
 def social_handles(text) -> Column:
     """Array of (platform, username, url); one entry per platform and name, whatever its case."""
-    text = F.coalesce(X.col(text), F.lit(""))
+    return X.let(F.coalesce(X.col(text), F.lit("")), _handles)
+
+
+def _handles(text) -> Column:
     parts = []
     for platform, prefix, suffix, patterns in R.HANDLE_PATTERNS:
         names = F.concat(*[X.extract_all(text, p, 1) for p in patterns])

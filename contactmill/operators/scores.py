@@ -123,7 +123,8 @@ def accuracy(n_errors, n_warnings, valid) -> Column:
 
 
 def freshness(ts, as_of) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), F.exp(-X.whole_days(ts, as_of) / 365.0)), F.lit(0.5))
+    # ``least`` ignores nulls, so a missing time is handled first.
+    return F.when(X.col(ts).isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.exp(-X.whole_days(ts, as_of) / 365.0)))
 
 
 def reliability(data_confidence, confidences) -> Column:

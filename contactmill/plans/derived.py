@@ -109,6 +109,17 @@ DERIVED = {"fx_urls": URLS, "fx_site_urls": SITE_URLS, "fx_contacts": CONTACTS,
            "fx_rich": PAGES_RICH, "fx_run_log": RUN_LOG}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that is too small to fill the cores (one file, one row group) as many partitions as there are cores.
+    A scan with enough splits, which is every large table, is returned as it is and never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Tables whose rows cost much work each (texts, pages and the derived texts).
+HEAVY = ("documents", "pages", "conversations", "orders", "customer")
+
+
 class Tables:
     """Loads one directory of parquet tables; ``t.customer`` or ``t.fx_urls`` gives a DataFrame."""
 
@@ -117,7 +128,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            return spread(df) if name in HEAVY else df
         if name in DERIVED:
             return self.sql(DERIVED[name])
         raise AttributeError(name)
