@@ -25,7 +25,7 @@ HEADLINE = ["url_type", "url_ingest", "url_type_stats", "classification_lookup",
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session("bench", cpus)
     entries, times = load_all(), {}
