@@ -47,8 +47,23 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(col(value)), body), F.lit(0))
 
 
+def sql_text(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(map(sql_text, value)) + ")"
+    return repr(value)
+
+
 def word_array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """Constant array in one expression text: building it literal by literal costs a driver call per word."""
+    return F.expr(sql_text(list(words)))
+
+
+def table_array(rows: list[dict]) -> Column:
+    """Constant array of structs, in one expression text."""
+    return F.expr("array(" + ", ".join(
+        "struct(" + ", ".join(f"{sql_text(v)} AS `{k}`" for k, v in r.items()) + ")" for r in rows) + ")")
 
 
 def has_any(c, words) -> Column:
@@ -74,7 +89,7 @@ def n_hits(c, words) -> Column:
 
 def weighted_hits(c, weights, cap: int | None = None) -> Column:
     """Sum of weight times occurrences (each word counted at most ``cap`` times); ``weights`` are (word, weight)."""
-    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(v).alias("weight")) for w, v in weights])
+    table = table_array([{"word": w, "weight": v} for w, v in weights])
 
     def add(t, total, row):
         seen = F.try_divide(F.length(t) - F.length(F.replace(t, row["word"], F.lit(""))), F.length(row["word"])).cast("int")

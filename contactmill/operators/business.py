@@ -53,7 +53,7 @@ def industry(pages: DataFrame, text: str = "text", table=None) -> DataFrame:
 
 
 def services(text, table=None) -> Column:
-    tags = F.array(*[F.struct(F.lit(n).alias("name"), X.word_array(ws).alias("words")) for n, ws in (table or B.SERVICES).items()])
+    tags = X.table_array([{"name": n, "words": ws} for n, ws in (table or B.SERVICES).items()])
     return X.let(F.lower(X.col(text)), lambda low: F.transform(
         F.filter(tags, lambda s: F.exists(s["words"], lambda w: F.contains(low, w))), lambda s: s["name"]))
 
@@ -167,7 +167,7 @@ def people(pages: DataFrame) -> DataFrame:
 
 def intent_hits(text, table=None) -> Column:
     """Array of (category, match) in table order."""
-    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("match")) for c, ks in (table or B.INTENTS).items() for k in ks])
+    rows = X.table_array([{"category": c, "match": k} for c, ks in (table or B.INTENTS).items() for k in ks])
     return X.let(F.lower(F.coalesce(X.col(text), F.lit(""))), lambda low: F.filter(rows, lambda r: F.contains(low, r["match"])))
 
 

@@ -15,7 +15,9 @@ def local_session(app: str, cores: str = "8", **extra: str) -> SparkSession:
          .config("spark.driver.memory", "12g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # Call-site capture for every column call slows the building of large expressions.
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for k, v in extra.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
