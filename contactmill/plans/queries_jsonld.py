@@ -73,13 +73,13 @@ def _pages(t):
  UNION ALL SELECT page_id, 'content', 'name', concat('Pub', page_id % 9) FROM docs WHERE page_id % 5 = 3"""))
 def jsonld_client_info(t):
     # Article pages only: the last name by path order is the publisher's.
-    art = L.P.jsonld_items(_pages(t).filter("page_id % 5 = 3"))
+    art = L.P.jsonld_items(_pages(t)).filter(F.get_json_object("json", "$['@type']") == "Article")
     return L.client_info(art)
 
 
 @query("any_to_text", d("SELECT page_id, concat_ws(' ', 'Article', concat('N', page_id), 'Letter', '2025', 'W', concat('Pub', page_id % 9), 'x1', 't') AS text FROM docs WHERE page_id % 5 = 3"))
 def any_to_text(t):
-    return L.any_to_text(t.sql(DOCS).filter("page_id % 5 = 3"))
+    return L.any_to_text(t.sql(DOCS).filter(F.get_json_object("json", "$['@type']") == "Article"))
 
 
 BROKEN = """SELECT o_orderkey AS page_id, CASE o_orderkey % 4 WHEN 0 THEN concat('{"a": ', o_orderkey, ',}') WHEN 1 THEN concat('{''a'': ''v', o_orderkey, '''}') WHEN 2 THEN concat('{"a": "x}"} junk {"b": {"c": ', o_orderkey, '}}') ELSE 'none' END AS raw FROM orders"""
