@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from contactmill.llm import mixing
+from contactmill.llm import mixing, quality, simhash, toxicity
 from contactmill.llm.common import table
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.op6_simhash(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.op7_quality(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_mixing,)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op6_simhash, op7_quality, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
