@@ -24,7 +24,7 @@ WINDOW = 5
 MIN_DOCS = 50
 FENCE = 3
 #: Measure -> least spread between the quartiles, in its unit (per mille; for word length hundredths of a character).
-SPREAD = {"symbols": 30, "dup_lines": 60, "repeats": 20, "word_length": 60}
+SPREAD = {"symbols": 30, "dup_lines": 120, "repeats": 60, "word_length": 120}
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactmill.llm import mixing, quality, simhash, toxicity
+from contactmill.llm import decontaminate, mixing, quality, simhash, toxicity
 from contactmill.llm.common import table
 
 
@@ -18,10 +18,14 @@ def op7_quality(spark, sf_dir):
     return quality.op7_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.op9_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op6_simhash, op7_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op6_simhash, op7_quality, op9_decontaminate, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
