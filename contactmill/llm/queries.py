@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from contactmill.llm import decontaminate, mixing, quality, simhash, toxicity
+from contactmill.llm import decontaminate, mixing, pii, quality, simhash, toxicity
 from contactmill.llm.common import table
 
 
+def op3_pii(spark, sf_dir):
+    return pii.op3_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,6 @@ def op10_mixing(spark, sf_dir):
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op6_simhash, op7_quality, op9_decontaminate, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op6_simhash, op7_quality, op9_decontaminate, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
