@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from contactmill.llm import decontaminate, mixing, pii, quality, simhash, toxicity
+from contactmill.llm import decontaminate, langid, mixing, pii, quality, simhash, toxicity
 from contactmill.llm.common import table
 
 
+def op1_langid(spark, sf_dir):
+    return langid.op1_langid(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.op3_pii(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_mixing(spark, sf_dir):
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_toxicity, op6_simhash, op7_quality, op9_decontaminate, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op3_pii, op4_toxicity, op6_simhash, op7_quality, op9_decontaminate, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
