@@ -28,7 +28,7 @@ from contactmill.llm.common import doc_crc, written
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 8
-PER_CLASS = 3000
+PER_CLASS = 1500
 #: The mean is taken times this, so that one n-gram in a long text can move the softmax.
 SCALE = 100.0
 PRIOR = 300
@@ -43,29 +43,31 @@ def bag(texts, sizes=SIZES, buckets=BUCKETS):
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """``text``, ``y`` -> the distinct buckets of each text and their shares, as packed arrays."""
+    """``text``, ``y`` -> the distinct buckets of each text, how often each occurs, and all n-grams, as packed arrays."""
     def run(batches):
         for b in batches:
-            ids, shares = [], []
+            ids, counts, totals = [], [], []
             for t in b.column("text").to_pylist():
                 got = [h for _, h in bag([t])]
                 u, c = np.unique(np.concatenate(got), return_counts=True)
                 ids.append(u.astype("<i4").tobytes())
-                shares.append((c / (PRIOR + c.sum())).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["y", "ids", "shares"])
-    return rows.select("y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "y int, ids binary, shares binary")
+                counts.append(np.minimum(c, 65535).astype("<u2").tobytes())
+                totals.append(int(c.sum()))
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.array(totals, pa.int64())],
+                                             ["y", "ids", "counts", "total"])
+    return rows.select("y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "y int, ids binary, counts binary, total long")
 
 
-def train(ys, ids, shares, weights, buckets=BUCKETS, dim=DIM, epochs=10, batch=256, rate=0.05, decay=1e-4, min_docs=5, seed=7):
-    """Adam on the log loss; returns the folded model (one number per bucket, bias)."""
+def train(ys, ids, counts, totals, weights, buckets=BUCKETS, dim=DIM, epochs=10, batch=256, rate=0.05, decay=1e-4, min_docs=5, seed=7):
+    """Adam on the log loss; returns the folded model (one number per bucket, bias). Buckets that fewer than ``min_docs``
+    texts have are left out."""
     rng = np.random.default_rng(seed)
     seen = np.zeros(buckets, np.int32)
     for i in ids:
         seen[i] += 1
     use = seen >= min_docs
-    docs = [(i[use[i]], s[use[i]] * SCALE) for i, s in zip(ids, shares)]
-    place = np.cumsum(use) - 1
-    docs = [(place[i].astype(np.int32), s) for i, s in docs]
+    place = (np.cumsum(use) - 1).astype(np.int32)
+    docs = [(place[i[use[i]]], (SCALE / (PRIOR + n) * c[use[i]]).astype(np.float32)) for i, c, n in zip(ids, counts, totals)]
     emb = rng.normal(0, 0.1, (int(use.sum()), dim)).astype(np.float32)
     top = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -109,12 +111,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     rows = counted(texts).toPandas()
     ys = rows["y"].to_numpy(np.float32)
     ids = [np.frombuffer(b, "<i4") for b in rows["ids"]]
-    shares = [np.frombuffer(b, "<f4") for b in rows["shares"]]
+    counts = [np.frombuffer(b, "<u2") for b in rows["counts"]]
+    totals = rows["total"].to_numpy()
     order = sorted(range(len(ys)), key=lambda i: (ys[i], ids[i].tobytes()))
-    ys, ids, shares = ys[order], [ids[i] for i in order], [shares[i] for i in order]
+    ys, ids, counts, totals = ys[order], [ids[i] for i in order], [counts[i] for i in order], totals[order]
     n = {y: max(1, int((ys == y).sum())) for y in (0, 1)}
     weights = np.array([sizes[int(y)] / n[int(y)] for y in ys], np.float32)
-    return train(ys, ids, shares, weights / weights.mean())
+    return train(ys, ids, counts, totals, weights / weights.mean())
 
 
 def score_texts(texts, folded, bias) -> np.ndarray:
