@@ -29,6 +29,16 @@ def doc_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string"))
 
 
+def bounded(ids: DataFrame, group: str, sizes: dict, n: int) -> DataFrame:
+    """At most ``n`` rows per group, those with the smallest hash of doc_id. ``sizes``: rows per group; with them a cut on
+    the hash leaves about 1.5 n rows per group, so that the ranking never meets a whole group."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    cut = F.create_map(*[x for g, size in sizes.items() for x in (F.lit(g), F.lit(1.5 * n / max(1, size)))])
+    few = ids.filter(part < cut[F.col(group)])
+    order = Window.partitionBy(group).orderBy(part, "doc_id")
+    return few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder (``spark.checkpoint.dir``) and read it back: the plan is cut there,
     is computed once, and survives the loss of an executor. Runs a job; the folder is new for each call."""

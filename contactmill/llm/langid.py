@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contactmill.llm import ngrams
-from contactmill.llm.common import doc_crc
+from contactmill.llm.common import bounded, doc_crc
 
 SIZES = (2, 3, 4)
 PER_LANG = 3000
@@ -61,12 +61,12 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG):
     """(languages by learning rows, Bloom slots, false positive rate per language). Runs jobs; the driver gets at most
     1 / LEAST n-grams per language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(doc_crc(), F.lit(3)) != 1))
-    ids = known.select("doc_id", "lang").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang).drop("_n")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes, key=lambda x: (-sizes[x], x))
+    if not langs:
+        return [], np.zeros(SLOTS, np.uint8), np.zeros(0)
+    chosen = bounded(known.select("doc_id", "lang"), "lang", sizes, per_lang).distinct()
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").collect()
-    langs = [r["lang"] for r in sizes]
     each = counts(rows)
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     rated = each.withColumn("rate", rate).filter(F.col("rate") >= LEAST)

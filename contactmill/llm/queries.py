@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactmill.llm import decontaminate, langid, mixing, pii, quality, simhash, toxicity
+from contactmill.llm import decontaminate, langid, maintext, mixing, pii, quality, simhash, tokens, toxicity, urltree
 from contactmill.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_langid(spark, sf_dir):
     return langid.op1_langid(table(spark, sf_dir, "documents"))
 
 
+def op2_tokens(spark, sf_dir):
+    return tokens.op2_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.op3_pii(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_urls(spark, sf_dir):
+    return urltree.op5_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.op6_simhash(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,10 @@ def op7_quality(spark, sf_dir):
     return quality.op7_quality(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark, sf_dir):
+    return maintext.op8_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.op9_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +46,6 @@ def op10_mixing(spark, sf_dir):
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_pii, op4_toxicity, op6_simhash, op7_quality, op9_decontaminate, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokens, op3_pii, op4_toxicity, op5_urls, op6_simhash, op7_quality, op8_main_text, op9_decontaminate, op10_mixing)}
 
 ORACLES: dict[str, str] = {}

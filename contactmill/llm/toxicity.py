@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contactmill.llm import ngrams
-from contactmill.llm.common import doc_crc, written
+from contactmill.llm.common import bounded, doc_crc
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 18
@@ -105,8 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     if len(sizes) < 2:
         share = float(sizes.get(1, 0) > 0)
         return np.zeros(BUCKETS, np.float32), 30.0 if share else -30.0
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).drop("_n")
+    chosen = bounded(known, "y", sizes, per_class)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     rows = counted(texts).toPandas()
     ys = rows["y"].to_numpy(np.float32)
