@@ -5,20 +5,23 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactmill.functions import text as X
+from contactmill.functions.graph import connected
+from contactmill.functions.joins import hot_join
+from contactmill.session import written
 
 
 def similar_url_hint(probe: DataFrame, cache: DataFrame) -> DataFrame:
     """Newest cached class whose path is a prefix of the probe's path on the same site, confidence reduced by 10%.
 
-    Written as an equi-join: the cache is reduced to the newest row per (site, path), each probe row is expanded to
-    the prefixes of its own path, so rows grow with the path length and never with the size of a site.
+    Written as an equi-join: the cache is reduced to the newest row per (site, path); a probe is expanded to those
+    prefixes of its own path whose length occurs in the cache for its site, as hashes of eight bytes. Rows and bytes grow
+    with the number of such lengths, not with the size of a site or of a path; a hit is verified on the text.
     """
     site = lambda c: F.concat_ws("://", X.scheme(c), X.netloc(c))
     newest = (cache.filter(X.url_path("url") != "")
@@ -26,11 +29,14 @@ def similar_url_hint(probe: DataFrame, cache: DataFrame) -> DataFrame:
                       "ts", "url", "classification", "confidence"))
     newest = (newest.groupBy("site", "prefix")
               .agg(F.max_by(F.struct("ts", "classification", "confidence", "url"), F.struct("ts", F.expr("-crc32(url)"))).alias("hit")))
-    path = X.url_path("url")
-    probes = probe.select("id", site("url").alias("site"), F.explode(F.transform(
-        F.sequence(F.lit(0), F.length(path)), lambda n: F.substring(path, F.lit(1), n))).alias("prefix")).distinct()
-    best = probes.join(newest, ["site", "prefix"]).groupBy("id").agg(
-        F.max_by("hit", F.struct(F.col("hit.ts"), F.expr("-crc32(hit.url)"))).alias("hit"))
+    newest = newest.withColumn("len", F.length("prefix"))
+    lengths = newest.groupBy("site").agg(F.collect_set("len").alias("lens"))
+    probes = hot_join(probe.select("id", site("url").alias("site"), X.url_path("url").alias("path")), lengths, "site", "id", how="inner")
+    probes = probes.select("id", "site", "path", F.explode(F.filter("lens", lambda n: n <= F.length("path"))).alias("len"))
+    probes = probes.withColumn("_k", F.xxhash64("site", "len", F.expr("substring(path, 1, len)")))
+    keyed = newest.withColumn("_k", F.xxhash64("site", "len", "prefix")).select("_k", "prefix", F.col("site").alias("_site"), "hit")
+    met = probes.join(keyed, "_k").filter((F.col("site") == F.col("_site")) & F.expr("prefix = substring(path, 1, len)"))
+    best = met.groupBy("id").agg(F.max_by("hit", F.struct(F.col("hit.ts"), F.expr("-crc32(hit.url)"))).alias("hit"))
     return best.select("id", "hit.classification", (F.col("hit.confidence") * 0.9).alias("confidence"))
 
 
@@ -54,30 +60,37 @@ def contact_keys(emails, phones, phone=raw_phone_key) -> Column:
     return F.array_distinct(F.array_compact(F.concat(F.transform(arr(emails), email_key), F.transform(arr(phones), phone))))
 
 
-def subset_keys(*fields) -> Column:
-    """Keys of every non-empty subset of the filled fields: what a partially filled row could ask for."""
-    low = [F.lower(X.strip(F.coalesce(X.col(f), F.lit("")))) for f in fields]
-    keys = []
-    for mask in range(1, 2 ** len(fields)):
+def _low(fields) -> list[Column]:
+    return [F.lower(X.strip(F.coalesce(X.col(f), F.lit("")))) for f in fields]
+
+
+def field_mask(*fields) -> Column:
+    """Which of the fields are filled, as bits."""
+    return reduce(lambda a, b: a + b, [F.when(c != "", 2 ** i).otherwise(0) for i, c in enumerate(_low(fields))])
+
+
+def subset_keys(*fields, masks=None) -> Column:
+    """Keys of every non-empty subset of the filled fields (or of those in ``masks``): what a partially filled row could
+    ask for."""
+    low, keys = _low(fields), []
+    for mask in range(1, 2 ** len(fields)) if masks is None else sorted(masks):
         used = [low[i] for i in range(len(fields)) if mask >> i & 1]
         keys.append(F.when(reduce(and_, [u != "" for u in used]), F.concat_ws("\u0001", F.lit(f"f{mask}:"), *used)))
-    return F.array_compact(F.array(*keys))
+    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
 
 
 def full_key(*fields) -> Column:
     """Key over exactly the filled fields (null when none is filled)."""
-    low = [F.lower(X.strip(F.coalesce(X.col(f), F.lit("")))) for f in fields]
-    mask = reduce(lambda a, b: a + b, [F.when(c != "", 2 ** i).otherwise(0) for i, c in enumerate(low)])
+    low, mask = _low(fields), field_mask(*fields)
     return F.when(mask > 0, F.concat_ws("\u0001", F.concat(F.lit("f"), mask.cast("string"), F.lit(":")),
                                         *[F.nullif(c, F.lit("")) for c in low]))
 
 
 def _known(rows: DataFrame, stored_keys: DataFrame) -> DataFrame:
-    """Ids of rows that share a key with the store. The stored keys are reduced to one row each before the join; a key
-    that very many new rows hold is a skewed streamed side of a semi join, which adaptive execution splits."""
-    return (rows.select("id", F.explode("keys").alias("key"))
-            .join(stored_keys.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi")
-            .select("id").distinct())
+    """Ids of rows that share a key with the store. The stored keys are reduced to one row each; a key that very many new
+    rows hold is split before the join."""
+    keyed = rows.select("id", F.explode("keys").alias("key"))
+    return hot_join(keyed, stored_keys.select(F.explode("keys").alias("key")).distinct(), "key", "id", how="inner").select("id").distinct()
 
 
 def dup_unified(leads: DataFrame, stored: DataFrame) -> DataFrame:
@@ -85,8 +98,11 @@ def dup_unified(leads: DataFrame, stored: DataFrame) -> DataFrame:
     name, URL, company and type that it has, whatever contacts the stored lead holds."""
     fields = ("full_name", "url", "company_name", "content_type")
     c = contact_keys("emails", "phones")
+    # At most 15 masks of filled fields occur among the new rows; stored rows get keys for those only. Runs a job.
+    asked = leads.filter(F.size(c) == 0).select(field_mask(*fields).alias("m")).distinct().collect()
+    masks = [r["m"] for r in asked if r["m"]]
     new = leads.select("id", F.when(F.size(c) > 0, c).otherwise(F.array_compact(F.array(full_key(*fields)))).alias("keys"))
-    old = stored.select(F.concat(contact_keys("emails", "phones"), subset_keys(*fields)).alias("keys"))
+    old = stored.select(F.concat(contact_keys("emails", "phones"), subset_keys(*fields, masks=masks)).alias("keys"))
     return _known(new, old)
 
 
@@ -134,7 +150,7 @@ def dup_log(leads: DataFrame, stored: DataFrame, merged_at: Column) -> DataFrame
     keys = web_keys("emails", "phones", "websites", "business_name")
     first = (stored.select(F.explode(keys).alias("key"), "id", "url").groupBy("key")
              .agg(F.min(F.struct("id", "url")).alias("o")))
-    return (leads.select("id", "url", F.explode(keys).alias("key")).join(first, "key")
+    return (hot_join(leads.select("id", "url", F.explode(keys).alias("key")), first, "key", "id", how="inner")
             .groupBy("id", "url").agg(F.min("o").alias("o"))
             .select(F.col("o.url").alias("original_url"), F.col("url").alias("duplicate_url"), merged_at.alias("merged_at")))
 
@@ -171,35 +187,17 @@ def post_to_profile(posts: DataFrame, profiles: DataFrame) -> DataFrame:
 
 # --- entities -------------------------------------------------------------------------------------------------
 
-def components(members: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(members: DataFrame) -> DataFrame:
     """Connected components of ``members(id, key)``: ids that share a key belong together, transitively.
 
-    Smallest-id labels travel from ids to keys and back, with pointer jumping, so the number of rounds grows with the
-    logarithm of the longest chain.  Keys are reduced by partial aggregation; keys with one holder are dropped first.
-    Every round ends in ``checkpoint()``, so a lost executor repeats one round at most.  Ids without a shared key come
-    back as their own component.
-    """
-    from contactmill.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(members.sparkSession)
-    linked = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    # A key held by a third of all rows is a skewed streamed side here and below: adaptive execution splits it.
-    state = members.join(linked, "key").withColumn("label", F.col("id")).checkpoint()
-    for _ in range(max_rounds):
-        per_key = state.groupBy("key").agg(F.min("label").alias("key_label"))
-        per_id = (state.join(per_key, "key").groupBy("id")
-                  .agg(F.min(F.least("key_label", "label")).alias("near"), F.min("label").alias("old")))
-        hop = per_id.select(F.col("id").alias("near"), F.col("near").alias("far"))
-        labels = (per_id.join(hop, "near", "left")
-                  .select("id", "old", F.least("near", F.coalesce("far", "near")).alias("label")).checkpoint())
-        moved = labels.filter("label <> old").limit(1).count()
-        state = state.drop("label").join(labels.select("id", "label"), "id")
-        if not moved:
-            break
-        state = state.checkpoint()
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    found = labels.select("id", F.col("label").alias("component"))
-    return (members.select("id").distinct().join(found, "id", "left")
+    Every key is first reduced to a star: its smallest id by partial aggregation, then one link per id that holds it, so
+    a hub costs one link per id and its rows are split. Links, not members, go through the rounds (`graph.connected`),
+    and ids that share no key never enter them; they come back as their own component. Runs jobs."""
+    keyed = members.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
+    first = keyed.groupBy("key").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    links = hot_join(keyed, first, "key", "id", how="inner").filter("id <> _first").select(F.col("_first").alias("a"), F.col("id").alias("b")).distinct()
+    found = written(connected(links))
+    return (members.select("id").distinct().join(found.select(F.col("node").alias("id"), F.col("root").alias("component")), "id", "left")
             .select("id", F.coalesce("component", "id").alias("component")))
 
 
@@ -246,14 +244,17 @@ def similar_names(names: DataFrame, percent: int, signature: int = 1) -> DataFra
     Two names this similar share at least ``need`` two-letter grams (each deletion breaks at most two grams of a name,
     each insertion one).  Sorted by rarity, the first ``grams - need + signature`` grams of both then have
     ``signature`` grams in common, so the equi-join on combinations of that many rare grams finds every such pair.
+    Where the longer name is so short that no common gram is implied (up to 3 letters at 80 percent), names are joined on
+    a common letter instead: there are only so many names of that length.
     A larger ``signature`` makes the join keys rarer, at the price of more keys per name.
     """
     t = (percent - 0.5) / 100.0
     shortest = lambda n: F.ceil(n * (t / (2 - t)) - 1e-9)
     need_of = lambda n: F.greatest(F.ceil((n + shortest(n)) * (1.5 * t - 1) - 1 - 1e-9), F.lit(1)).cast("int")
-    from contactmill.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(names.sparkSession)
-    base = names.select("name", F.length("name").alias("n")).filter("n >= 3")
+    if percent < 70:
+        raise ValueError("below 70 percent similar names need not share a gram")
+    sized = names.select("name", F.length("name").alias("n"))
+    base = sized.filter("n >= 2")
     spans = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("name"), i, F.lit(2)))
     # The k-th repeat of a gram inside a name is a gram of its own.
     grams = (base.select("name", "n", F.posexplode(spans).alias("i", "g"))
@@ -266,7 +267,8 @@ def similar_names(names: DataFrame, percent: int, signature: int = 1) -> DataFra
     n_parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (grams.join(rarity, "g").groupBy("name", "n")
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("gs"))
-               .repartition(n_parts, "name").checkpoint())
+               .repartition(n_parts, "name"))
+    ordered = written(ordered)
     size = F.least(F.lit(signature), need_of(F.col("n")))
     low = F.least(size, need_of(shortest(F.col("n"))))
     parts = ordered.withColumn("levels", F.sequence(low, size)).withColumn("level", F.explode("levels"))
@@ -290,6 +292,11 @@ def similar_names(names: DataFrame, percent: int, signature: int = 1) -> DataFra
                    & (F.col("a.name") < F.col("b.name")) & close & once)
             .filter(F.levenshtein("a.name", "b.name") <= room)
             .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
+    few = sized.filter((F.col("n") > 0) & ((F.col("n") + shortest(F.col("n"))) * (1.5 * t - 1) - 1 - 1e-9 <= 0))
+    few = few.select("name", F.explode(F.array_distinct(F.split("name", ""))).alias("letter")).filter("letter <> ''")
+    x, y = few.alias("x"), few.alias("y")
+    tiny = x.join(y, (F.col("x.letter") == F.col("y.letter")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    near = near.unionByName(tiny).distinct()
     return near.withColumn("percent", ratio("a", "b")).filter(F.col("percent") >= percent)
 
 

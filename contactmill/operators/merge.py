@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as X
+from contactmill.functions.graph import greedy_heads
+from contactmill.functions.joins import hot_join
 from contactmill.operators import match as M
+from contactmill.session import written
 
 
 def exact_key(email, phone, website) -> Column:
@@ -79,24 +82,28 @@ def merge_by_confidence(leads: DataFrame, group: str, fields: list[str]) -> Data
 
 
 def dedupe_exact(leads: DataFrame) -> DataFrame:
-    """Adds ``group``: leads with the same composite key share the smallest id; keyless leads stay alone.
-
-    The key is reduced to its first lead by partial aggregation; the join back streams the leads, and a hot key is
-    split by adaptive execution.
-    """
+    """Adds ``group``: leads with the same composite key share the smallest id; keyless leads stay alone and take no part
+    in the join. A hot key is split."""
     k = leads.withColumn("_key", exact_key("email", "phone", "website"))
-    first = k.filter("_key is not null").groupBy("_key").agg(F.min("id").alias("_first"))
-    return k.join(first, "_key", "left").withColumn("group", F.coalesce("_first", "id")).drop("_key", "_first")
+    keyed = k.filter("_key is not null")
+    first = keyed.groupBy("_key").agg(F.min("id").alias("group"))
+    alone = k.filter("_key is null").withColumn("group", F.col("id"))
+    return hot_join(keyed, first, "_key", "id", how="inner").unionByName(alone).drop("_key")
 
 
 def _by_pairs(leads: DataFrame, value: Column, pairs: DataFrame) -> DataFrame:
-    """Leads linked by equal or similar values: components over distinct values, then one lookup per lead."""
-    ends = pairs.select(F.concat_ws("\u0001", "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("id"))
-    comp = M.components(ends.select("id", "key"))
-    v = leads.withColumn("_v", F.nullif(value, F.lit(""))).join(comp.withColumnRenamed("id", "_v"), "_v", "left")
-    v = v.withColumn("_c", F.coalesce("component", "_v"))
-    first = v.filter("_c is not null").groupBy("_c").agg(F.min("id").alias("_first"))
-    return v.join(first, "_c", "left").withColumn("group", F.coalesce("_first", "id")).drop("_v", "_c", "_first", "component")
+    """Adds ``group``: in order of id, a lead that no earlier head is similar to becomes a head and takes all later leads
+    with its own or a similar value. What it takes takes nothing itself, so similarity is never carried along a chain.
+
+    Works on distinct values, each with its first id; leads without a value stay alone and take no part in the join."""
+    v = leads.withColumn("_v", F.nullif(value, F.lit("")))
+    named, alone = v.filter("_v is not null"), v.filter("_v is null").withColumn("group", F.col("id"))
+    first = named.groupBy("_v").agg(F.min("id").alias("_first"))
+    at = lambda c: first.select(F.col("_v").alias(c), F.col("_first").alias("id_" + c))
+    ids = pairs.join(at("a"), "a").join(at("b"), "b").select(F.least("id_a", "id_b").alias("lo"), F.greatest("id_a", "id_b").alias("hi"))
+    heads = greedy_heads(ids)
+    group = first.join(heads, first["_first"] == heads["node"], "left").select("_v", F.coalesce("head", "_first").alias("group"))
+    return hot_join(named, group, "_v", "id", how="inner").unionByName(alone).drop("_v")
 
 
 def dedupe_fuzzy(leads: DataFrame, percent: int = 85) -> DataFrame:
@@ -109,19 +116,31 @@ def dedupe_address(leads: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def survivors(grouped: DataFrame) -> DataFrame:
-    """The first lead of each group with missing fields filled from the others, in order."""
+    """The first lead of each group with missing fields filled from the others, in order, and the union of every array
+    column (contacts, services, intents, URLs), in order of first appearance.
+
+    An array's values are reduced to distinct ones per group before they meet, so what comes together in one row is what
+    the merged lead holds."""
+    kinds = dict(grouped.dtypes)
     keep = [c for c in grouped.columns if c not in ("id", "group", "score", "data_confidence", "scraped_at")]
-    aggs = [first_filled(c, "id").alias(c) if dict(grouped.dtypes)[c] == "string" else F.min_by(c, "id").alias(c) for c in keep]
+    lists = [c for c in keep if kinds[c].startswith("array")]
+    aggs = [first_filled(c, "id").alias(c) if kinds[c] == "string" else F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
+            for c in keep if c not in lists]
     tops = [F.max(c).alias(c) for c in ("score", "data_confidence", "scraped_at") if c in grouped.columns]
-    return grouped.groupBy("group").agg(*aggs, *tops).withColumnRenamed("group", "id")
+    out = grouped.groupBy("group").agg(F.count("*").alias("_n"), *aggs, *tops).drop("_n")
+    for c in lists:
+        each = grouped.select("group", "id", F.posexplode(c).alias("_pos", "_v")).filter(F.col("_v").isNotNull())
+        once = each.groupBy("group", "_v").agg(F.min(F.struct("id", "_pos")).alias("_at"))
+        union = once.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(c))
+        out = out.join(union, "group", "left").withColumn(c, F.coalesce(c, F.array().cast(kinds[c])))
+    return out.select(F.col("group").alias("id"), *[c for c in grouped.columns if c not in ("id", "group")])
 
 
 def dedupe_stages(leads: DataFrame) -> DataFrame:
-    """Exact, then fuzzy company, then address; each stage works on the survivors of the one before."""
-    from contactmill.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(leads.sparkSession)
+    """Exact, then fuzzy company, then address; each stage works on the survivors of the one before. Runs jobs: every
+    stage is written."""
     for stage in (dedupe_exact, dedupe_fuzzy, dedupe_address):
-        leads = survivors(stage(leads)).checkpoint()
+        leads = written(survivors(written(stage(leads))))
     return leads
 
 
@@ -130,7 +149,7 @@ def duplicate_groups(leads: DataFrame, *keys: str) -> DataFrame:
     lk = [F.coalesce(F.col(k), F.lit("")) for k in keys]
     tagged = leads.withColumn("_k", F.concat_ws("\u0001", *lk)).filter(X.any_of([c != "" for c in lk]))
     sizes = tagged.groupBy("_k").agg(F.count("*").alias("group_size")).filter("group_size > 1")
-    return tagged.join(sizes, "_k").drop("_k")
+    return hot_join(tagged, sizes, "_k", "id", how="inner").drop("_k")
 
 
 def quality_run(leads: DataFrame, as_of: Column) -> DataFrame:

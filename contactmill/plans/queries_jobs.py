@@ -1,6 +1,5 @@
 """Source, store, stream and composed-job queries and their SQL twins."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from contactmill.plans.queries_contacts import FOLD, email_sql, phone_candidates
 from contactmill.plans.queries_match import LEADS, NEW, STORED, keyed, leads, split
 from contactmill.plans.queries_unify import WEB, unified_table, web_raw
 from contactmill.plans.queries_urls import QUEUE
-from contactmill.session import ensure_checkpoint_dir
+from contactmill.session import scratch as shared_scratch
 from contactmill.sources import readers as Rd
 from contactmill.sources import store as A
 from contactmill.streaming import jobs as St
@@ -25,8 +24,8 @@ def c(body, **more):
 
 
 def scratch(t, name: str) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which every executor can reach."""
+    return shared_scratch(t.spark, name)
 
 
 # --- sources ----------------------------------------------------------------------------------------------------

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str, cores: str = "8", **extra: str) -> SparkSession:
@@ -27,14 +28,29 @@ def local_session(app: str, cores: str = "8", **extra: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the cluster (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The shared folder of the run: the one the cluster names (``spark.checkpoint.dir``), with a folder of its own for
+    this application below it. Only a local session without that setting gets a folder of ours."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if named is None and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
-    path = named or tempfile.mkdtemp(prefix="contactmill-checkpoint-")
-    sc.setCheckpointDir(path)
-    return path
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
+        named = f"{tempfile.gettempdir()}/contactmill-checkpoints/{sc.applicationId}"
+    sc.setCheckpointDir(named)
+    return named
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: the plan is cut there, is computed once, and
+    survives the loss of an executor. Runs a job; the folder is new for each call."""
+    path = scratch(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
