@@ -1,18 +1,19 @@
-"""Helpers shared by the operators: words, written intermediate tables, distributed ranks, joins with hot keys."""
+"""Helpers shared by the operators: words, bounded samples, distributed ranks; joins with hot keys and written tables are
+those of the library."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contactmill.session import ensure_checkpoint_dir
+from contactmill.functions.joins import hot_join
+from contactmill.session import written
+
+__all__ = ["WORD", "bounded", "doc_crc", "hot_join", "n_words", "ranked", "table", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,15 +40,6 @@ def bounded(ids: DataFrame, group: str, sizes: dict, n: int) -> DataFrame:
     return few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder (``spark.checkpoint.dir``) and read it back: the plan is cut there,
-    is computed once, and survives the loss of an executor. Runs a job; the folder is new for each call."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ranked(df: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Add ``rank_in_group`` (from 1, over ``order`` within ``by``) without bringing a group into one task.
 
@@ -69,18 +61,3 @@ def ranked(df: DataFrame, by: list[str], order: list[str], parts: int | None = N
         same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))
     rank = (F.col("s._before") + F.col("p._at") - F.col("s._first") + 1).alias("rank_in_group")
     return p.join(s, same).select(*[F.col(f"p.`{c}`") for c in df.columns], rank)
-
-
-def hot_join(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "left", spread: int = 32) -> DataFrame:
-    """Join many rows with a table that has one row per key, where a few keys may hold much of ``left``.
-
-    Keys above 1/1000 of the rows (so at most 1000 of them, a proven bound, which is what is broadcast) are dealt over
-    ``spread`` tasks by a hash of ``salt``; their single right row is repeated for each. Counts ``left`` once (a job)."""
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count()
-    hot = counts.filter(F.col("_n") * HOT_KEYS > total).select(F.col(key).alias("_hot"))
-    mark = lambda df, name: df.join(F.broadcast(hot.limit(HOT_KEYS)), df[key].eqNullSafe(hot["_hot"]), "left").withColumn(
-        name, F.col("_hot").isNotNull()).drop("_hot")
-    lhs = mark(left, "_h").withColumn("_salt", F.when(F.col("_h"), F.pmod(F.xxhash64(salt), F.lit(spread))).otherwise(0).cast("int")).drop("_h")
-    rhs = mark(right, "_h").withColumn("_salt", F.explode(F.when(F.col("_h"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))).drop("_h")
-    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")

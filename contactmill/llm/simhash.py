@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contactmill.functions.graph import connected
 from contactmill.llm.common import hot_join, written
 
 SEED = 42
@@ -101,42 +102,10 @@ def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` -> ``node``, ``root`` (the smallest node reachable), by alternating large and small stars.
-
-    Every round keeps the components and shortens the paths; links are written between rounds. Ends when a round changes
-    nothing. The smallest neighbour reaches a hub's links by a join that splits the hub."""
-    def state(e):
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0] or 0, r[1]
-
-    def to_smallest(rows, total):
-        least = rows.groupBy("u").agg(F.min("v").alias("least"))
-        least = least.withColumn("least", F.least("least", "u"))
-        return hot_join(rows, least, "u", "v", how="inner")
-
-    edges = written(edges)
-    seen = state(edges)
-    while seen[0]:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = to_smallest(both, seen[0]).filter(F.col("v") > F.col("u")).select(F.col("least").alias("a"), F.col("v").alias("b")).distinct()
-        large = written(large.filter(F.col("a") < F.col("b")))
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        joined = to_smallest(down, seen[0])
-        small = joined.select(F.col("least").alias("a"), F.col("v").alias("b")).unionByName(joined.select(F.col("least").alias("a"), F.col("u").alias("b")))
-        edges = written(small.filter(F.col("a") < F.col("b")).distinct())
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
-        edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-
-
 def labelled(rows: DataFrame, first, dense: int = DENSE) -> DataFrame:
     """Rows with ``_fp`` -> ``_fp``, ``_first``: for every fingerprint the smallest ``first`` of its component."""
     nodes = rows.groupBy("_fp").agg(F.min(first).alias("_first"))
-    roots = written(components(links(nodes.select("_fp"), dense)))
+    roots = written(connected(links(nodes.select("_fp"), dense)))
     linked = roots.join(nodes, roots["node"] == nodes["_fp"])
     least = linked.groupBy("root").agg(F.min("_first").alias("_least"))
     named = roots.join(least, "root").select(F.col("node").alias("_fp"), "_least")
