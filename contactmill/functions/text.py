@@ -238,3 +238,8 @@ def once(df, **exprs):
     """Add columns through a generator, so that later filters on them stay above it. A plain projection would be copied
     into every filter that follows, and its expressions would run once more for each."""
     return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
+def up_to(ranked, n: int | None):
+    """Rows with ``rank`` up to ``n``; all of them without a limit."""
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactmill.functions import business_rules as B
 from contactmill.functions import text as X
+from contactmill.functions.text import up_to
 
 plus = lambda parts: reduce(lambda a, b: a + b, parts)
 PERSON = "array<struct<name:string,title:string,authority_score:double,contact_type:string>>"
@@ -204,8 +205,8 @@ def section_rank(sections: DataFrame) -> DataFrame:
             .withColumn("confidence", F.least("_raw", F.lit(1.0))).drop("_raw", "_links"))
 
 
-def section_select(ranked: DataFrame, top: int = 20) -> DataFrame:
-    """Relevant sections by priority, at most ``top`` per page."""
+def section_select(ranked: DataFrame, top: int | None = None) -> DataFrame:
+    """Relevant sections by priority, at most ``top`` per page where that is given."""
     everything = F.lower(F.concat_ws("\n", "text", "class", "id"))
     direct = (F.size("phones") > 0) | (F.size("emails") > 0) | (F.size("addresses") > 0)
     pts = lambda cond, v: F.when(cond, F.lit(v)).otherwise(0.0)
@@ -214,7 +215,7 @@ def section_select(ranked: DataFrame, top: int = 20) -> DataFrame:
     kept = (X.once(ranked.filter(~X.has_any(everything, B.SECTION_IRRELEVANT)), _p=F.round(priority, 6))
             .filter(F.col("_p") >= 0.4).withColumn("priority_score", F.least("_p", F.lit(1.0))).drop("_p"))
     w = Window.partitionBy("page_id").orderBy(F.desc("priority_score"), "pos")
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return up_to(kept.withColumn("rank", F.row_number().over(w)), top)
 
 
 def section_company(sections: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contactmill.functions import page_rules as R
 from contactmill.functions import text as X
+from contactmill.functions.text import up_to
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = "page_id long, pos int, tag string, text string, class string, id string, parent_tag string, links int, marked boolean"
@@ -89,8 +90,8 @@ LISTING_CONTACT = r"phone|tel|email|mail|address|street|@|\d"
 NAME_SKIP = ["phone", "email", "address", "website", "contact", "hours", "open", "closed", "reviews", "directions"]  # fixed values
 
 
-def directory_listings(pages: DataFrame, top: int = 15) -> DataFrame:
-    """One company row per listing block of a saved directory page, at most ``top`` per page in page order."""
+def directory_listings(pages: DataFrame, top: int | None = None) -> DataFrame:
+    """One company row per listing block of a saved directory page, in page order, at most ``top`` per page where that is given."""
     from contactmill.operators import contacts as C
     marks = tuple(LISTING_WORDS)
     blocks = _blocks(pages, lambda tag, a: tag in ("div", "li", "article", "section", "tr") and any(m in (a.get("class") or "").lower() for m in marks), "\n")
@@ -100,17 +101,17 @@ def directory_listings(pages: DataFrame, top: int = 15) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda s: (F.length(s) > 5) & ~s.rlike(r"@|\d{3}\W*\d{4}|^\W*\d") & ~X.has_any(F.lower(s), NAME_SKIP))
     named = F.filter(lines, lambda s: s.rlike(r"^\p{Lu}"))
     rows = kept.select("page_id", "pos", F.get(named, F.lit(0)).alias("name"), C.lead_emails("text").alias("email"), C.lead_phones("text").alias("phone"),
-                       C.lead_sites("text").alias("websites"), F.transform(C.addresses("text"), lambda a: a["value"]).alias("address"), F.substring("text", 1, 300).alias("notes"))
+                       C.lead_sites("text").alias("websites"), F.transform(C.addresses("text"), lambda a: a["value"]).alias("address"), F.substring("text", 1, 300).alias("notes"), "text")
     rows = rows.filter((F.length("name") > 5) & ((F.size("email") > 0) | (F.size("phone") > 0) | (F.size("address") > 0)))
     w = Window.partitionBy("page_id").orderBy("pos")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return up_to(rows.withColumn("rank", F.row_number().over(w)), top)
 
 
 def company_page_record(pages: DataFrame) -> DataFrame:
     """One company record per saved company page; kept when any contact or a description is there."""
     from contactmill.operators import contacts as C
     from contactmill.operators import pages as P
-    step = P.page_head(pages).join(pages.select("page_id", P.html_text("html").alias("text")), "page_id")
+    step = P.page_head(pages.withColumn("text", P.html_text("html")), "text")
     title = X.strip(F.regexp_replace(F.regexp_replace("title", r"(?i)\s*[-|–—:]\s*(?:home|welcome|official site|company profile|overview|contact|about).*$", ""), r"\s+", " "))
     mails = F.filter(C.lead_emails("text"), lambda e: ~e.rlike("noreply|no-reply|donotreply"))
     out = step.select("page_id", "url", title.alias("name"), mails.alias("email"), C.lead_phones("text").alias("phone"), C.lead_sites("text").alias("websites"),

@@ -115,39 +115,41 @@ PATHS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.Struc
                                   T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
 
 
-def _walk(node, path, key, depth, out):
-    if depth > 10:
-        return
-    if isinstance(node, dict):
-        for k, v in node.items():
-            _walk(v, f"{path}.{k}", k, depth + 1, out)
-    elif isinstance(node, list):
-        for i, v in enumerate(node):
-            _walk(v, f"{path}[{i}]", key, depth + 1, out)
-    elif node is not None:
-        kind = "bool" if isinstance(node, bool) else "number" if isinstance(node, (int, float)) else "string"
-        out.append({"path": path, "key": key, "kind": kind, "value": str(node).lower() if kind == "bool" else str(node)})
-
-
-@F.pandas_udf(PATHS)
-def json_paths(docs: pd.Series) -> pd.Series:
-    """Leaf values with their path, nearest key and kind, down to ten levels."""
-    def rows(text):
-        out: list = []
-        try:
-            _walk(json.loads(text), "$", "", 0, out)
-        except (TypeError, ValueError):
-            return None
-        return out
-    return docs.map(rows)
-
-
-def path_rows(items: DataFrame) -> DataFrame:
+def _leaves(text, max_depth):
+    """Leaf values in document order, without recursion; null for text that is not JSON."""
+    try:
+        todo = [(json.loads(text), "$", "", 0)]
+    except (TypeError, ValueError, RecursionError):
+        return None
+    out = []
+    while todo:
+        node, path, key, depth = todo.pop()
+        if max_depth is not None and depth > max_depth:
+            continue
+        if isinstance(node, dict):
+            todo += [(v, f"{path}.{k}", k, depth + 1) for k, v in reversed(node.items())]
+        elif isinstance(node, list):
+            todo += [(v, f"{path}[{i}]", key, depth + 1) for i, v in reversed(list(enumerate(node)))]
+        elif node is not None:
+            kind = "bool" if isinstance(node, bool) else "number" if isinstance(node, (int, float)) else "string"
+            out.append({"path": path, "key": key, "kind": kind, "value": str(node).lower() if kind == "bool" else str(node)})
+    return out
+
+
+def json_paths(docs, max_depth: int | None = None) -> Column:
+    """Leaf values with their path, nearest key and kind, at every depth (down to ``max_depth``, where it is given)."""
+    @F.pandas_udf(PATHS)
+    def rows(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _leaves(t, max_depth))
+    return rows(docs)
+
+
+def path_rows(items: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``items(page_id, pos, json)`` -> one row per leaf value."""
-    return items.select("page_id", "pos", F.inline(json_paths("json")))
+    return items.select("page_id", "pos", F.inline(json_paths("json", max_depth)))
 
 
-def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, types: bool = True) -> DataFrame:
+def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, types: bool = True, max_depth: int | None = None) -> DataFrame:
     """Leaf rows worth keeping: no dropped key anywhere on the path; each key listed or, unless it looks technical,
     a nested object, a number or a text of more than ten characters."""
     keep, drop = keep or R.KEEP, drop or R.DROP
@@ -162,7 +164,7 @@ def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, t
     leaf = one_of(F.col("key"), keep) | (~technical(F.col("key")) & (value_ok | in_list))
     leaf = F.when(F.col("key") == "@type", F.lit(types)).when(one_of(F.col("key"), R.CONTEXT), F.lit(False)).otherwise(leaf)
     short = (F.col("kind") == "string") & (F.length("value") < min_string)
-    return path_rows(items).filter(~F.exists(keys, lambda k: one_of(k, drop)) & nested_ok & leaf & ~short)
+    return path_rows(items, max_depth).filter(~F.exists(keys, lambda k: one_of(k, drop)) & nested_ok & leaf & ~short)
 
 
 def client_group(key) -> Column:

@@ -66,8 +66,10 @@ def merge_people(people: DataFrame, group: str) -> DataFrame:
 
 
 def merge_metadata(leads: DataFrame, group: str) -> DataFrame:
+    """Best confidence, latest time, number and list of the URLs (`merged_urls` has them in long form)."""
     return leads.groupBy(group).agg(F.max("data_confidence").alias("data_confidence"), F.max("scraped_at").alias("scraped_at"),
-                                    F.countDistinct("url").alias("n_urls"), F.min("url").alias("first_url"))
+                                    F.countDistinct("url").alias("n_urls"), F.min("url").alias("first_url"),
+                                    F.array_sort(F.collect_set("url")).alias("urls"))
 
 
 def merge_by_confidence(leads: DataFrame, group: str, fields: list[str]) -> DataFrame:

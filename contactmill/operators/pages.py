@@ -135,10 +135,10 @@ def page_meta(pages: DataFrame) -> DataFrame:
             .select("page_id", "pos", "_m.name", "_m.content").withColumn("grp", group))
 
 
-def page_head(pages: DataFrame) -> DataFrame:
-    """Title, charset and the common metadata values as columns."""
+def page_head(pages: DataFrame, *keep: str) -> DataFrame:
+    """Title, charset and the common metadata values as columns, beside the columns in ``keep``."""
     step = pages.select("*", meta_tags("html").alias("_m"))
-    return step.select("page_id", "url", page_title("html").alias("title"),
+    return step.select("page_id", "url", *keep, page_title("html").alias("title"),
                        F.regexp_extract("html", r"(?i)<meta\s+charset\s*=\s*[\"']?([\w-]+)", 1).alias("charset"),
                        *[meta_value("_m", n).alias(a) for n, a in
                          [("description", "description"), ("og:title", "og_title"), ("og:type", "og_type"),

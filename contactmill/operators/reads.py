@@ -34,13 +34,11 @@ def all_urls(leads: DataFrame, *drop: str) -> DataFrame:
     return leads.drop(*drop).orderBy(F.desc("scraped_at"), "url")
 
 
-def by_icp(leads: DataFrame, icp: str, skip: int = 0, limit: int = 100) -> DataFrame:
-    if not 0 <= limit <= 1000:
-        raise ValueError("limit must be between 0 and 1000")
+def by_icp(leads: DataFrame, icp: str, skip: int = 0, limit: int | None = None) -> DataFrame:
     return newest(leads, F.col("icp_identifier") == icp, skip, limit)
 
 
-def recent(leads: DataFrame, as_of: Column, hours: int, limit: int = 1000) -> DataFrame:
+def recent(leads: DataFrame, as_of: Column, hours: int, limit: int | None = None) -> DataFrame:
     return newest(leads, F.col("scraped_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS"), limit=limit)
 
 

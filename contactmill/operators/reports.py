@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as X
+from contactmill.functions.text import up_to
 from contactmill.functions import url_rules as R
 
 
@@ -35,11 +36,11 @@ def field_stats(leads: DataFrame, fields: list[str]) -> DataFrame:
         F.round(F.when(F.col("total") > 0, F.col("non_null") / F.col("total")).otherwise(0.0), 4).alias("rate"))
 
 
-def field_values(leads: DataFrame, fields: list[str], top: int = 10) -> DataFrame:
-    """Up to ``top`` distinct values of each categorical field, in order."""
+def field_values(leads: DataFrame, fields: list[str], top: int | None = None) -> DataFrame:
+    """Distinct values of each categorical field, in order, up to ``top`` where that is given."""
     values = leads.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])))
     w = Window.partitionBy("field").orderBy("value")
-    return (values.filter(X.filled("value")).distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top))
+    return up_to(values.filter(X.filled("value")).distinct().withColumn("rank", F.row_number().over(w)), top)
 
 
 def platform_fill(leads: DataFrame) -> DataFrame:
@@ -119,9 +120,9 @@ def category_report(leads: DataFrame, column: str = "industry") -> DataFrame:
     return per.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4)).orderBy(F.desc("n"), "category")
 
 
-def samples(leads: DataFrame, column: str, n: int = 5) -> DataFrame:
+def samples(leads: DataFrame, column: str, n: int | None = None) -> DataFrame:
     w = Window.partitionBy(column).orderBy("id")
-    return leads.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return up_to(leads.withColumn("rank", F.row_number().over(w)), n)
 
 
 def scrape_outcomes(log: DataFrame) -> DataFrame:

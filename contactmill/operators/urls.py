@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as X
+from contactmill.functions.text import up_to
 from contactmill.functions import url_rules as R
 
 
@@ -290,8 +291,9 @@ def classification_lookup(urls: DataFrame, cache: DataFrame, as_of: Column, ttl_
             .withColumn("confidence", F.coalesce(conf, F.col("confidence"))))
 
 
-def company_links(links: DataFrame, cap: int = 15) -> DataFrame:
-    """``links(page_id, url, href, text)`` -> company profile links of each page, made absolute, top ``cap``."""
+def company_links(links: DataFrame, cap: int | None = None) -> DataFrame:
+    """``links(page_id, url, href, text)`` -> company profile links of each page, made absolute; in order of the link, at most
+    ``cap`` of them where that is given."""
     base = F.regexp_replace(F.col("url"), r"/+$", "")
     absolute = (F.when(F.col("href").startswith("http"), F.col("href"))
                 .when(F.col("href").startswith("/"), F.concat(base, F.col("href")))
@@ -303,10 +305,10 @@ def company_links(links: DataFrame, cap: int = 15) -> DataFrame:
                     & ~X.has_any(low, R.COMPANY_LINK_INTERNAL))
             .select("page_id", "link").distinct())
     w = Window.partitionBy("page_id").orderBy("link")
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+    return up_to(kept.withColumn("rank", F.row_number().over(w)), cap)
 
 
-def same_host_links(links: DataFrame, cap: int = 50) -> DataFrame:
+def same_host_links(links: DataFrame, cap: int | None = None) -> DataFrame:
     """Earlier variant: links on the page's own host with at least two path segments."""
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     absolute = F.when(F.col("href").startswith("/"), F.concat(base, F.col("href"))).otherwise(F.col("href"))
@@ -314,14 +316,14 @@ def same_host_links(links: DataFrame, cap: int = 50) -> DataFrame:
     kept = (links.withColumn("link", absolute)
             .filter((X.netloc("link") == X.netloc("url")) & (segments >= 2)).select("page_id", "link").distinct())
     w = Window.partitionBy("page_id").orderBy("link")
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+    return up_to(kept.withColumn("rank", F.row_number().over(w)), cap)
 
 
 def leads_by_domain(leads: DataFrame, domain: str) -> DataFrame:
     return leads.filter(F.col("domain") == domain).orderBy(F.desc("scraped_at"), "id")
 
 
-def directory_domains(results: DataFrame, top: int = 10) -> DataFrame:
+def directory_domains(results: DataFrame, top: int | None = None) -> DataFrame:
     """``results(search, pos, href)`` -> directory sites of each search in result order; a fixed list when none fits."""
     wrapped = F.col("href").contains("url?q=")
     target = F.regexp_extract("href", r"url\?q=([^&]*)", 1)
@@ -333,7 +335,7 @@ def directory_domains(results: DataFrame, top: int = 10) -> DataFrame:
             .filter(X.has_any(F.lower("site"), R.DIRECTORY_RESULT_WORDS)))
     first = hits.groupBy("search", "site").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("search").orderBy("pos", "site")
-    found = (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    found = (up_to(first.withColumn("rank", F.row_number().over(w)), top)
              .select("search", "rank", "site"))
     empty = results.select("search").distinct().join(found.select("search").distinct(), "search", "left_anti")
     fallback = F.array(*[F.lit(s) for s in R.DIRECTORY_FALLBACK[:top]])

@@ -194,7 +194,7 @@ def export_batched(t):
 @query("export_search", c("SELECT url FROM (SELECT url FROM leads WHERE regexp_matches(industry, '(?i)BUILD') ORDER BY url LIMIT 10000)"))
 def export_search(t):
     path = scratch(t, "search")
-    A.export_search(leads(t).select("url", "industry"), path, "json", "BUILD", ["industry"])
+    A.export_search(leads(t).select("url", "industry"), path, "json", "BUILD", ["industry"], 10000)
     return t.spark.read.json(path).select("url")
 
 

@@ -62,7 +62,7 @@ def jsonld_generic(t):
 
 @query("jsonld_filter")
 def jsonld_filter(t):
-    return L.jsonld_filter(L.P.jsonld_items(_pages(t))).select("page_id", "path", "value")
+    return L.jsonld_filter(L.P.jsonld_items(_pages(t)), max_depth=10).select("page_id", "path", "value")
 
 
 def _pages(t):
@@ -155,7 +155,7 @@ def directory_listings(t):
     # A saved page holds the listings of one customer, a bounded list.
     blocks = t.sql(ROWS).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "block"))).alias("b"))
     pages = blocks.select("page_id", F.concat(F.lit("<html><body>"), F.array_join(F.transform("b", lambda x: x["block"]), ""), F.lit("</body></html>")).alias("html"))
-    return H.directory_listings(pages).select("page_id", "rank", "name", F.array_join(F.filter("phone", lambda p: p.startswith("(")), ",").alias("phone"))
+    return H.directory_listings(pages, 15).select("page_id", "rank", "name", F.array_join(F.filter("phone", lambda p: p.startswith("(")), ",").alias("phone"))
 
 
 @query("company_page_record")

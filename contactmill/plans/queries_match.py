@@ -138,6 +138,32 @@ def post_to_profile(t):
 FIRMS = "SELECT p_partkey AS id, concat(p_name, ' ', p_type, ' ', CASE p_partkey % 3 WHEN 0 THEN 'ltd' WHEN 1 THEN 'limited' ELSE 'group' END) AS company_name, concat(p_size * 7, CASE p_partkey % 2 WHEN 0 THEN ' Main Street, ' ELSE ' main st. ' END, p_type) AS address FROM part"
 
 
+# A closed form: the stock of names is a firm and its copies with one letter more, so similarity is known from the keys.
+CHAIN = """SELECT p_partkey AS id, concat(substr(md5(CAST(p_partkey // 4 AS VARCHAR(20))), 1, 20), repeat('x', CAST(p_partkey % 4 AS INT) * 2)) AS company_name,
+ concat(p_partkey // 4, ' ', substr(md5(CAST(p_partkey // 4 AS VARCHAR(20))), 1, 12), repeat('y', CAST(p_partkey % 4 AS INT) * 2)) AS address FROM part"""
+CHAIN_SPARK = CHAIN.replace("p_partkey // 4", "p_partkey DIV 4")
+CHAIN_PAIR = """SELECT a.{c} AS a, b.{c} AS b, CAST(round(200.0 * length(a.{c}) / (length(a.{c}) + length(b.{c}))) AS INT) AS percent
+ FROM chain a JOIN chain b ON a.id // 4 = b.id // 4 AND a.id < b.id WHERE round(200.0 * length(a.{c}) / (length(a.{c}) + length(b.{c}))) >= {p}"""
+# 20 letters and 0, 2, 4, 6 more: at 90 percent a name reaches the next one or two, never the whole chain, so the first
+# takes the second and third and the fourth is left.
+CHAIN_GROUP = "SELECT id, CASE WHEN id % 4 = 3 AND {n} THEN id ELSE id - id % 4 END AS \"group\" FROM chain"
+
+
+@query("similar_chain_pairs", twin(CHAIN_PAIR.format(c="company_name", p=85), chain=CHAIN))
+def similar_chain_pairs(t):
+    return M.similar_company_pairs(t.sql(CHAIN_SPARK))
+
+
+@query("similar_chain_addresses", twin(CHAIN_PAIR.format(c="address", p=80), chain=CHAIN))
+def similar_chain_addresses(t):
+    return M.similar_address_pairs(t.sql(CHAIN_SPARK))
+
+
+@query("dedupe_chain", twin(CHAIN_GROUP.format(n="true"), chain=CHAIN))
+def dedupe_chain(t):
+    return I.dedupe_fuzzy(t.sql(CHAIN_SPARK), 90).select("id", "group")
+
+
 @query("similar_company_pairs")
 def similar_company_pairs(t):
     return M.similar_company_pairs(t.sql(FIRMS))
@@ -220,9 +246,9 @@ def merge_people(t):
     return I.merge_people(p, "grp")
 
 
-@query("merge_metadata", cte("SELECT grp, max(data_confidence) AS data_confidence, max(scraped_at) AS scraped_at, count(DISTINCT url) AS n_urls, min(url) AS first_url FROM g GROUP BY grp", g=GROUPED))
+@query("merge_metadata", cte("SELECT grp, max(data_confidence) AS data_confidence, max(scraped_at) AS scraped_at, count(DISTINCT url) AS n_urls, min(url) AS first_url, array_to_string(list_sort(list(DISTINCT url)), ',') AS urls FROM g GROUP BY grp", g=GROUPED))
 def merge_metadata(t):
-    return I.merge_metadata(grouped(t), "grp")
+    return I.merge_metadata(grouped(t), "grp").withColumn("urls", F.array_join("urls", ","))
 
 
 @query("merge_by_confidence", cte("""SELECT grp, arg_max(email, {'c': data_confidence, 'o': -id}) FILTER (email <> '') AS email, max(data_confidence) FILTER (email <> '') AS email_confidence,

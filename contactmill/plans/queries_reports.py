@@ -44,7 +44,7 @@ def field_stats(t):
 
 @query("field_values", c("SELECT field, value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS rank FROM (SELECT DISTINCT 'industry' AS field, industry AS value FROM leads WHERE industry <> '' UNION SELECT 'location', location FROM leads WHERE location <> '')) WHERE rank <= 10"))
 def field_values(t):
-    return J.field_values(leads(t), ["industry", "location"])
+    return J.field_values(leads(t), ["industry", "location"], 10)
 
 
 @query("platform_fill", twin("SELECT platform, count(*) AS total, count(*) FILTER (id % 7 <> 0) AS with_company_name, count(*) FILTER (industry <> '') AS with_industry, count(*) FILTER (id % 3 < 2) AS with_lead_category FROM fx_contacts GROUP BY platform", "fx_contacts"))
@@ -109,7 +109,7 @@ def category_report(t):
 
 @query("category_samples", c("SELECT industry, id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY id) AS rank FROM leads) WHERE rank <= 5"))
 def category_samples(t):
-    return J.samples(leads(t), "industry").select("industry", "id", "rank")
+    return J.samples(leads(t), "industry", 5).select("industry", "id", "rank")
 
 
 @query("scrape_outcomes", twin("SELECT scraper, status, count(*) AS n FROM fx_run_log GROUP BY ALL", "fx_run_log"))
@@ -170,12 +170,12 @@ def all_urls(t):
 
 @query("by_icp", c("SELECT url FROM fx_contacts WHERE icp_identifier = 'icp_1' ORDER BY scraped_at DESC, url LIMIT 100"))
 def by_icp(t):
-    return K.by_icp(unified_table(t), "icp_1").select("url")
+    return K.by_icp(unified_table(t), "icp_1", limit=100).select("url")
 
 
 @query("recent", c(f"SELECT url FROM fx_contacts WHERE scraped_at >= {NOW} - INTERVAL 48 HOUR ORDER BY scraped_at DESC, url LIMIT 1000"))
 def recent(t):
-    return K.recent(unified_table(t), now(), 48).select("url")
+    return K.recent(unified_table(t), now(), 48, 1000).select("url")
 
 
 @query("processing_filter", c("SELECT id FROM leads WHERE score > 5000 AND platform <> 'web'"))

@@ -322,7 +322,7 @@ SELECT page_id, link, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVE
   WHERE length(link) > 10 AND NOT regexp_matches(link, '\\.(pdf|jpg|png)$') AND NOT {sql_any('lower(link)', R.COMPANY_LINK_INTERNAL)}))
 WHERE rank <= 15""", "fx_rich", anchors=ANCHORS))
 def company_links(t):
-    return U.company_links(P.page_links(t.fx_rich))
+    return U.company_links(P.page_links(t.fx_rich), 15)
 
 
 @query("same_host_links", twin("""
@@ -332,7 +332,7 @@ SELECT page_id, link, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVE
   WHERE regexp_extract(link, '^https?://([^/?#]*)', 1) = regexp_extract(url, '^https?://([^/?#]*)', 1)
    AND len(list_filter(string_split(regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) >= 2)) WHERE rank <= 50""", "fx_rich", anchors=ANCHORS))
 def same_host_links(t):
-    return U.same_host_links(P.page_links(t.fx_rich))
+    return U.same_host_links(P.page_links(t.fx_rich), 50)
 
 
 @query("leads_by_domain", twin(f"SELECT id, url FROM (SELECT *, {HOST} AS domain FROM fx_contacts) WHERE domain = 'instagram.com'", "fx_contacts"))
@@ -356,7 +356,7 @@ SELECT search, CAST(i AS INT), ([{', '.join(q(s) for s in R.DIRECTORY_FALLBACK)}
  WHERE NOT {sql_any('href', ['google.com', 'youtube.com'])} AND NOT {sql_any("replace(" + sql_netloc('site') + ", 'www.', '')", R.DIRECTORY_RESULT_SKIP)}
  AND {sql_any('lower(site)', R.DIRECTORY_RESULT_WORDS)} GROUP BY search, site) WHERE rank <= 10"""))
 def directory_domains(t):
-    return U.directory_domains(t.sql(RESULTS))
+    return U.directory_domains(t.sql(RESULTS), 10)
 
 
 PROFILES = """SELECT c_custkey AS id, concat('icp_', c_custkey) AS icp_identifier, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('buyer ', c_custkey % 9) END AS persona,

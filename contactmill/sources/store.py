@@ -114,9 +114,16 @@ def validate_export(spark: SparkSession, path: str, schema: str = schemas.LEAD)
     return found.join(meta, "_k").drop("_k").withColumn("valid", (F.col("rows") == F.col("declared")) & (F.col("corrupt") == 0) & (F.col("missing_required") == 0))
 
 
-def lead_flat(leads: DataFrame, confidences=("email", "phone", "address", "website"), socials=("facebook", "instagram", "linkedin", "twitter", "youtube"),
-              fields: list[str] | None = None) -> DataFrame:
-    """Nested leads as one flat row each: lists joined, one column per confidence and social key, sorted header."""
+def _map_keys(leads: DataFrame, column: str) -> list[str]:
+    """Distinct keys of a map column (names of fields and platforms, so a schema and not data). Runs a job."""
+    if column not in leads.columns:
+        return []
+    return sorted(r[0] for r in leads.select(F.explode(F.map_keys(column))).distinct().collect())
+
+
+def lead_flat(leads: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Nested leads as one flat row each: lists joined, one column per key that occurs in ``confidence_scores`` and per
+    key and field (url, followers, verified) in ``social_media``, sorted header. Runs a job to find the keys."""
     out = leads
     for name, kind in leads.dtypes:
         if kind == "array<string>":
@@ -124,11 +131,14 @@ def lead_flat(leads: DataFrame, confidences=("email", "phone", "address", "websi
         elif kind.startswith("array<struct"):
             out = out.withColumn(name + "_count", F.coalesce(F.nullif(F.size(name), F.lit(-1)), F.lit(0)))
             out = out.withColumn(name, F.when(F.size(name) > 0, F.to_json(name)).otherwise(""))
-    for k in confidences if "confidence_scores" in leads.columns else ():
+    for k in _map_keys(leads, "confidence_scores"):
         out = out.withColumn("confidence_" + k, F.try_element_at("confidence_scores", F.lit(k)))
-    for k in socials if "social_media" in leads.columns else ():
-        v = F.try_element_at("social_media", F.lit(k))
-        out = out.withColumn(f"social_{k}_url", v["url"] if "struct" in dict(leads.dtypes)["social_media"] else v)
+    for k in _map_keys(leads, "social_media"):
+        v, kind = F.try_element_at("social_media", F.lit(k)), leads.schema["social_media"].dataType.valueType
+        for f in [x for x in kind.fieldNames() if x != "platform"] if hasattr(kind, "fieldNames") else []:
+            out = out.withColumn(f"social_{k}_{f}", v[f])
+        if not hasattr(kind, "fieldNames"):
+            out = out.withColumn(f"social_{k}_url", v)
     out = out.drop("confidence_scores", "social_media")
     return out.select(*sorted(fields or out.columns))
 
@@ -160,9 +170,10 @@ def export_batched(leads: DataFrame, path: str, fmt: str, batch_size: int) -> No
     leads.write.mode("overwrite").option("maxRecordsPerFile", batch_size).format(fmt).save(path)
 
 
-def export_search(leads: DataFrame, path: str, fmt: str, pattern: str, fields: list[str], limit: int = 10000) -> None:
+def export_search(leads: DataFrame, path: str, fmt: str, pattern: str, fields: list[str], limit: int | None = None) -> None:
     from contactmill.operators.reads import text_search
-    text_search(leads, pattern, fields).orderBy("url").limit(limit).write.mode("overwrite").format(fmt).save(path)
+    found = text_search(leads, pattern, fields).orderBy("url")
+    (found if limit is None else found.limit(limit)).write.mode("overwrite").format(fmt).save(path)
 
 
 def unified_flat(leads: DataFrame) -> DataFrame:

@@ -53,12 +53,10 @@ def lead_upsert(stream: DataFrame, store: str, key_columns=("emails", "phones",
     """
     def merge(df: DataFrame, batch_id: int):
         spark = df.sparkSession
-        try:
-            stored = spark.read.parquet(store).filter(F.col("batch") != batch_id).select(*key_columns)
-        except Exception as e:  # no batch is there yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = df.limit(0).select(*key_columns)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        # Before the first batch there is no store.
+        stored = spark.read.parquet(store).filter(F.col("batch") != batch_id).select(*key_columns) if there else df.limit(0).select(*key_columns)
         fresh = df.join(M.dup_crawl(df, stored), "id", "left_semi")
         fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
     q = (stream.writeStream.option("checkpointLocation", f"{store}_progress").trigger(availableNow=True).foreachBatch(merge).start())
