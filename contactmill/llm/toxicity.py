@@ -30,7 +30,9 @@ DIM = 8
 PER_CLASS = 1500
 #: The mean is taken times this, so that one n-gram in a long text can move the softmax.
 SCALE = 100.0
-PRIOR = 300
+PRIOR = 600
+#: Training steps of 256 documents, whatever the sample's size.
+STEPS = 200
 
 
 def bag(texts, sizes=SIZES, buckets=BUCKETS):
@@ -57,7 +59,7 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.select("y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "y int, ids binary, counts binary, total long")
 
 
-def train(ys, ids, counts, totals, weights, buckets=BUCKETS, dim=DIM, epochs=10, batch=256, rate=0.05, decay=1e-4, min_docs=5, seed=7):
+def train(ys, ids, counts, totals, weights, buckets=BUCKETS, dim=DIM, steps=STEPS, batch=256, rate=0.05, decay=1e-4, min_docs=5, seed=7):
     """Adam on the log loss; returns the folded model (one number per bucket, bias). Buckets that fewer than ``min_docs``
     texts have are left out."""
     rng = np.random.default_rng(seed)
@@ -70,12 +72,12 @@ def train(ys, ids, counts, totals, weights, buckets=BUCKETS, dim=DIM, epochs=10,
     emb = rng.normal(0, 0.1, (int(use.sum()), dim)).astype(np.float32)
     top = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    params = [emb, top, bias]
-    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(epochs):
-        order, lr = rng.permutation(len(docs)), rate * (1 - epoch / epochs)
-        for at in range(0, len(order), batch):
-            rows = order[at:at + batch]
+    params, first, second = [emb, top, bias], [np.zeros_like(p) for p in (emb, top, bias)], [np.zeros_like(p) for p in (emb, top, bias)]
+    step, per_epoch = 0, max(1, -(-len(docs) // batch))
+    while step < steps:
+        order = rng.permutation(len(docs))
+        for rows in np.array_split(order, per_epoch)[:steps - step]:
+            lr = rate * (1 - step / steps)
             n = [len(docs[r][0]) for r in rows]
             own = np.repeat(np.arange(len(rows)), n)
             idx, val = np.concatenate([docs[r][0] for r in rows]), np.concatenate([docs[r][1] for r in rows])
