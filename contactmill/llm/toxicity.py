@@ -11,7 +11,7 @@ those with the smallest hash of doc_id; their gradient weighs as much as all row
 every row and whole texts.
 
 Nulls count as empty; a text without an n-gram gets the model's bias alone. Repeated labels count as toxic if any of them
-is. Without labels of both classes every score is the share of toxic labels (0 without any).
+is. Without labelled texts of both classes every score is 0 (1, where all labels are toxic).
 """
 
 from __future__ import annotations
@@ -103,12 +103,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.filter((F.pmod(doc_crc(), F.lit(5)) != 0) & F.col("y").isin(0, 1))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    constant = np.zeros(BUCKETS, np.float32), 30.0 if set(sizes) == {1} else -30.0
     if len(sizes) < 2:
-        share = float(sizes.get(1, 0) > 0)
-        return np.zeros(BUCKETS, np.float32), 30.0 if share else -30.0
+        return constant
     chosen = bounded(known, "y", sizes, per_class)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     rows = counted(texts).toPandas()
+    if rows["y"].nunique() < 2:
+        return constant
     ys = rows["y"].to_numpy(np.float32)
     ids = [np.frombuffer(b, "<i4") for b in rows["ids"]]
     counts = [np.frombuffer(b, "<u2") for b in rows["counts"]]
