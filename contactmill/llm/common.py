@@ -30,6 +30,11 @@ def doc_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string"))
 
 
+def text_key(text) -> tuple[Column, Column]:
+    """96 bits that stand for a text in joins: what depends on the text alone needs no row number."""
+    return F.xxhash64(text), F.coalesce(F.crc32(text), F.lit(-1))
+
+
 def bounded(ids: DataFrame, group: str, sizes: dict, n: int) -> DataFrame:
     """At most ``n`` rows per group, those with the smallest hash of doc_id. ``sizes``: rows per group; with them a cut on
     the hash leaves about 1.5 n rows per group, so that the ranking never meets a whole group."""
@@ -55,7 +60,8 @@ def ranked(df: DataFrame, by: list[str], order: list[str], parts: int | None = N
     starts = (placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
               .withColumn("_before", F.coalesce(F.sum("_n").over(
                   Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    s, p = starts.alias("s"), placed.alias("p")
+    # Written, so that its size is known: Spark then broadcasts it where it is small and the rows are not shuffled again.
+    s, p = written(starts).alias("s"), placed.alias("p")
     same = F.col("p._part") == F.col("s._part")
     for c in by:
         same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contactmill.llm.common import written
+from contactmill.llm.common import text_key, written
 
 GRAM = 3
 MAX_ITEMS = 2
@@ -178,18 +178,20 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 
 def matches(rows: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``rows``: _row (unique), _id (carried along) and text -> _row, _id, item_id, score, matched, item_words, at (first
+    """``rows``: _row (unique, or the same for equal texts), _id (carried along) and text -> _row, _id, item_id, score, matched, item_words, at (first
     word of the passage): the best passage of every document and item at or above the threshold. Items of equal text are
     one item, with the smallest id. Runs jobs: items, seeds and passages are written."""
     items = written(benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").cast("long").alias("item_id")).withColumn("item", F.xxhash64("text")))
     seed = written(seeds(items.select("item", "text")))
     found = written(passages(rows.filter(F.col("text").isNotNull()), seed_filter(seed)))
-    one = found.select("_row", "_part", F.explode("grams").alias("gram")).join(seed, "gram").select("_row", "_part", "item").distinct()
-    pairs = (one.join(found.select("_row", "_id", "_part", "at", F.col("text").alias("passage")), ["_row", "_part"])
+    found = found.dropDuplicates(["_row", "_id", "_part"])
+    one = found.select("_row", "_id", "_part", F.explode("grams").alias("gram")).join(seed, "gram").select("_row", "_id", "_part", "item").distinct()
+    there = found.select("_row", F.col("_id").alias("_i"), "_part", "at", F.col("text").alias("passage"))
+    pairs = (one.join(there, ["_row", "_part"]).filter(F.col("_id").eqNullSafe(F.col("_i"))).drop("_i")
              .join(items.select("item", "item_id", F.col("text").alias("item_text")), "item"))
     good = scored(pairs).filter((F.col("score") >= threshold) & (F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("item_words"))))
     best = F.max(F.struct("score", "matched", "item_words", "at")).alias("m")
-    return good.groupBy("_row", "item_id").agg(F.max("_id").alias("_id"), best).select("_row", "_id", "item_id", "m.*")
+    return good.groupBy("_row", "_id", "item_id").agg(best).select("_row", "_id", "item_id", "m.*")
 
 
 def op9_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -202,6 +204,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a benchmark item, with all their columns."""
     names = docs.columns
     at = {n: f"c{i}" for i, n in enumerate(names)}
-    rows = written(docs.toDF(*at.values()).withColumn("_row", F.monotonically_increasing_id()))
-    bad = matches(rows.select("_row", F.lit(None).cast("long").alias("_id"), F.col(at["text"]).alias("text")), benchmark).select("_row").distinct()
-    return rows.join(bad, "_row", "left_anti").select(*[F.col(c).alias(n) for n, c in at.items()])
+    one, two = text_key(F.col(at["text"]))
+    rows = docs.toDF(*at.values()).select("*", one.alias("_row"), two.alias("_id"))
+    # Whether a document goes depends on its text alone, so equal texts may share a key.
+    bad = written(matches(rows.select("_row", "_id", F.col(at["text"]).alias("text")), benchmark).select("_row", "_id").distinct())
+    return rows.join(bad, ["_row", "_id"], "left_anti").select(*[F.col(c).alias(n) for n, c in at.items()])

@@ -64,11 +64,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Rows with ``doc_id``, ``source`` and ``size`` (and any other columns) -> the same rows with ``source_size``,
-    ``target`` and ``copies``."""
+    ``target`` and ``copies``. ``docs`` is read three times (sizes, ranges, rows); a costly one should be written first."""
     names = docs.columns
     keep = [f"c{i}" for i in range(len(names))]
     at = dict(zip(names, keep))
-    rows = written(docs.toDF(*keep).withColumn("source", F.col(at["source"])))
+    rows = docs.toDF(*keep).withColumn("source", F.col(at["source"]))
     sizes = rows.groupBy("source").agg(F.sum(at["size"]).cast("long").alias("source_size"))
     goal = targets(sizes, weights, share, cap).withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     placed = ranked(rows, ["source"], [at["size"], at["doc_id"]])
@@ -91,4 +91,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op10_mixing(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return plan_mix(slim).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return plan_mix(written(slim)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from contactmill.functions.graph import connected
-from contactmill.llm.common import hot_join, written
+from contactmill.llm.common import hot_join, text_key, written
 
 SEED = 42
 RADIUS = 3
@@ -185,14 +185,15 @@ def similar(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_links(rows: DataFrame, text: str, dense: int = DENSE) -> DataFrame:
-    """Rows with ``_fp``, ``_wide``, ``_uid`` -> verified links between fingerprints, each by its first row's text."""
-    nodes = rows.groupBy("_fp").agg(F.min("_uid").alias("_uid"), F.min_by("_wide", "_uid").alias("_wide"))
-    nodes = written(nodes)
+def near_links(rows: DataFrame, texts: DataFrame, dense: int = DENSE) -> DataFrame:
+    """Rows with ``_fp``, ``_wide``, ``_k1``, ``_k2`` (the key of their text) and texts with ``_k1``, ``_k2``, ``t`` ->
+    verified links between fingerprints, each by one of its texts."""
+    nodes = written(rows.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2", "_wide")).alias("n")).select("_fp", "n.*"))
     pairs = written(near_candidates(nodes.select("_fp", "_wide"), dense))
     used = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct()
-    texts = written(rows.select("_uid", F.col(text).cast("binary").alias("t")).join(nodes.join(used, "_fp", "left_semi").select("_uid", "_fp"), "_uid").select("_fp", "t"))
-    t = lambda x: texts.select(F.col("_fp").alias(x), F.col("t").alias("t" + x))
+    used = written(nodes.join(used, "_fp", "left_semi").select("_k1", "_k2", "_fp"))
+    held = written(texts.join(used, ["_k1", "_k2"]).select("_fp", "t").dropDuplicates(["_fp"]))
+    t = lambda x: held.select(F.col("_fp").alias(x), F.col("t").alias("t" + x))
     return similar(pairs.join(t("a"), "a").join(t("b"), "b"))
 
 
@@ -218,10 +219,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """Documents -> one row of every group of copies and near copies, the one with the smallest doc_id (of repeated rows,
     one); columns kept. Fingerprints within three bits link, and so do texts of similar shingles."""
     names = docs.columns
-    keep = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = dict(zip(names, keep.columns))
-    rows = written(with_fingerprint(keep.withColumn("_uid", F.monotonically_increasing_id()).withColumn("_bytes", F.col(at["text"]).cast("binary")), wide=True))
-    first = F.struct(F.col(at["doc_id"]).isNull().alias("n"), F.col(at["doc_id"]).alias("d"), F.col("_uid").alias("u"))
-    more = near_links(rows.select("_fp", "_wide", "_uid", at["text"]), at["text"])
-    chosen = labelled(rows.select("_fp", at["doc_id"], "_uid"), first, more).select(F.col("_first.u").alias("_uid")).distinct()
-    return rows.join(chosen, "_uid", "left_semi").select(*[F.col(c).alias(n) for n, c in at.items()])
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    text, own = F.col(at["text"]), F.col(at["doc_id"])
+    one, two = text_key(text)
+    plain = docs.toDF(*at.values()).select("*", one.alias("_k1"), two.alias("_k2"))
+    # Fingerprints are written without the texts; a row is known by its doc_id and the key of its text.
+    slim = plain.select(own.isNull().alias("_none"), F.coalesce(own.cast("long"), F.lit(0)).alias("_doc"), "_k1", "_k2", text.cast("binary").alias("_bytes"))
+    rows = written(with_fingerprint(slim, wide=True))
+    more = near_links(rows, plain.select("_k1", "_k2", text.cast("binary").alias("t")))
+    row = ["_none", "_doc", "_k1", "_k2"]
+    chosen = labelled(rows.select("_fp", *row), F.struct(*row), more).select("_first.*").distinct()
+    often = rows.groupBy(*row).agg(F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("_often", F.lit(True))
+    chosen = written(chosen.join(often, row, "left").withColumn("_often", F.coalesce("_often", F.lit(False))))
+    named = plain.select("*", own.isNull().alias("_none"), F.coalesce(own.cast("long"), F.lit(0)).alias("_doc"))
+    kept = named.join(chosen, row)
+    # Of rows that repeat id and text, one stays; only those are compared once more.
+    kept = kept.filter("not _often").unionByName(kept.filter("_often").dropDuplicates(row))
+    return kept.select(*[F.col(c).alias(n) for n, c in at.items()])

@@ -182,8 +182,24 @@ def test_simhash_equals_brute_force(docs, rows, none):
     want = sorted(((r[0] is None, r[0] or 0), format(f, "016x"), least.get(c)) for r, f, c in zip(rows, fps, comp))
     assert got == want
     assert simhash.op6_simhash(none).count() == 0
+
+
+def test_filter_keeps_one_of_copies_and_near_copies(docs, rows, none):
+    shingles = [simhash.shingle_set((r[1] or "").encode()) for r in rows]
+    root = brute_components([brute_fp(r[1]) for r in rows])
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    least = {}
+    for r, c in zip(rows, root):
+        key = (r[0] is None, r[0] or 0)
+        least[c] = min(key, least.get(c, key))
     kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(comp))
+    assert kept.columns == docs.columns and ids(kept) == sorted(least.values())
+    assert 4 in {r["doc_id"] for r in kept.collect()} and 71 not in {r["doc_id"] for r in kept.collect()}
+    assert simhash.one_of_each(none).count() == 0
 
 
 def test_dense_halves_lose_no_link(spark):
