@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from contactmill.llm import decontaminate, langid, maintext, mixing, pii, quality, simhash, tokens, toxicity, urltree
 from contactmill.llm.common import table
+from contactmill.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_langid(spark, sf_dir):
@@ -47,5 +50,3 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_tokens, op3_pii, op4_toxicity, op5_urls, op6_simhash, op7_quality, op8_main_text, op9_decontaminate, op10_mixing)}
-
-ORACLES: dict[str, str] = {}
