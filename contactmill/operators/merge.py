@@ -83,6 +83,32 @@ def merge_by_confidence(leads: DataFrame, group: str, fields: list[str]) -> Data
     return leads.groupBy(group).agg(*aggs, F.max("score").alias("score"))
 
 
+def united(leads: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Array columns united per group, in order of first appearance (by id). Values are reduced to distinct ones per
+    group before they meet, so what comes together in one row is what the merged lead holds."""
+    kinds = dict(leads.dtypes)
+    out = leads.select(group).distinct()
+    for c in columns:
+        each = leads.select(group, "id", F.posexplode(c).alias("_pos", "_v")).filter(F.col("_v").isNotNull())
+        once = each.groupBy(group, "_v").agg(F.min(F.struct("id", "_pos")).alias("_at"))
+        union = once.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(c))
+        out = out.join(union, group, "left").withColumn(c, F.coalesce(c, F.array().cast(kinds[c])))
+    return out
+
+
+def filled_in(leads: DataFrame, group: str, column: str) -> DataFrame:
+    """A map column (social profiles) filled in per group: of every key the first filled value, by id."""
+    each = leads.select(group, "id", F.explode(column).alias("_key", "_value")).filter(X.filled(F.col("_value").cast("string")))
+    first = each.groupBy(group, "_key").agg(F.min_by("_value", "id").alias("_value"))
+    return first.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_key", "_value")))).alias(column))
+
+
+def merge_whole(leads: DataFrame, group: str, fields: list[str], lists: list[str], social: str | None = None) -> DataFrame:
+    """`merge_by_confidence` with the unions (services, intents, data sources) and social profiles of all leads."""
+    out = merge_by_confidence(leads, group, fields).join(united(leads, group, lists), group)
+    return out if social is None else out.join(filled_in(leads, group, social), group, "left")
+
+
 def dedupe_exact(leads: DataFrame) -> DataFrame:
     """Adds ``group``: leads with the same composite key share the smallest id; keyless leads stay alone and take no part
     in the join. A hot key is split."""
@@ -130,11 +156,8 @@ def survivors(grouped: DataFrame) -> DataFrame:
             for c in keep if c not in lists]
     tops = [F.max(c).alias(c) for c in ("score", "data_confidence", "scraped_at") if c in grouped.columns]
     out = grouped.groupBy("group").agg(F.count("*").alias("_n"), *aggs, *tops).drop("_n")
-    for c in lists:
-        each = grouped.select("group", "id", F.posexplode(c).alias("_pos", "_v")).filter(F.col("_v").isNotNull())
-        once = each.groupBy("group", "_v").agg(F.min(F.struct("id", "_pos")).alias("_at"))
-        union = once.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(c))
-        out = out.join(union, "group", "left").withColumn(c, F.coalesce(c, F.array().cast(kinds[c])))
+    if lists:
+        out = out.join(united(grouped, "group", lists), "group")
     return out.select(F.col("group").alias("id"), *[c for c in grouped.columns if c not in ("id", "group")])
 
 

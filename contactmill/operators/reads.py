@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from contactmill.functions import text as X
 
 
-def newest(leads: DataFrame, where: Column | None = None, skip: int = 0, limit: int | None = None, key: str = "url") -> DataFrame:
+def newest(leads: DataFrame, where: Column | None = None, skip: int = 0, limit: int | None = None, key: str = "url", after: tuple | None = None) -> DataFrame:
+    """Newest rows first. ``after`` is (scraped_at, key) of the last row seen: the next page starts behind it, and a deep
+    page costs no more than the first. ``skip`` counts rows instead, so it keeps skip + limit of them."""
     out = leads if where is None else leads.filter(where)
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        out = out.filter((F.col("scraped_at") < at) | ((F.col("scraped_at") == at) & (F.col(key) > last)))
     out = out.orderBy(F.desc("scraped_at"), key)
     out = out.offset(skip) if skip else out
     return out.limit(limit) if limit is not None else out

@@ -37,6 +37,22 @@ def read_url_list(t):
     return Rd.read_url_list(t.spark, path, "txt", http_only=True)
 
 
+@query("read_url_list_json", twin("SELECT url FROM fx_urls WHERE id % 2 = 0 UNION ALL SELECT url FROM fx_urls WHERE id % 2 = 1", "fx_urls"))
+def read_url_list_json(t):
+    # One file is a plain list, the other an object with "urls".
+    path = scratch(t, "urls")
+    halves = t.fx_urls.groupBy((F.col("id") % 2).alias("half")).agg(F.collect_list("url").alias("urls"))
+    halves.select(F.when(F.col("half") == 0, F.to_json("urls")).otherwise(F.to_json(F.struct("urls"))).alias("value")).repartition(2, "value").write.option("maxRecordsPerFile", 1).text(path)
+    return Rd.read_url_list(t.spark, path, "json")
+
+
+@query("read_url_list_csv", twin("SELECT url FROM fx_urls", "fx_urls"))
+def read_url_list_csv(t):
+    path = scratch(t, "urls")
+    t.fx_urls.select("url", "id").write.csv(path)
+    return Rd.read_url_list(t.spark, path, "csv")
+
+
 LEAD_ROWS = "SELECT CAST(id AS VARCHAR(20)) AS id, url AS source_url, full_name AS business_name, industry, score AS lead_score, email FROM fx_contacts"
 
 
@@ -150,6 +166,13 @@ def export_rows(t):
                     F.create_map(F.lit("email"), F.lit(0.8)).alias("confidence_scores"), "social_media", "ai_leads")
 
 
+@query("export_json_rows", twin("SELECT CAST(id AS VARCHAR) AS id, coalesce(nullif(trim(email), ''), '') AS email, industry, score AS lead_score FROM web", "fx_contacts", web=WEB))
+def export_json_rows(t):
+    path = scratch(t, "export")
+    A.export_json(export_rows(t), path, as_of(), compress=True)
+    return t.spark.read.schema("id string, email array<string>, industry string, lead_score double").json(f"{path}/leads").select("id", F.array_join("email", ",").alias("email"), "industry", "lead_score")
+
+
 @query("export_json", twin("SELECT count(*) AS total_records, 'json' AS export_type FROM fx_contacts", "fx_contacts"))
 def export_json(t):
     path = scratch(t, "export")
@@ -164,6 +187,16 @@ def validate_export(t):
     return A.validate_export(t.spark, path)
 
 
+@query("export_errors", c("""SELECT CAST(id AS VARCHAR) AS place, 'missing source_url' AS error FROM leads WHERE id % 4 = 0 UNION ALL SELECT '', 'missing id' FROM leads WHERE id % 5 = 0 AND id % 4 <> 0
+ UNION ALL SELECT '', 'missing id' FROM leads WHERE id % 20 = 0 UNION ALL SELECT '{broken', 'not readable' FROM supplier""").replace("CAST(id AS VARCHAR) AS place, 'missing", "CASE WHEN id % 5 = 0 THEN '' ELSE CAST(id AS VARCHAR) END AS place, 'missing"))
+def export_errors(t):
+    path = scratch(t, "export")
+    df = leads(t).select(F.when(F.col("id") % 5 == 0, "").otherwise(F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 4 != 0, F.col("url")).alias("source_url"), "industry")
+    A.export_json(df, path, as_of())
+    t.supplier.select(F.lit("{broken").alias("value")).write.mode("append").text(f"{path}/leads")
+    return A.export_errors(t.spark, path)
+
+
 @query("export_csv_flat", twin("SELECT CAST(id AS VARCHAR) AS id, coalesce(nullif(trim(email), ''), '') AS email, 0.8::DOUBLE AS confidence_email, concat('fb', id) AS social_facebook_url, CAST(CASE WHEN m1 IS NULL THEN 0 ELSE 1 END AS INT) AS ai_leads_count FROM web", "fx_contacts", web=WEB))
 def export_csv_flat(t):
     return A.lead_flat(export_rows(t)).select("id", "email", "confidence_email", "social_facebook_url", "ai_leads_count")

@@ -65,6 +65,12 @@ def jsonld_filter(t):
     return L.jsonld_filter(L.P.jsonld_items(_pages(t)), max_depth=10).select("page_id", "path", "value")
 
 
+@query("jsonld_filter_custom", d("SELECT page_id, '$.name' AS path, concat('P', page_id) AS value FROM docs WHERE page_id % 5 = 0 UNION ALL SELECT page_id, '$.name', concat('O', page_id) FROM docs WHERE page_id % 5 = 1"))
+def jsonld_filter_custom(t):
+    rows = L.jsonld_filter(L.P.jsonld_items(_pages(t)), keep=["name"], drop=["headline", "publisher", "author"], types=False)
+    return rows.filter("page_id % 5 < 2 and path = '$.name'").select("page_id", "path", "value")
+
+
 def _pages(t):
     return t.sql(DOCS).select("page_id", F.lit("https://x.example.org").alias("url"), F.concat(F.lit('<script type="application/ld+json">'), F.col("json"), F.lit("</script>")).alias("html"))
 

@@ -258,6 +258,20 @@ def merge_by_confidence(t):
     return I.merge_by_confidence(g, "grp", ["email", "phone"])
 
 
+@query("merge_whole", cte("""SELECT m.grp, m.email, m.score, u.services, so.social FROM
+ (SELECT grp, arg_max(email, {'c': data_confidence, 'o': -id}) FILTER (email <> '') AS email, max(score) AS score FROM g GROUP BY grp) m
+ JOIN (SELECT grp, string_agg(v, ',' ORDER BY first_id, p) AS services FROM (SELECT grp, v, min(id) AS first_id, arg_min(p, {'i': id, 'p': p}) AS p FROM
+  (SELECT grp, id, 0 AS p, industry AS v FROM g UNION ALL SELECT grp, id, 1, location FROM g) WHERE v IS NOT NULL GROUP BY grp, v) GROUP BY grp) u USING (grp)
+ LEFT JOIN (SELECT grp, string_agg(k || '=' || v, ',' ORDER BY k) AS social FROM (SELECT grp, k, arg_min(v, id) AS v FROM
+  (SELECT grp, id, platform AS k, CASE WHEN id % 2 = 0 THEN url ELSE '' END AS v FROM g) WHERE v <> '' GROUP BY grp, k) GROUP BY grp) so USING (grp)""", g=GROUPED))
+def merge_whole(t):
+    g = (grouped(t).withColumn("email_confidence", F.col("data_confidence")).withColumn("services", F.array("industry", "location"))
+         .withColumn("social", F.create_map("platform", F.when(F.col("id") % 2 == 0, F.col("url")).otherwise(""))))
+    out = I.merge_whole(g, "grp", ["email"], ["services"], "social")
+    pairs = F.transform(F.array_sort(F.map_entries("social")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select("grp", "email", "score", F.array_join("services", ",").alias("services"), F.array_join(pairs, ",").alias("social"))
+
+
 @query("duplicate_groups", cte("""SELECT id, email, phone, group_size FROM (SELECT *, count(*) OVER (PARTITION BY coalesce(email, ''), coalesce(phone, ''), company_name) AS group_size FROM leads) WHERE group_size > 1"""))
 def duplicate_groups(t):
     return I.duplicate_groups(leads(t), "email", "phone", "company_name").select("id", "email", "phone", "group_size")

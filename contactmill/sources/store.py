@@ -121,6 +121,29 @@ def _map_keys(leads: DataFrame, column: str) -> list[str]:
     return sorted(r[0] for r in leads.select(F.explode(F.map_keys(column))).distinct().collect())
 
 
+def export_errors(spark: SparkSession, path: str, schema: str = schemas.LEAD) -> DataFrame:
+    """One row per fault of an export: where it is (lead, line or part), and what is wrong."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    def there(part: str) -> bool:
+        folder = jvm(f"{path}/{part}")
+        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    kind = "place string, error string"
+    missing = [(p, f"missing {p}") for p in ("leads", "metadata") if not there(p)]
+    out = spark.createDataFrame(missing, kind)
+    if there("leads"):
+        rows = spark.read.schema(schema + ", _corrupt_record string").json(f"{path}/leads")
+        faults = F.array_compact(F.array(
+            F.when(F.col("_corrupt_record").isNotNull(), F.lit("not readable")),
+            F.when(F.col("_corrupt_record").isNull() & X.blank("id"), F.lit("missing id")),
+            F.when(F.col("_corrupt_record").isNull() & X.blank("source_url"), F.lit("missing source_url"))))
+        out = out.unionByName(rows.select(F.coalesce("id", F.col("_corrupt_record"), F.lit("")).alias("place"), F.explode(faults).alias("error")))
+    if there("metadata"):
+        meta = spark.read.schema("export_type string, total_records long, schema string").json(f"{path}/metadata")
+        faults = F.array_compact(F.array(F.when(F.col("total_records").isNull(), F.lit("missing total_records")), F.when(X.blank("schema"), F.lit("missing schema"))))
+        out = out.unionByName(meta.select(F.lit("metadata").alias("place"), F.explode(faults).alias("error")))
+    return out
+
+
 def lead_flat(leads: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Nested leads as one flat row each: lists joined, one column per key that occurs in ``confidence_scores`` and per
     key and field (url, followers, verified) in ``social_media``, sorted header. Runs a job to find the keys."""
