@@ -238,6 +238,14 @@ def unified_flat(t):
     return f.select("url", "platform", "full_name", "location", "emails", "phone_numbers", "industry", "icp_identifier", "scraped_at", "data_quality_score")
 
 
+@query("unified_flat_rest", twin("""SELECT url, '' AS bio, '' AS job_title, '' AS address, '' AS websites, '' AS linkedin, '' AS twitter, '' AS facebook, '' AS instagram, '' AS youtube, '' AS tiktok,
+ CASE WHEN id % 7 = 0 THEN '' ELSE concat('Biz ', id) END AS company_name, '' AS company_type, CASE id % 3 WHEN 0 THEN 'B2B' WHEN 1 THEN 'B2C' ELSE '' END AS lead_category, '' AS lead_sub_category, '' AS decision_makers, '' AS bdr FROM fx_contacts""", "fx_contacts"))
+def unified_flat_rest(t):
+    rest = ("bio", "job_title", "address", "websites", "linkedin", "twitter", "facebook", "instagram", "youtube", "tiktok", "company_name", "company_type", "lead_category", "lead_sub_category",
+            "decision_makers", "bdr")
+    return A.unified_flat(unified_table(t)).select("url", *[F.coalesce(c, F.lit("")).alias(c) for c in rest])
+
+
 @query("write_raw_extraction", twin("SELECT page_id, url, true AS json_ld FROM fx_pages", "fx_pages"))
 def write_raw_extraction(t):
     path = scratch(t, "raw")

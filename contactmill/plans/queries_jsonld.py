@@ -83,9 +83,11 @@ def jsonld_client_info(t):
     return L.client_info(art)
 
 
-@query("any_to_text", d("SELECT page_id, concat_ws(' ', 'Article', concat('N', page_id), 'Letter', '2025', 'W', concat('Pub', page_id % 9), 'x1', 't') AS text FROM docs WHERE page_id % 5 = 3"))
+@query("any_to_text", d('''SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat('Person P', page_id, ' Head Chair https://p/', page_id, ' Town FR Acme https://schema.org/FollowAction') WHEN 1 THEN concat('Organization O', page_id, ' ', page_id, ' Main 12345 https://s/1')
+ WHEN 2 THEN concat('DiscussionForumPosting H', page_id, ' B https://x/', page_id, ' Person A', page_id, ' https://a https://linkedin.com/in/a https://other c1 n1 c2 n2 http://schema.org/LikeAction') WHEN 3 THEN concat('Article N', page_id, ' Letter 2025 W Pub', page_id % 9, ' x1 t')
+ ELSE concat('LocalBusiness L', page_id, ' +1 555 0', page_id, ' l', page_id, '@firm.example.org Long text of the local business number ', page_id, ' https://l') END AS text FROM docs'''))
 def any_to_text(t):
-    return L.any_to_text(t.sql(DOCS).filter(F.get_json_object("json", "$['@type']") == "Article"))
+    return L.any_to_text(t.sql(DOCS))
 
 
 BROKEN = """SELECT o_orderkey AS page_id, CASE o_orderkey % 4 WHEN 0 THEN concat('{"a": ', o_orderkey, ',}') WHEN 1 THEN concat('{''a'': ''v', o_orderkey, '''}') WHEN 2 THEN concat('{"a": "x}"} junk {"b": {"c": ', o_orderkey, '}}') ELSE 'none' END AS raw FROM orders"""
@@ -127,9 +129,10 @@ def first_reliable(t):
     return t.fx_contacts.select("id", F.coalesce(X.first_reliable("email", "phone"), F.lit("none")).alias("best"), X.reliable_int(F.lit("x"), F.lit("1,234")).alias("n"))
 
 
-@query("structured_business", d("SELECT page_id, CASE page_id % 5 WHEN 1 THEN concat('O', page_id) WHEN 3 THEN concat('Pub', page_id % 9) WHEN 4 THEN concat('L', page_id) END AS company_name FROM docs"))
+@query("structured_business", d("""SELECT page_id, CASE page_id % 5 WHEN 1 THEN concat('O', page_id) WHEN 3 THEN concat('Pub', page_id % 9) WHEN 4 THEN concat('L', page_id) END AS company_name, CAST(NULL AS VARCHAR) AS legal_name,
+ CASE WHEN page_id % 5 = 4 THEN concat('Long text of the local business number ', page_id) END AS description, CASE WHEN page_id % 5 = 4 THEN 'https://l' END AS website, CAST(NULL AS VARCHAR) AS founding_date FROM docs"""))
 def structured_business(t):
-    return L.structured_business(items(t)).select("page_id", "company_name")
+    return L.structured_business(items(t))
 
 
 @query("structured_contacts", d("SELECT page_id, 'phone' AS kind, concat('+1 555 0', page_id) AS value, 0.9::DOUBLE AS confidence FROM docs WHERE page_id % 5 = 4 UNION ALL SELECT page_id, 'email', concat('l', page_id, '@firm.example.org'), 0.9::DOUBLE FROM docs WHERE page_id % 5 = 4"))
@@ -137,9 +140,9 @@ def structured_contacts(t):
     return L.structured_contacts(items(t))
 
 
-@query("structured_people", d("SELECT page_id, concat('A', page_id) AS name, 'linkedin' AS platform FROM docs WHERE page_id % 5 = 2"))
+@query("structured_people", d("SELECT page_id, concat('A', page_id) AS name, CAST(NULL AS VARCHAR) AS title, 'https://a' AS profile_url, 'linkedin' AS platform, 'https://linkedin.com/in/a' AS url FROM docs WHERE page_id % 5 = 2"))
 def structured_people(t):
-    return L.structured_people(items(t)).select("page_id", "name", F.explode("social").alias("s")).select("page_id", "name", "s.platform")
+    return L.structured_people(items(t)).select("page_id", "name", "title", "profile_url", F.inline("social"))
 
 
 @query("structured_relevant", d("SELECT page_id, CASE WHEN page_id % 5 = 3 THEN concat('Pub', page_id % 9) END AS publisher FROM docs WHERE page_id % 5 <> 2"))
@@ -147,9 +150,10 @@ def structured_relevant(t):
     return L.structured_relevant(items(t)).select("page_id", F.get_json_object("json", "$.publisher"). alias("p")).select("page_id", F.get_json_object("p", "$.name").alias("publisher"))
 
 
-@query("structured_company", d("SELECT page_id, concat('O', page_id) AS name, 'Organization' AS company_type FROM docs WHERE page_id % 5 = 1 UNION ALL SELECT page_id, concat('L', page_id), NULL FROM docs WHERE page_id % 5 = 4"))
+@query("structured_company", d('''SELECT page_id, concat('O', page_id) AS name, concat('O', page_id) AS organization, NULL AS notes, concat(page_id, ' Main, 12345') AS location, NULL AS telephone, NULL AS email, NULL AS site, 'Organization' AS company_type, 0.7::DOUBLE AS confidence FROM docs WHERE page_id % 5 = 1
+ UNION ALL SELECT page_id, concat('L', page_id), concat('L', page_id), concat('Long text of the local business number ', page_id), '', concat('+1 555 0', page_id), concat('l', page_id, '@firm.example.org'), 'https://l', NULL, 0.7::DOUBLE FROM docs WHERE page_id % 5 = 4'''))
 def structured_company(t):
-    return L.structured_company(items(t)).select("page_id", "name", "company_type")
+    return L.structured_company(items(t))
 
 
 ROWS = """SELECT o_custkey AS page_id, o_orderkey, concat('<div class="listing-item"><h3>Acme Works ', o_orderkey, '</h3><span>Call (415) 555-', lpad(CAST(o_orderkey % 9000 AS VARCHAR(6)), 4, '0'), '</span><p>12 Long Harbour Street</p></div>') AS block FROM orders"""
