@@ -58,13 +58,13 @@ def counts(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG):
-    """(languages by learning rows, Bloom slots, false positive rate per language). Runs jobs; the driver gets at most
-    1 / LEAST n-grams per language."""
+    """(languages by learning rows, Bloom slots for each 64 of them, false positive rate per language). Runs jobs; the
+    driver gets at most 1 / LEAST n-grams per language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(doc_crc(), F.lit(3)) != 1))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not langs:
-        return [], np.zeros(SLOTS, np.uint8), np.zeros(0)
+        return [], [], np.zeros(0)
     chosen = bounded(known.select("doc_id", "lang"), "lang", sizes, per_lang).distinct()
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     each = counts(rows)
@@ -72,16 +72,18 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG):
     rated = each.withColumn("rate", rate).filter(F.col("rate") >= LEAST)
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
     own = rated.join(top, "gram").filter(F.col("rate") >= SHARE * F.col("top")).select("lang", "gram").toPandas()
-    width = next(w for w in (8, 16, 32, 64) if len(langs) <= w or w == 64)
-    if len(langs) > 64:
-        raise ValueError("the bitmask holds 64 languages")
-    table = np.zeros(SLOTS, f"u{width // 8}")
-    for i, lang in enumerate(langs):
-        h = own["gram"].to_numpy(np.int64)[(own["lang"] == lang).to_numpy()].view(np.uint64)
-        for s in slots(h):
-            table[s] |= table.dtype.type(1 << i)
-    filled = np.array([(table >> table.dtype.type(i) & table.dtype.type(1)).mean() for i in range(len(langs))])
-    return langs, table, filled ** HASHES
+    tables, chance = [], []
+    for first in range(0, len(langs), 64):
+        part = langs[first:first + 64]
+        width = next(w for w in (8, 16, 32, 64) if len(part) <= w)
+        table = np.zeros(SLOTS, f"u{width // 8}")
+        for i, lang in enumerate(part):
+            h = own["gram"].to_numpy(np.int64)[(own["lang"] == lang).to_numpy()].view(np.uint64)
+            for s in slots(h):
+                table[s] |= table.dtype.type(1 << i)
+        tables.append(table)
+        chance += [(table >> table.dtype.type(i) & table.dtype.type(1)).mean() ** HASHES for i in range(len(part))]
+    return langs, tables, np.array(chance)
 
 
 def popcounts(texts: list[str], n_langs: int, table: np.ndarray):
@@ -107,11 +109,12 @@ def popcounts(texts: list[str], n_langs: int, table: np.ndarray):
 
 
 def predict(texts: list[str | None], model) -> tuple[list[str], list[float]]:
-    langs, table, chance = model
+    langs, tables, chance = model
     if not langs:
         return ["und"] * len(texts), [0.0] * len(texts)
     plain = [t or "" for t in texts]
-    total, hits = popcounts(plain, len(langs), table)
+    parts = [popcounts(plain, min(64, len(langs) - 64 * k), table) for k, table in enumerate(tables)]
+    total, hits = parts[0][0], np.concatenate([h for _, h in parts], axis=1)
     fixed = np.maximum((hits - total[:, None] * chance) / np.maximum(1 - chance, 1e-9), 0)
     best, whole = fixed.argmax(1), fixed.sum(1)
     score = np.where(whole > 0, fixed[np.arange(len(best)), best] / np.maximum(whole, 1e-12), 0.0)

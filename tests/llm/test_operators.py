@@ -324,6 +324,14 @@ def test_languages_of_held_out_texts(spark, docs, none):
     assert langid.op1_langid(none).count() == 0
 
 
+def test_more_languages_than_one_mask_holds(spark):
+    rng = random.Random(18)
+    stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(70)]
+    rows = [(i, " ".join(stems[i % 70] + rng.choice("aeiou") for _ in range(12)), f"l{i % 70:02d}") for i in range(420)]
+    out = langid.op1_langid(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % 70:02d}" for r in out)
+
+
 def test_bitmask_filter_returns_every_language():
     rng = np.random.default_rng(3)
     grams = [rng.integers(0, 2 ** 63, 5000).astype(np.uint64) for _ in range(3)]
