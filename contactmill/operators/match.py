@@ -124,13 +124,17 @@ def first_holders(rows: DataFrame, stored_keys: DataFrame | None = None) -> Data
     return kept.select("id")
 
 
+def crawl_keys() -> Column:
+    """Emails and phones of a lead; of one without contacts, its name, URL, company and type."""
+    c = contact_keys("emails", "phones")
+    return F.when(F.size(c) > 0, c).otherwise(F.array_compact(F.array(full_key("full_name", "url", "company_name", "content_type"))))
+
+
 def dup_crawl(leads: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids of the batch that are new: no email or phone of an earlier row or of the store; rows without contacts are
     compared with other rows without contacts on name, URL, company and type."""
-    c = contact_keys("emails", "phones")
-    own = F.array_compact(F.array(full_key("full_name", "url", "company_name", "content_type")))
-    keys = F.when(F.size(c) > 0, c).otherwise(own)
-    return first_holders(leads.select("id", "ord", keys.alias("keys")), stored.select(keys.alias("keys")))
+    keys = crawl_keys().alias("keys")
+    return first_holders(leads.select("id", "ord", keys), stored.select(keys))
 
 
 def web_keys(emails, phones, websites, name) -> Column:

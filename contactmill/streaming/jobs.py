@@ -45,20 +45,32 @@ def run_to_files(stream: DataFrame, out: str, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-def lead_upsert(stream: DataFrame, store: str, key_columns=("emails", "phones", "full_name", "url", "company_name", "content_type")) -> None:
+KEY_BUCKETS = 256
+
+
+def lead_upsert(stream: DataFrame, store: str) -> None:
     """Append the leads of every batch that neither the store nor an earlier row of the batch has.
 
-    Only the key columns of the store are read. A batch that runs again reads the other batches and overwrites its own
-    folder, so the result is the same.
+    The keys of stored leads are kept beside the store, in folders by a hash of the key; a batch reads only the folders
+    its own keys fall into (at most ``KEY_BUCKETS`` numbers reach the driver). A batch that runs again reads the other
+    batches and overwrites its own folders, so the result is the same.
     """
+    keys = f"{store}_keys"
+    bucket = F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int")
+
     def merge(df: DataFrame, batch_id: int):
         spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
-        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        # Before the first batch there is no store.
-        stored = spark.read.parquet(store).filter(F.col("batch") != batch_id).select(*key_columns) if there else df.limit(0).select(*key_columns)
-        fresh = df.join(M.dup_crawl(df, stored), "id", "left_semi")
+        rows = df.select("id", "ord", M.crawl_keys().alias("keys"))
+        asked = [r[0] for r in rows.select(F.explode("keys").alias("key")).select(bucket).distinct().collect()]
+        folder = spark._jvm.org.apache.hadoop.fs.Path(keys)
+        stored = None
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            known = spark.read.schema("key string, batch long, bucket int").parquet(keys)
+            stored = known.filter((F.col("batch") != batch_id) & F.col("bucket").isin(asked)).select(F.array("key").alias("keys"))
+        fresh = df.join(M.first_holders(rows, stored), "id", "left_semi")
         fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        new = spark.read.parquet(f"{store}/batch={batch_id}").select(F.explode(M.crawl_keys()).alias("key")).distinct()
+        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{keys}/batch={batch_id}")
     q = (stream.writeStream.option("checkpointLocation", f"{store}_progress").trigger(availableNow=True).foreachBatch(merge).start())
     q.awaitTermination()
 

@@ -95,3 +95,21 @@ def test_a_hot_and_a_null_key_are_split(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_upsert_in_many_batches_reads_only_the_buckets_it_needs(spark, tmp_path):
+    from contactmill.streaming import jobs as St
+    src, store = str(tmp_path / "src"), str(tmp_path / "store")
+    rows = [(i, i, [f"m{i % 7}@x.org"] if i % 3 else [], [], f"N{i % 5}", "u", "c", "t") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, ord long, emails array<string>, phones array<string>, full_name string, url string, company_name string, content_type string")
+    for k in range(4):
+        df.filter(f"id div 10 = {k}").coalesce(1).write.mode("append").parquet(src)
+    St.lead_upsert(St.read_stream(spark, src, "*.parquet", max_files=1), store)
+    got = {r["id"] for r in spark.read.parquet(store).select("id").collect()}
+    seen, want = set(), set()
+    for i, _, mails, *_ in rows:
+        key = mails[0] if mails else f"f{i % 5}"
+        if key not in seen:
+            want.add(i)
+        seen.add(key)
+    assert got == want and len(list((tmp_path / "store").glob("batch=*"))) == 4
