@@ -13,7 +13,7 @@ fingerprint there, one link each. No link is lost and nothing is squared.
 The filter (`one_of_each`) also removes near copies whose five-word shingles agree to 0.8 or more; most of those differ in
 more than three bits. Their candidates come from a second SimHash of 256 bits, over the distinct words, by the same ball
 hashing: two texts are candidates when one of its eight pieces of 32 bits agrees within one bit. A piece that more than
-``dense`` texts share asks for a second piece. Candidates near in all 256 bits are verified on their shingles. Measured
+64 texts share asks for a second piece. Candidates near in all 256 bits are verified on their shingles. Measured
 on the test tables this finds 0.88 to 0.98 of all such pairs.
 
 Nulls and texts without a word have fingerprint zero, linked like any other. Repeated rows each get their row. An empty
@@ -64,8 +64,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def word_fingerprint(text: bytes | None) -> list[int]:
-    """SimHash of the distinct words, as eight pieces of 32 bits."""
+    """SimHash of the distinct words, as eight pieces of 32 bits. Words of five bytes and more only, where a text has a few
+    of them: short ones are shared by all texts of a language and would make strangers collide."""
     words = set(text.lower().split()) if text else set()
+    long = {w for w in words if len(w) >= 5}
+    words = long if len(long) >= 8 else words
     if not words:
         return [0] * (2 * len(MULTIPLIERS))
     own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
@@ -110,6 +113,12 @@ def _array(values) -> F.Column:
     return F.expr("array(" + ", ".join(f"{v}L" for v in values) + ")")
 
 
+def thick_keys(centres: DataFrame, dense: int) -> DataFrame:
+    """Keys that more than ``dense`` fingerprints have. Written, so that Spark knows how few they are and need not shuffle
+    the variants for them."""
+    return written(centres.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select("key"))
+
+
 def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     """Distinct fingerprints ``_fp`` -> links ``a``, ``b``: enough of the pairs within three bits to connect all of them
     (every pair, but for those of a dense half, which are linked through a common middle)."""
@@ -119,14 +128,13 @@ def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     near = _array(_masks(1))
     ball = nodes.select("_fp", F.explode(F.concat(F.transform(near, lambda m: low.bitwiseXOR(m)),
                                                   F.transform(near, lambda m: high.bitwiseXOR(m) + tag))).alias("key"))
-    sizes = centres.groupBy("key").agg(F.count("*").alias("n"))
-    sized = ball.join(sizes, "key")
+    thick = thick_keys(centres, dense)
     c = centres.withColumnRenamed("_fp", "b")
-    pairs = (sized.filter(F.col("n") <= dense).withColumnRenamed("_fp", "a").join(c, "key")
+    pairs = (ball.join(thick, "key", "left_anti").withColumnRenamed("_fp", "a").join(c, "key")
              .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b"))
     first = F.col("key") < tag
     own, other = F.when(first, low).otherwise(high + tag), F.when(first, high).otherwise(low)
-    packed = sized.filter(F.col("n") > dense).select("_fp", "key", (own == F.col("key")).alias("same"), other.alias("other"))
+    packed = ball.join(thick, "key", "left_semi").select("_fp", "key", (own == F.col("key")).alias("same"), other.alias("other"))
     wide = F.explode(F.when(F.col("same"), _array(_masks(2))).otherwise(near)).alias("mask")
     met = packed.select("_fp", "key", "same", "other", wide).select(
         "_fp", "key", F.col("other").bitwiseXOR(F.col("mask")).alias("middle"), (F.col("same") & (F.bit_count("mask") <= 1)).alias("centre"))
@@ -136,7 +144,7 @@ def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def near_candidates(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
+def near_candidates(nodes: DataFrame, dense: int = DENSE // 4) -> DataFrame:
     """``_fp``, ``_wide`` -> candidate pairs ``a``, ``b`` of fingerprints. Texts with the same pieces throughout are
     linked to the first of them, which alone goes on; of two pieces that differ in a bit, the one that lacks it emits the
     other (setting each of its unset bits), so the variants that clear a bit would only find the same pairs again."""
@@ -150,13 +158,12 @@ def near_candidates(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     near = lambda v: F.concat(F.array(v), F.transform(F.filter(bits, lambda m: v.bitwiseAND(m) == 0), lambda m: v + m))
     ball = first.select("_fp", F.posexplode("_wide").alias("i", "v")).select("_fp", "i", F.explode(near(F.col("v"))).alias("v"))
     ball = ball.select("_fp", (F.col("v") + piece(F.col("i"))).alias("key"))
-    sized = ball.join(centres.groupBy("key").agg(F.count("*").alias("n")), "key")
+    thick = thick_keys(centres, dense)
     c = centres.withColumnRenamed("_fp", "b")
-    pairs = sized.filter(F.col("n") <= dense).withColumnRenamed("_fp", "a").join(c, "key").select("a", "b")
-    thick = sized.filter(F.col("n") > dense).join(first, "_fp")
-    second = thick.select("_fp", "key", F.posexplode("_wide").alias("j", "w")).filter(F.col("j") != F.shiftrightunsigned("key", 32))
+    pairs = ball.join(thick, "key", "left_anti").withColumnRenamed("_fp", "a").join(c, "key").select("a", "b")
+    second = ball.join(thick, "key", "left_semi").join(first, "_fp").select("_fp", "key", F.posexplode("_wide").alias("j", "w")).filter(F.col("j") != F.shiftrightunsigned("key", 32))
     inside = second.select("_fp", "key", "j", F.explode(near(F.col("w"))).alias("w")).select(F.col("_fp").alias("a"), "key", "j", "w")
-    own = centres.join(sized.filter(F.col("n") > dense).select("key").distinct(), "key", "left_semi").join(first, "_fp")
+    own = centres.join(thick, "key", "left_semi").join(first, "_fp")
     own = own.select(F.col("_fp").alias("b"), "key", F.posexplode("_wide").alias("j", "w"))
     pairs = pairs.unionByName(inside.join(own, ["key", "j", "w"]).select("a", "b"))
     pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -185,7 +192,7 @@ def similar(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_links(rows: DataFrame, texts: DataFrame, dense: int = DENSE) -> DataFrame:
+def near_links(rows: DataFrame, texts: DataFrame, dense: int = DENSE // 4) -> DataFrame:
     """Rows with ``_fp``, ``_wide``, ``_k1``, ``_k2`` (the key of their text) and texts with ``_k1``, ``_k2``, ``t`` ->
     verified links between fingerprints, each by one of its texts."""
     nodes = written(rows.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2", "_wide")).alias("n")).select("_fp", "n.*"))

@@ -99,7 +99,7 @@ def train(ys, ids, counts, totals, weights, buckets=BUCKETS, dim=DIM, steps=STEP
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    """Model from the labelled rows that are not held out. Runs jobs; at most 2 * per_class packed rows reach the driver."""
+    """Model from the labelled rows that are not held out. Runs jobs; a task trains on at most 2 * per_class packed rows."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.filter((F.pmod(doc_crc(), F.lit(5)) != 0) & F.col("y").isin(0, 1))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -108,9 +108,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
         return constant
     chosen = bounded(known, "y", sizes, per_class)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = counted(texts).toPandas()
-    if rows["y"].nunique() < 2:
-        return constant
+
+    def learn(batches):
+        held = list(batches)
+        rows = pa.Table.from_batches(held).to_pandas() if held else None
+        model = fitted(rows, sizes) if held and rows["y"].nunique() == 2 else None
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model[0].tobytes()], pa.binary()), pa.array([model[1]], pa.float64())], ["folded", "bias"])
+
+    # One task trains: it gets the bounded sample, packed.
+    got = counted(texts).repartition(1).mapInArrow(learn, "folded binary, bias double").collect()
+    return (np.frombuffer(got[0]["folded"], np.float32), got[0]["bias"]) if got else constant
+
+
+def fitted(rows, sizes: dict):
+    """The model of packed training rows (as `counted` gives them); ``sizes``: labelled rows of each class."""
     ys = rows["y"].to_numpy(np.float32)
     ids = [np.frombuffer(b, "<i4") for b in rows["ids"]]
     counts = [np.frombuffer(b, "<u2") for b in rows["counts"]]
