@@ -11,10 +11,11 @@ formed again, on the other half: whoever reaches the same middle is within three
 fingerprint there, one link each. No link is lost and nothing is squared.
 
 The filter (`one_of_each`) also removes near copies whose five-word shingles agree to 0.8 or more; most of those differ in
-more than three bits. Their candidates come from a second SimHash of 256 bits, over the distinct words, by the same ball
-hashing: two texts are candidates when one of its eight pieces of 32 bits agrees within one bit. A piece that more than
-64 texts share asks for a second piece. Candidates near in all 256 bits are verified on their shingles. Measured
-on the test tables this finds 0.88 to 0.98 of all such pairs.
+more than three bits. They come from an exact prefix join: shingles have one order for all texts, frequent ones last; of n
+shingles a text keeps the first n // 5 + 1, and two texts that agree to 0.8 have one of those in common, at places that
+leave enough shingles behind it. The order is learnt from a bounded sample and decides the cost only: under any order
+every such pair is met. Texts that share a shingle are first compared with the one that has it earliest, twice; after
+that only texts of different components are, so a large group of near copies gives a few links for each text.
 
 Nulls and texts without a word have fingerprint zero, linked like any other. Repeated rows each get their row. An empty
 table gives an empty result.
@@ -32,16 +33,17 @@ from pyspark.sql.window import Window
 
 from contactmill.functions.graph import connected
 from contactmill.llm.common import hot_join, text_key, written
+from contactmill.llm.decontaminate import grams
 
 SEED = 42
 RADIUS = 3
 DENSE = 256
-#: Of the filter's second fingerprint: odd multipliers that make four hashes of one, and the bits that may differ.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-WIDE_RADIUS = 48
 SIMILARITY = 0.8
 SHINGLE = 5
 LOW = 0xFFFFFFFF
+#: Texts from which the order of shingles is learnt, and frequent shingles that it knows.
+SAMPLE = 20_000
+FREQUENT = 1 << 17
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -63,42 +65,70 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def word_fingerprint(text: bytes | None) -> list[int]:
-    """SimHash of the distinct words, as eight pieces of 32 bits. Words of five bytes and more only, where a text has a few
-    of them: short ones are shared by all texts of a language and would make strangers collide."""
-    words = set(text.lower().split()) if text else set()
-    long = {w for w in words if len(w) >= 5}
-    words = long if len(long) >= 8 else words
-    if not words:
-        return [0] * (2 * len(MULTIPLIERS))
-    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    out: list[int] = []
-    for m in MULTIPLIERS:
-        h = own * np.uint64(m)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        total = np.zeros(64, np.int64)
-        for i in range(0, len(h), 65536):
-            total += np.unpackbits(h[i:i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out += np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view("<u4").tolist()
-    return out
+def shingle_hashes(text: bytes | None, known: dict) -> np.ndarray:
+    """64-bit hashes of the distinct five-word shingles (of all words, where there are fewer), sorted; ``known`` remembers
+    the hashes of words between texts."""
+    ws = text.lower().split() if text else []
+    if len(known) > 500_000:
+        known.clear()
+    own = np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in ws], np.uint64)
+    return np.unique(grams(own, SHINGLE)) if ws else np.zeros(1, np.int64)
+
+
+def frequent_shingles(texts: DataFrame, n: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Texts ``_bytes`` with ``_doc`` and ``_k1`` -> sorted hashes of frequent shingles, and for each the power of two of its
+    frequency in a sample of about ``n`` rows. Only the order of shingles depends on it."""
+    share = min(1.0, n / max(1, texts.count()))
+    part = F.pmod(F.xxhash64("_doc", "_k1"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def run(batches):
+        known: dict = {}
+        for b in batches:
+            got = [shingle_hashes(x.as_py(), known) for x in b.column("_bytes")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else [], pa.int64())], ["h"])
+
+    some = texts.withColumn("_part", part).filter(F.col("_part") < share).select("_bytes").mapInArrow(run, "h long")
+    often = some.groupBy("h").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    often = often.sort_values("h")
+    return often["h"].to_numpy(np.int64), np.log2(often["n"].to_numpy(np.float64)).astype(np.int64)
+
 
+def prefix(h: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a text in the order of all texts: those that a text of similarity 0.8 must share one of."""
+    last = np.zeros(len(h), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        last = np.where(often[at] == h, rank[at], 0)
+    return h[np.lexsort((h, last))][:len(h) // 5 + 1]
 
-def with_fingerprint(df: DataFrame, width: int = 3, wide: bool = False) -> DataFrame:
-    """Replace the binary column ``_bytes`` by ``_fp`` (and ``_wide``); other columns pass unchanged."""
+
+def with_fingerprint(df: DataFrame, width: int = 3, order: tuple | None = None) -> DataFrame:
+    """Replace the binary column ``_bytes`` by ``_fp``; other columns pass unchanged. With ``order`` (of
+    `frequent_shingles`) also ``_s1``, ``_s2`` (what stands for the set of shingles), ``_n`` (its size) and ``_sig`` (its prefix)."""
     names = [c for c in df.columns if c != "_bytes"]
+    shared = df.sparkSession.sparkContext.broadcast(order) if order is not None else None
+    more = [("_s1", pa.int64()), ("_s2", pa.int64()), ("_n", pa.int64()), ("_sig", pa.list_(pa.int64()))] if order is not None else []
 
     def run(batches):
+        known: dict = {}
         for b in batches:
             texts = [x.as_py() for x in b.column("_bytes")]
             new = [pa.array([fingerprint(t, width) for t in texts], pa.int64())]
-            if wide:
-                new.append(pa.array([word_fingerprint(t) for t in texts], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new], [*names, "_fp", "_wide"][:len(names) + len(new)])
+            if shared is not None:
+                often, rank = shared.value
+                got = []
+                for t in texts:
+                    h = shingle_hashes(t, known)
+                    raw = h.tobytes()
+                    two = [int(np.uint64(xxhash.xxh64_intdigest(raw, k)).view(np.int64)) for k in (1, 2)]
+                    got.append((*two, len(h), prefix(h, often, rank)))
+                new += [pa.array([g[i] for g in got], ty) for i, (_, ty) in enumerate(more)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new], [*names, "_fp", *[c for c, _ in more]])
 
     schema = df.select(*[F.col(f"`{c}`") for c in names]).schema.add("_fp", "long")
-    return df.mapInArrow(run, schema.add("_wide", ArrayType(LongType())) if wide else schema)
+    for c, _ in more:
+        schema = schema.add(c, ArrayType(LongType()) if c == "_sig" else LongType())
+    return df.mapInArrow(run, schema)
 
 
 def _masks(radius: int) -> list[int]:
@@ -144,33 +174,41 @@ def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def near_candidates(nodes: DataFrame, dense: int = DENSE // 4) -> DataFrame:
-    """``_fp``, ``_wide`` -> candidate pairs ``a``, ``b`` of fingerprints. Texts with the same pieces throughout are
-    linked to the first of them, which alone goes on; of two pieces that differ in a bit, the one that lacks it emits the
-    other (setting each of its unset bits), so the variants that clear a bit would only find the same pairs again."""
-    first = nodes.groupBy("_wide").agg(F.min("_fp").alias("_fp"))
-    f = first.select(F.col("_wide").alias("_w"), F.col("_fp").alias("_head"))
-    same = nodes.join(f, nodes["_wide"] == f["_w"]).filter("_fp <> _head").select(F.col("_head").alias("a"), F.col("_fp").alias("b"))
-    first = written(first)
-    piece = lambda i: F.lit(1 << 32) * i
-    centres = first.select("_fp", F.posexplode("_wide").alias("i", "v")).select("_fp", (F.col("v") + piece(F.col("i"))).alias("key"))
-    bits = _array([1 << k for k in range(32)])
-    near = lambda v: F.concat(F.array(v), F.transform(F.filter(bits, lambda m: v.bitwiseAND(m) == 0), lambda m: v + m))
-    ball = first.select("_fp", F.posexplode("_wide").alias("i", "v")).select("_fp", "i", F.explode(near(F.col("v"))).alias("v"))
-    ball = ball.select("_fp", (F.col("v") + piece(F.col("i"))).alias("key"))
-    thick = thick_keys(centres, dense)
-    c = centres.withColumnRenamed("_fp", "b")
-    pairs = ball.join(thick, "key", "left_anti").withColumnRenamed("_fp", "a").join(c, "key").select("a", "b")
-    second = ball.join(thick, "key", "left_semi").join(first, "_fp").select("_fp", "key", F.posexplode("_wide").alias("j", "w")).filter(F.col("j") != F.shiftrightunsigned("key", 32))
-    inside = second.select("_fp", "key", "j", F.explode(near(F.col("w"))).alias("w")).select(F.col("_fp").alias("a"), "key", "j", "w")
-    own = centres.join(thick, "key", "left_semi").join(first, "_fp")
-    own = own.select(F.col("_fp").alias("b"), "key", F.posexplode("_wide").alias("j", "w"))
-    pairs = pairs.unionByName(inside.join(own, ["key", "j", "w"]).select("a", "b"))
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    w = lambda x: first.select(F.col("_fp").alias(x), F.col("_wide").alias("_w" + x))
-    apart = F.aggregate(F.zip_with("_wa", "_wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
-    close = pairs.join(w("a"), "a").join(w("b"), "b").filter(apart <= WIDE_RADIUS).select("a", "b")
-    return close.unionByName(same)
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """``_row``, ``_n``, ``_sig`` -> ``h``, ``id``, ``n``, ``pos`` of the prefix shingles that two or more texts have. One
+    shuffle; a frequent shingle takes part in it with one short row for each text."""
+    each = nodes.select(F.col("_row").alias("id"), "_n", F.posexplode("_sig").alias("pos", "h"))
+    each = each.select("h", "id", (F.shiftleft("_n", 31) + F.col("pos")).alias("at"))
+    own = each.withColumn("many", F.count("*").over(Window.partitionBy("h"))).filter("many > 1")
+    return own.select("h", "id", F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"))
+
+
+def may_agree(n, i, m, j):
+    """Whether texts of n and m shingles can agree to 0.8 where their first common one stands at i and j."""
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
+
+
+def met(live: DataFrame, roots: DataFrame | None, step: int) -> DataFrame:
+    """Shared shingles and the components so far (``node``, ``root``) -> pairs ``a``, ``b`` of texts of different
+    components that may agree. Step 1: each text with the one that has the shingle earliest; 2: the texts outside that
+    one's component with the earliest of themselves; 3: these with all others."""
+    rows = live.withColumn("comp", F.col("id"))
+    if roots is not None:
+        named = hot_join(live, roots.select(F.col("node").alias("id"), "root"), "id", "h")
+        rows = named.withColumn("comp", F.coalesce("root", "id")).drop("root")
+    lead = F.min(F.struct("pos", "id", "n", "comp")).over(Window.partitionBy("h"))
+    rows = rows.withColumn("lead", lead)
+    rest = rows.filter("comp <> lead.comp")
+    if step == 2:
+        rest = rest.withColumn("lead", lead).filter("comp <> lead.comp")
+    if step < 3:
+        found = rest.select("id", "n", "pos", F.col("lead.id").alias("id_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
+    else:
+        other = rows.select("h", *[F.col(c).alias(c + "_") for c in ("id", "n", "pos", "comp")])
+        both = written(rest.select("h", "id", "n", "pos", "comp", F.col("lead.comp").alias("main"))).join(other, "h")
+        found = both.filter((F.col("comp") != F.col("comp_")) & ((F.col("comp_") == F.col("main")) | (F.col("id") < F.col("id_"))))
+    found = found.filter(may_agree(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_")))
+    return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
 def shingle_set(text: bytes | None) -> set:
@@ -192,16 +230,28 @@ def similar(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_links(rows: DataFrame, texts: DataFrame, dense: int = DENSE // 4) -> DataFrame:
-    """Rows with ``_fp``, ``_wide``, ``_k1``, ``_k2`` (the key of their text) and texts with ``_k1``, ``_k2``, ``t`` ->
-    verified links between fingerprints, each by one of its texts."""
-    nodes = written(rows.groupBy("_fp").agg(F.min(F.struct("_k1", "_k2", "_wide")).alias("n")).select("_fp", "n.*"))
-    pairs = written(near_candidates(nodes.select("_fp", "_wide"), dense))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct()
-    used = written(nodes.join(used, "_fp", "left_semi").select("_k1", "_k2", "_fp"))
-    held = written(texts.join(used, ["_k1", "_k2"]).select("_fp", "t").dropDuplicates(["_fp"]))
-    t = lambda x: held.select(F.col("_fp").alias(x), F.col("t").alias("t" + x))
-    return similar(pairs.join(t("a"), "a").join(t("b"), "b"))
+def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows with ``_row`` (unique), ``_fp``, ``_k1``, ``_k2`` (the key of their text) and what `with_fingerprint` adds, and
+    texts with ``_k1``, ``_k2``, ``t`` -> links between fingerprints that connect all texts whose shingles agree to
+    ``SIMILARITY``. Texts of the same shingles are linked to the first of them, which alone goes on."""
+    first = F.min(F.struct("_row", "_fp", "_k1", "_k2", "_n", "_sig")).alias("n")
+    nodes = written(rows.groupBy("_s1", "_s2").agg(first).select("_s1", "_s2", "n.*"))
+    same = rows.select("_s1", "_s2", F.col("_fp").alias("b")).distinct().join(nodes.select("_s1", "_s2", F.col("_fp").alias("a")), ["_s1", "_s2"])
+    live = written(shared_shingles(nodes))
+    used = written(nodes.join(live.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi").select("_k1", "_k2", "_row"))
+    held = written(texts.join(used, ["_k1", "_k2"]).select("_row", "t").dropDuplicates(["_row"]))
+    t = lambda x: held.select(F.col("_row").alias(x), F.col("t").alias("t" + x))
+    sure = tested = roots = None
+    for step in (1, 2, 3):
+        pairs = met(live, roots, step)
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        good = written(similar(pairs.join(t("a"), "a").join(t("b"), "b")))
+        sure = good if sure is None else sure.unionByName(good)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = written(connected(sure)) if step < 3 else None
+    fp = lambda x: nodes.select(F.col("_row").alias(x), F.col("_fp").alias("f" + x))
+    named = sure.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return named.unionByName(same.select("a", "b")).filter("a <> b").distinct()
 
 
 def labelled(rows: DataFrame, first, more: DataFrame | None = None, dense: int = DENSE) -> DataFrame:
@@ -232,7 +282,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     plain = docs.toDF(*at.values()).select("*", one.alias("_k1"), two.alias("_k2"))
     # Fingerprints are written without the texts; a row is known by its doc_id and the key of its text.
     slim = plain.select(own.isNull().alias("_none"), F.coalesce(own.cast("long"), F.lit(0)).alias("_doc"), "_k1", "_k2", text.cast("binary").alias("_bytes"))
-    rows = written(with_fingerprint(slim, wide=True))
+    rows = written(with_fingerprint(slim.withColumn("_row", F.monotonically_increasing_id()), order=frequent_shingles(slim)))
     more = near_links(rows, plain.select("_k1", "_k2", text.cast("binary").alias("t")))
     row = ["_none", "_doc", "_k1", "_k2"]
     chosen = labelled(rows.select("_fp", *row), F.struct(*row), more).select("_first.*").distinct()

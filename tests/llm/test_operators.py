@@ -202,6 +202,33 @@ def test_filter_keeps_one_of_copies_and_near_copies(docs, rows, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def similar_components(texts):
+    """Root of every text over all pairs of shingle similarity 0.8 and over the fingerprints."""
+    shingles = [simhash.shingle_set(t.encode()) for t in texts]
+    root = brute_components([brute_fp(t) for t in texts])
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(shingles[i] & shingles[j])
+            if n >= 0.8 * (len(shingles[i]) + len(shingles[j]) - n) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def changed(rng, ws, at, n):
+    return ws[:at] + ["".join(rng.choice("bcdfglmnprstvaeiou") for _ in range(rng.randint(2, 8))) for _ in range(n)] + ws[at + n:]
+
+
+def test_filter_finds_every_near_copy(spark):
+    """A tenth of the words in one run is new: the shingles agree to 0.8, no piece of a fingerprint of words need agree."""
+    rng, texts = random.Random(21), []
+    for _ in range(40):
+        ws = changed(rng, [], 0, 300)
+        texts += [" ".join(ws), " ".join(changed(rng, ws, rng.randrange(270), rng.randint(20, 32)))]
+    got = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == set(similar_components(texts))
+
+
 def test_dense_halves_lose_no_link(spark):
     rng = random.Random(8)
     base = rng.getrandbits(64)
