@@ -229,6 +229,28 @@ def test_filter_finds_every_near_copy(spark):
     assert {r["doc_id"] for r in got.collect()} == set(similar_components(texts))
 
 
+def test_large_group_of_near_copies_by_few_pairs(spark):
+    """Copies of one text with one or two changed words, and chains between them: all are found, few pairs are compared."""
+    rng, base = random.Random(22), changed(random.Random(23), [], 0, 120)
+    texts = [" ".join(base)]
+    for _ in range(250):
+        ws = base
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            ws = changed(rng, ws, rng.randrange(119), 1)
+        texts.append(" ".join(ws))
+    for k in range(10):
+        ws = changed(rng, base, 12 * k, 3)
+        texts += [" ".join(ws), " ".join(changed(rng, ws, rng.randrange(118), 1))]
+    texts += [" ".join(changed(rng, [], 0, 60)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _doc long").withColumn("_k1", F.xxhash64("text")).withColumn("_k2", F.lit(0))
+    got = simhash.one_of_each(df.select("doc_id", "text"))
+    assert {r["doc_id"] for r in got.collect()} == set(similar_components(texts))
+    slim = df.select("_doc", "_k1", "_k2", F.col("text").cast("binary").alias("_bytes"))
+    nodes = simhash.with_fingerprint(slim.withColumn("_row", F.col("_doc")), order=simhash.frequent_shingles(slim))
+    live = simhash.shared_shingles(nodes)
+    assert live.filter("n <= 0").count() == 0 and simhash.met(live, None, 1).count() <= 12 * len(texts)
+
+
 def test_dense_halves_lose_no_link(spark):
     rng = random.Random(8)
     base = rng.getrandbits(64)
