@@ -3,8 +3,12 @@
 Every document is measured; each measure is put into a log-linear bucket (six significant bits, so a value is known to
 1/32). The counts per (language, source, measure, bucket) are the sketch: of bounded size, merged by adding, the same for
 any split of the rows. A group with fewer than ``MIN_DOCS`` documents takes the sketch merged over its language, and that
-one over everything. A document goes when a measure lies above q75 + 3 * max(q75 - q25, the measure's least spread); the
-quartiles stay put while up to a quarter of a group is junk, and a clean group loses nothing. Thresholds are joined back.
+one over everything. All thresholds are read from the sketches. A document goes when its mean word length lies further
+than three quartile distances outside the quartiles, above or below, or when its share of symbols, repeated lines or
+repeated words lies above q90 + 3 * (q90 - q50): most groups have none of these, so that their quartiles coincide; they
+stay put while up to a tenth of a group is junk. The only constants are of the order of a bucket: a distance counts as one
+bucket at least, and ``LEAST`` per mille of a share, or a single occurrence, are never held against a document.
+Thresholds are joined back.
 
 Everything is DataFrame functions. Null texts count as empty; a null language or source is a group of its own; an empty
 table gives an empty result; repeated rows count as often as they occur.
@@ -23,8 +27,11 @@ BLANKS = " \t\n\x0b\f\r"
 WINDOW = 5
 MIN_DOCS = 50
 FENCE = 3
-#: Measure -> least spread between the quartiles, in its unit (per mille; for word length hundredths of a character).
-SPREAD = {"symbols": 30, "dup_lines": 120, "repeats": 60, "word_length": 120}
+HIGH = 90
+#: Measures that are shares (per mille; word length is in hundredths of a character), and the size of a bucket in thousand.
+SHARES = ("symbols", "dup_lines", "repeats")
+MEASURES = (*SHARES, "word_length")
+LEAST = 1000 >> 6
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,27 +83,35 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "measure", F.expr(BUCKET).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _width(bucket: str) -> Column:
+    """Number of values in a bucket."""
+    return F.expr(f"shiftleft(1L, cast(greatest(length(bin({bucket})) - 6, 0) as int))")
+
+
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches merged over ``by`` -> group size and upper fence per measure, as one map per group."""
+    """Sketches merged over ``by`` -> group size, upper fence per measure and the lower one of word length."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
-    q = ranked.groupBy(*by, "measure").agg(F.max("all").alias("docs"), at(25).alias("q25"), at(75).alias("q75"))
-    spread = F.create_map(*[x for m, s in SPREAD.items() for x in (F.lit(m), F.lit(s))])
-    fence = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), spread[F.col("measure")])
-    return q.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, fence)).alias(f"max_{m}") for m in SPREAD])
+    q = ranked.groupBy(*by, "measure").agg(F.max("all").alias("docs"), at(25).alias("q25"), at(50).alias("mid"), at(75).alias("q75"), at(HIGH).alias("high"))
+    # A quantile is any value of its bucket: the upper end counts above, the lower one below.
+    reach = lambda far, near: FENCE * F.greatest(F.col(far) - F.col(near), _width(far))
+    up = lambda far, near: F.col(far) + _width(far) - 1 + reach(far, near)
+    fence = F.when(F.col("measure").isin(*SHARES), F.greatest(up("high", "mid"), F.lit(LEAST))).otherwise(up("q75", "q25"))
+    return q.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, fence)).alias(f"max_{m}") for m in MEASURES],
+                              F.max(F.when(F.col("measure") == "word_length", F.col("q25") - reach("q75", "q25"))).alias("min_word_length"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """One row per (lang, source) with the fence of each measure."""
+    """One row per (lang, source) with the fences of each measure."""
     sketch = written(sketches(measured))
     own, lang = fences(sketch, ["lang", "source"]).alias("o"), fences(sketch, ["lang"]).alias("l")
     every = fences(sketch, []).first()
-    whole = {m: F.lit(every[f"max_{m}"]).cast("long") for m in SPREAD}
+    names = [*[f"max_{m}" for m in MEASURES], "min_word_length"]
     both = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")), "left")
-    pick = lambda m: (F.when(F.col("o.docs") >= MIN_DOCS, F.col(f"o.max_{m}")).when(F.col("l.docs") >= MIN_DOCS, F.col(f"l.max_{m}")).otherwise(whole[m]))
-    return both.select(F.struct("o.lang", "o.source").alias("_group"), *[pick(m).alias(f"max_{m}") for m in SPREAD])
+    pick = lambda c: F.when(F.col("o.docs") >= MIN_DOCS, F.col(f"o.{c}")).when(F.col("l.docs") >= MIN_DOCS, F.col(f"l.{c}")).otherwise(F.lit(every[c]).cast("long"))
+    return both.select(F.struct("o.lang", "o.source").alias("_group"), *[pick(c).alias(c) for c in names])
 
 
 def judged(measured: DataFrame) -> DataFrame:
@@ -104,9 +119,11 @@ def judged(measured: DataFrame) -> DataFrame:
     rows = measured.withColumn("_group", F.struct("lang", "source"))
     both = hot_join(rows, thresholds(measured), "_group", "doc_id", how="inner")
     fine = None
+    once = {"symbols": F.col("n_symbols") <= 1, "dup_lines": F.col("n_dup_lines") <= 1, "repeats": F.col("n_repeat_words") <= 2 * WINDOW}
     for m, v in rates().items():
-        ok = v <= F.col(f"max_{m}")
+        ok = (v <= F.col(f"max_{m}")) | once.get(m, F.lit(False))
         fine = ok if fine is None else fine & ok
+    fine = fine & (rates()["word_length"] >= F.col("min_word_length"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return both.withColumn("base_failed", failed).withColumn("kept", ~failed & fine).drop("_group")
 

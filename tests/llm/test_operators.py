@@ -147,6 +147,26 @@ def test_quality_thresholds_follow_the_group(spark):
     assert {r["doc_id"] for r in quality.good_documents(df).collect()} == set(range(400))
 
 
+def test_quality_thresholds_come_from_the_sketches(spark):
+    """Levels that fixed cutoffs of 90, 360 and 180 per mille and q75 + 3.6 characters let pass, each rare in its group; the
+    same levels stay where they are usual."""
+    rng = random.Random(24)
+    def some(n, length=4):
+        return ["".join(rng.choice("bcdfglmnprstvaeiou") for _ in range(length)) for _ in range(n)]
+    def lines(again):
+        own = [" ".join(some(8)) for _ in range(20)]
+        return "\n".join(own[:20 - again] + own[:again])
+    rows = [(i, lines(0), "en", "plain") for i in range(200)]
+    rows += [(200 + i, lines(2), "en", "refrains") for i in range(200)]
+    repeats = some(90)
+    odd = [lines(2), " ".join(some(93)) + " # # # # # #", " ".join(repeats + repeats[:6]), " ".join(some(100, 6)), " ".join(some(100, 2))]
+    rows += [(400 + i, t, "en", "plain") for i, t in enumerate(odd)]
+    got = quality.op7_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in got if r["doc_id"] >= 400)
+    assert {r["doc_id"] for r in got if not r["kept"]} - set(range(200, 400)) == {400, 401, 402, 403, 404}
+    assert all(r["kept"] == (not r["base_failed"]) for r in got if 200 <= r["doc_id"] < 400)
+
+
 # --- 6: SimHash ---------------------------------------------------------------------------------------------------
 
 def brute_fp(t):
