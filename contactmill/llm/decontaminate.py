@@ -1,14 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages around them.
 
-1. Seeds. Every item's n-grams (three words, lower-cased, punctuation stripped) that few other items share; n-grams in
-   more than ``max_items`` items are stock phrases and seed nothing unless an item would be left without a seed.
+1. Seeds. Every item's n-grams (three words, lower-cased, punctuation stripped) that few other items share, and the rarest
+   one of every stretch of ``STRETCH`` n-grams, however many items share it: items made from a template have seeds
+   throughout. An item with no n-gram in ``max_items`` items or fewer also seeds with all of its rarest.
 2. Passages. A bit table of fixed size (``FILTER_BITS``, the only thing broadcast) tells which n-grams of a document can be
-   seeds. Neighbouring hits form one passage with a margin on both sides; documents without a hit leave nothing behind.
+   seeds. Neighbouring hits form one passage with a margin on both sides; documents without a hit leave nothing behind. The
+   margin, and the gap at which passages part, is ``MARGIN`` or the length of the longest item, if that is more: a wider
+   gap costs an alignment more than either side of it can bring.
 3. Join. The passages' possible seeds meet the seed table on their hash; this gives (passage, item) candidates, each once.
 4. Alignment. Local alignment over words (match 2, mismatch and gap -1), many pairs at a time. The score of a pair is its
    best local score over that of the item's full copy; ``matched`` tells how many words the alignment has in common.
 
-A document is contaminated when the score reaches ``threshold`` for some item. Nulls and empty texts have no seed; an
+A document is contaminated when the score reaches ``threshold`` for some item; of an item longer than ``LONG`` words, a
+passage that scores as much as ``threshold`` asks of an item of ``LONG`` words is enough. Nulls and empty texts have no seed; an
 item without words is never found; items with fewer words than the n-gram seed with all of them. Repeated rows are
 judged each on its own; an empty table on either side gives an empty result.
 """
@@ -30,7 +34,9 @@ GRAM = 3
 MAX_ITEMS = 2
 FILTER_BITS = 1 << 23
 MARGIN = 64
+STRETCH = 8
 THRESHOLD = 0.5
+LONG = 128
 #: Words that must be matched (all of them, in a shorter item).
 MIN_MATCHED = 8
 MATCH, MISS, GAP = 2, -1, -1
@@ -68,21 +74,24 @@ def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
 
 
 def seeds(items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """item_id, text -> item_id, gram: the item's rare n-grams (all of its n-grams, where none is rare)."""
+    """item, text -> item, gram: the item's rare n-grams (all of its rarest, where none is rare) and the rarest of every stretch."""
     def run(batches):
         known: dict = {}
         for b in batches:
-            ids, out = [], []
+            ids, out, parts = [], [], []
             for i, t in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
-                for g in np.unique(grams(word_hashes(words(t), known))).tolist():
-                    ids.append(i)
-                    out.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], ["item", "gram"])
+                g, first = np.unique(grams(word_hashes(words(t), known)), return_index=True)
+                ids += [i] * len(g)
+                out += g.tolist()
+                parts += (first // STRETCH).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64()), pa.array(parts, pa.int64())], ["item", "gram", "part"])
 
-    each = items.mapInArrow(run, "item long, gram long")
+    each = items.mapInArrow(run, "item long, gram long, part long")
     shared = each.withColumn("n", F.count("*").over(Window.partitionBy("gram")))
     best = F.min("n").over(Window.partitionBy("item"))
-    return shared.withColumn("best", best).filter((F.col("n") <= max_items) | ((F.col("best") > max_items) & (F.col("n") == F.col("best")))).select("item", "gram")
+    place = F.row_number().over(Window.partitionBy("item", "part").orderBy("n", "gram"))
+    rare = (F.col("n") <= max_items) | ((F.col("best") > max_items) & (F.col("n") == F.col("best"))) | (F.col("place") == 1)
+    return shared.withColumn("best", best).withColumn("place", place).filter(rare).select("item", "gram")
 
 
 def seed_filter(seed: DataFrame, bits: int = FILTER_BITS) -> bytes:
@@ -152,24 +161,40 @@ def align(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int]]:
     return [(int(x) >> 20, int(x) & 0xFFFFF) for x in best]
 
 
+def near_hits(item: list[str], passage: list[str], known: dict) -> list[list[str]]:
+    """The parts of a long passage around the n-grams that it shares with the item. Made for the longest item, the passage
+    may hold much that a shorter one cannot reach."""
+    reach = max(MARGIN, len(item))
+    hit = np.flatnonzero(np.isin(grams(word_hashes(passage, known), min(GRAM, len(item))), grams(word_hashes(item, known))))
+    if len(passage) <= 4 * reach or not len(hit):
+        return [passage]
+    return [passage[max(0, int(p[0]) - reach):int(p[-1]) + GRAM + reach] for p in np.split(hit, np.flatnonzero(np.diff(hit) > reach) + 1)]
+
+
 KEYS = ["_row", "_id", "item_id", "at"]
 
 
 def scored(pairs: DataFrame) -> DataFrame:
     """KEYS, passage, item_text -> KEYS, score, matched, item_words."""
     def run(batches):
+        known: dict = {}
         for b in batches:
-            got = [(words(x), y.split(" ")) for x, y in zip(b.column("item_text").to_pylist(), b.column("passage").to_pylist())]
+            whole = [(words(x), y.split(" ")) for x, y in zip(b.column("item_text").to_pylist(), b.column("passage").to_pylist())]
+            got, of = [], []
+            for k, (x, y) in enumerate(whole):
+                for part in near_hits(x, y, known):
+                    got.append((x, part))
+                    of.append(k)
             order = sorted(range(len(got)), key=lambda i: (len(got[i][1]), len(got[i][0])))
-            res, start = [(0, 0)] * len(got), 0
+            res, start = [(0, 0)] * len(whole), 0
             while start < len(order):
                 end = start + 1
                 while end < len(order) and (end - start + 1) * (len(got[order[end]][1]) + 1) <= 200_000:
                     end += 1
                 for i, r in zip(order[start:end], align([got[i] for i in order[start:end]])):
-                    res[i] = r
+                    res[of[i]] = max(res[of[i]], r)
                 start = end
-            full = [len(a) for a, _ in got]
+            full = [len(a) for a, _ in whole]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(k) for k in KEYS], pa.array([s / max(1, MATCH * f) for (s, _), f in zip(res, full)], pa.float64()),
                  pa.array([m for _, m in res], pa.int64()), pa.array(full, pa.int64())], [*KEYS, "score", "matched", "item_words"])
@@ -179,17 +204,19 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 def matches(rows: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``rows``: _row (unique, or the same for equal texts), _id (carried along) and text -> _row, _id, item_id, score, matched, item_words, at (first
-    word of the passage): the best passage of every document and item at or above the threshold. Items of equal text are
+    word of the passage): the best passage of every document and item that is enough. Items of equal text are
     one item, with the smallest id. Runs jobs: items, seeds and passages are written."""
     items = written(benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").cast("long").alias("item_id")).withColumn("item", F.xxhash64("text")))
     seed = written(seeds(items.select("item", "text")))
-    found = written(passages(rows.filter(F.col("text").isNotNull()), seed_filter(seed)))
+    longest = items.agg(F.max(F.regexp_count("text", F.lit(r"(?U)[^\W_]+")))).first()[0] or 0
+    found = written(passages(rows.filter(F.col("text").isNotNull()), seed_filter(seed), max(MARGIN, longest)))
     found = found.dropDuplicates(["_row", "_id", "_part"])
     one = found.select("_row", "_id", "_part", F.explode("grams").alias("gram")).join(seed, "gram").select("_row", "_id", "_part", "item").distinct()
     there = found.select("_row", F.col("_id").alias("_i"), "_part", "at", F.col("text").alias("passage"))
     pairs = (one.join(there, ["_row", "_part"]).filter(F.col("_id").eqNullSafe(F.col("_i"))).drop("_i")
              .join(items.select("item", "item_id", F.col("text").alias("item_text")), "item"))
-    good = scored(pairs).filter((F.col("score") >= threshold) & (F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("item_words"))))
+    enough = (F.col("score") >= threshold) | ((F.col("item_words") > LONG) & (F.col("score") * F.col("item_words") >= threshold * LONG))
+    good = scored(pairs).filter(enough & (F.col("matched") >= F.least(F.lit(MIN_MATCHED), F.col("item_words"))))
     best = F.max(F.struct("score", "matched", "item_words", "at")).alias("m")
     return good.groupBy("_row", "_id", "item_id").agg(best).select("_row", "_id", "item_id", "m.*")
 

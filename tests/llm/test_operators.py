@@ -489,6 +489,22 @@ def test_copies_and_edits_of_items_are_found(spark, docs, none):
     assert decontaminate.op9_decontaminate(none, bench).count() == 0 and decontaminate.op9_decontaminate(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items_in_pieces_and_templated_items_are_found(spark):
+    rng = random.Random(25)
+    def odd(n):
+        return ["".join(rng.choice("bcdfglmnprstvaeiou") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+    long, mid, longer, form = odd(300), odd(120), odd(500), odd(40)
+    items = {0: long, 1: mid, 2: longer, **{10 + k: form[:20] + odd(1) + form[20:] for k in range(5)}}
+    pieces = odd(30) + long[:100] + odd(70) + long[100:200] + odd(70) + long[200:] + odd(30)
+    apart = odd(200) + mid[:55] + odd(66) + mid[65:] + odd(900)
+    docs = {0: pieces, 1: apart, 2: odd(100) + longer[150:350] + odd(100), 3: odd(50) + form[:20] + odd(1) + form[20:] + odd(50), 4: odd(600), 5: odd(100) + longer[150:200] + odd(100)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.op9_decontaminate(df, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2)} | {(3, 10 + k) for k in range(5)}
+    assert got[0, 0] == pytest.approx(brute_align(long, pieces) / 600) and got[1, 1] == pytest.approx(brute_align(mid, apart) / 240)
+
+
 # --- 5: urls ------------------------------------------------------------------------------------------------------
 
 def brute_rule(url):
