@@ -51,4 +51,16 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size *
 FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLES = {"op7_quality": OP7, "op10_mixing": OP10}
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+c AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, [CAST('0x' || substr(digest, i, 8) AS BIGINT) FOR i IN [1, 9, 17, 25]] AS h FROM d),
+k AS (SELECT *, len(lines) AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS lo, greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS hi,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, array_to_string(lines[1:lo], '') AS prefix, array_to_string(lines[lo + 1:hi], '') AS middle, array_to_string(lines[hi + 1:], '') AS suffix FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+ sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op7_quality": OP7, "op10_mixing": OP10, "op11_fim": OP11}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactmill.llm import decontaminate, langid, maintext, mixing, pii, quality, simhash, tokens, toxicity, urltree
+from contactmill.llm import decontaminate, fim, langid, maintext, mixing, pii, quality, simhash, tokens, toxicity, urltree
 from contactmill.llm.common import table
 from contactmill.llm.oracles import ORACLES
 
@@ -49,4 +49,8 @@ def op10_mixing(spark, sf_dir):
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokens, op3_pii, op4_toxicity, op5_urls, op6_simhash, op7_quality, op8_main_text, op9_decontaminate, op10_mixing)}
+def op11_fim(spark, sf_dir):
+    return fim.op11_fim(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokens, op3_pii, op4_toxicity, op5_urls, op6_simhash, op7_quality, op8_main_text, op9_decontaminate, op10_mixing, op11_fim)}
