@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactmill.llm import decontaminate, fim, langid, maintext, mixing, phrases, pii, quality, simhash, tokens, toxicity, urltree
+from contactmill.llm import decontaminate, fim, langid, maintext, mixing, phrases, pii, quality, secret_spans, simhash, tokens, toxicity, urltree
 from contactmill.llm.common import table
 from contactmill.llm.oracles import ORACLES
 
@@ -53,8 +53,12 @@ def op11_fim(spark, sf_dir):
     return fim.op11_fim(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark, sf_dir):
+    return secret_spans.op12_secrets(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark, sf_dir):
     return phrases.op13_phrases(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokens, op3_pii, op4_toxicity, op5_urls, op6_simhash, op7_quality, op8_main_text, op9_decontaminate, op10_mixing, op11_fim, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokens, op3_pii, op4_toxicity, op5_urls, op6_simhash, op7_quality, op8_main_text, op9_decontaminate, op10_mixing, op11_fim, op12_secrets, op13_phrases)}

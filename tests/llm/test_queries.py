@@ -18,6 +18,7 @@ COLUMNS = {
     "op7_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op8_main_text": "page_id bigint, url string, text string, n_chars bigint", "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op11_fim": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op12_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op13_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"}
 
 
@@ -40,7 +41,7 @@ def test_columns(spark, name):
 def test_every_operator_is_registered_once():
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == [*range(1, 12), 13] and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages_keep_the_columns_and_empty_tables(spark):
