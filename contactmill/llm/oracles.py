@@ -1,19 +1,28 @@
 """SQL twins (DuckDB) of the operators that SQL can express. Parameters are written out, not taken from the operators."""
 
-SPREAD = {"symbols": 30, "dup_lines": 120, "repeats": 60, "word_length": 120}
 RATES = {"symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000),
          "repeats": ("n_repeat_words", "n_words", 1000), "word_length": ("word_chars", "n_words", 100)}
+#: What is never held against a document: 15 per mille of a share, or one occurrence (of repeated words: two windows).
+ONCE = {"symbols": "n_symbols <= 1", "dup_lines": "n_dup_lines <= 1", "repeats": "n_repeat_words <= 10", "word_length": "false"}
 
 
 def _fence(name: str, by: str) -> str:
-    """Upper fences per group ``by``, from the sketch merged over it."""
+    """Fences per group ``by``, from the sketch merged over it."""
     g, grouped = (by + ", ", f"GROUP BY {by}") if by else ("", "")
     part = f"PARTITION BY {g}measure"
-    cols = ", ".join(f"max(fence) FILTER (measure = '{m}') AS max_{m}" for m in SPREAD)
-    least = " ".join(f"WHEN '{m}' THEN {v}" for m, v in SPREAD.items())
+    cols = ", ".join(f"max(fence) FILTER (measure = '{m}') AS max_{m}" for m in RATES)
     at = lambda q: f"min(bucket) FILTER (upto * 100 >= whole * {q})"
-    return f"""{name} AS (SELECT {g}max(docs) AS docs, {cols} FROM (SELECT {g}measure, max(whole) AS docs, {at(75)} + 3 * greatest({at(75)} - {at(25)}, CASE measure {least} END) AS fence
- FROM (SELECT *, sum(n) OVER ({part} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({part}) AS whole FROM (SELECT {g}measure, bucket, sum(n) AS n FROM sketch GROUP BY {g}measure, bucket)) GROUP BY {g}measure) {grouped})"""
+    width = lambda b: f"(1::BIGINT << greatest(length(bin({b})) - 6, 0))"
+    reach = lambda far, near: f"3 * greatest({far} - {near}, {width(far)})"
+    up = lambda far, near: f"{far} + {width(far)} - 1 + {reach(far, near)}"
+    return f"""{name} AS (SELECT {g}max(docs) AS docs, {cols}, max(low) AS min_word_length FROM
+ (SELECT *, CASE WHEN measure = 'word_length' THEN {up('q75', 'q25')} ELSE greatest({up('high', 'mid')}, 15) END AS fence, CASE WHEN measure = 'word_length' THEN q25 - {reach('q75', 'q25')} END AS low FROM
+ (SELECT {g}measure, max(whole) AS docs, {at(25)} AS q25, {at(50)} AS mid, {at(75)} AS q75, {at(90)} AS high
+ FROM (SELECT *, sum(n) OVER ({part} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({part}) AS whole FROM (SELECT {g}measure, bucket, sum(n) AS n FROM sketch GROUP BY {g}measure, bucket)) GROUP BY {g}measure)) {grouped})"""
+
+
+def _chosen(column: str) -> str:
+    return f"CASE WHEN own.docs >= 50 THEN own.{column} WHEN by_lang.docs >= 50 THEN by_lang.{column} ELSE every.{column} END"
 
 
 FAILED = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
@@ -31,7 +40,7 @@ each AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, r_{m} AS v
 sketch AS (SELECT lang, source, measure, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket, count(*) AS n FROM each GROUP BY ALL),
 {_fence("own", "lang, source")}, {_fence("by_lang", "lang")}, {_fence("every", "")}
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {FAILED} AS base_failed, NOT {FAILED}
- AND {" AND ".join(f"r_{m} <= CASE WHEN own.docs >= 50 THEN own.max_{m} WHEN by_lang.docs >= 50 THEN by_lang.max_{m} ELSE every.max_{m} END" for m in RATES)} AS kept
+ AND {" AND ".join(f"(r_{m} <= {_chosen('max_' + m)} OR {ONCE[m]})" for m in RATES)} AND r_word_length >= {_chosen('min_word_length')} AS kept
 FROM r JOIN own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source JOIN by_lang ON r.lang IS NOT DISTINCT FROM by_lang.lang, every
 """
 
