@@ -13,13 +13,15 @@ Sections cover the document: a section ends where the next one starts, and the s
 it. So the counts of a document's sections add up to its tokens under every rule.
 
 Nulls and empty texts have one section, of no tokens. Repeated rows each get their rows. Text that is long without a
-break is encoded piece by piece by the tokenizer's own pattern, never cut. An empty table gives an empty result.
+break is encoded piece by piece by the tokenizer's own pattern, never cut; long white space is found here, as the pattern
+would find it, because its matcher has no room for it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text into pieces that are encoded one by one (a fixed value that goes with the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("start", "most", "split")
+#: Runs of white space (as the pattern's engine has it) that are cut out before the pattern sees them.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 _LOADED: dict = {}
 
 
@@ -73,10 +77,26 @@ def allocate(ends: np.ndarray, starts: np.ndarray, rule: str) -> np.ndarray:
     return out
 
 
+def encoded(encoding, text: str) -> list[int]:
+    """The ids of ``encoding.encode_ordinary(text)``, also where that fails for very long white space.
+
+    No piece of the pattern reaches into a run of white space from before it, apart from single blanks in front of a word.
+    In a run the pattern takes all but its last character, or all at the end of the text, as one piece, and goes on from
+    there. So the text before a run, that piece, and what follows can be encoded one by one."""
+    out: list[int] = []
+    at = 0
+    for m in LONG_BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at:m.start()])
+        out += encoding._encode_single_piece(text[m.start():end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def count(text: str, starts: list[int], rule: str, vocabulary: str = VOCABULARY) -> np.ndarray:
     """Tokens per section of one text; ``starts`` in bytes of its UTF-8 form."""
     encoding, size = encoder(vocabulary)
-    ids = np.array(encoding.encode_ordinary(text), np.int64)
+    ids = np.array(encoded(encoding, text), np.int64)
     return allocate(np.cumsum(size[ids]), np.array(starts, np.int64), rule)
 
 
