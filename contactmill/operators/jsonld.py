@@ -275,11 +275,12 @@ def structured_relevant(items: DataFrame) -> DataFrame:
     return items.filter(X.has_any("type", B.STRUCTURED_TYPES)).select("page_id", "pos", kept.alias("json")).filter(F.size(F.json_object_keys("json")) > 1)
 
 
-def structured_company(items: DataFrame) -> DataFrame:
-    """JSON-LD item to a company record; a name is required, notes keep the first 200 characters of the description."""
+def structured_company(items: DataFrame, cut: int | None = 200) -> DataFrame:
+    """JSON-LD item to a company record; a name is required, notes keep the first ``cut`` characters of the description
+    (None: all)."""
     o = organization(items)
     kind = (F.when(F.col("type").contains("Organization"), "Organization").when(F.col("type").contains("Corporation"), "Corporation")
             .when(F.col("type").contains("Company"), "Company"))
-    notes = F.when(F.length("description") > 200, F.concat(F.substring("description", 1, 200), F.lit("..."))).otherwise(F.col("description"))
+    notes = F.col("description") if cut is None else F.when(F.length("description") > cut, F.concat(F.substring("description", 1, cut), F.lit("..."))).otherwise(F.col("description"))
     return o.filter(X.filled("name")).select("page_id", "name", F.col("name").alias("organization"), notes.alias("notes"), F.col("address").alias("location"),
                                              "telephone", "email", "site", kind.alias("company_type"), F.lit(0.7).alias("confidence"))

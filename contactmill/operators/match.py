@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -149,6 +150,50 @@ def dup_web(leads: DataFrame, stored: DataFrame) -> DataFrame:
     return _known(leads.select("id", keys), stored.select(keys))
 
 
+# --- the same rules against a persisted index of the store's keys -----------------------------------------------------
+
+def unified_store_keys(stored: DataFrame) -> DataFrame:
+    """(key, id) of a store for `dup_unified_indexed`: contacts, and every non-empty subset of the fields a lead without
+    contacts is compared on."""
+    keys = F.concat(contact_keys("emails", "phones"), subset_keys("full_name", "url", "company_name", "content_type"))
+    return stored.select(F.explode(keys).alias("key"), "id")
+
+
+def crawl_store_keys(stored: DataFrame) -> DataFrame:
+    return stored.select(F.explode(crawl_keys()).alias("key"), "id")
+
+
+def web_store_keys(stored: DataFrame) -> DataFrame:
+    return stored.select(F.explode(web_keys("emails", "phones", "websites", "business_name")).alias("key"), "id")
+
+
+def _known_in(rows: DataFrame, index) -> DataFrame:
+    """(id, first): ids of ``rows(id, keys)`` that share a key with the index, with the smallest id that holds one."""
+    keyed = rows.select("id", F.explode("keys").alias("key"))
+    found = index.known(keyed.select("key")).withColumnRenamed("id", "_first")
+    return hot_join(keyed, found, "key", "id", how="inner").groupBy("id").agg(F.min("_first").alias("first"))
+
+
+def dup_unified_indexed(leads: DataFrame, index) -> DataFrame:
+    """`dup_unified` against a ``sources.keyindex`` over `unified_store_keys`: the store itself is not read."""
+    c = contact_keys("emails", "phones")
+    fields = ("full_name", "url", "company_name", "content_type")
+    keys = F.when(F.size(c) > 0, c).otherwise(F.array_compact(F.array(full_key(*fields))))
+    return _known_in(leads.select("id", keys.alias("keys")), index).select("id")
+
+
+def dup_crawl_indexed(leads: DataFrame, index) -> DataFrame:
+    """`dup_crawl` against an index over `crawl_store_keys`."""
+    rows = leads.select("id", "ord", crawl_keys().alias("keys"))
+    found = index.known(rows.select(F.explode("keys").alias("key")))
+    return first_holders(rows, found.select(F.array("key").alias("keys")))
+
+
+def dup_web_indexed(leads: DataFrame, index) -> DataFrame:
+    """`dup_web` against an index over `web_store_keys`, with the first stored lead each one duplicates."""
+    return _known_in(leads.select("id", web_keys("emails", "phones", "websites", "business_name").alias("keys")), index)
+
+
 def dup_log(leads: DataFrame, stored: DataFrame, merged_at: Column) -> DataFrame:
     """For each duplicate the first stored lead it duplicates."""
     keys = web_keys("emails", "phones", "websites", "business_name")
@@ -242,15 +287,27 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 ratio = _ratio.asNondeterministic()
 
 
-def similar_names(names: DataFrame, percent: int, signature: int = 1) -> DataFrame:
+#: A key that more names than this have is dense: its names are told apart by keys of one more gram.
+DENSE = 256
+LEVELS = 3
+
+
+def similar_names(names: DataFrame, percent: int, dense: int = DENSE) -> DataFrame:
     """``names(name)``, distinct -> (a, b, percent) for every pair a < b at or above ``percent``; none is missed.
 
     Two names this similar share at least ``need`` two-letter grams (each deletion breaks at most two grams of a name,
-    each insertion one).  Sorted by rarity, the first ``grams - need + signature`` grams of both then have
-    ``signature`` grams in common, so the equi-join on combinations of that many rare grams finds every such pair.
+    each insertion one).  Sorted by rarity, the first ``grams - need + k`` grams of both then have ``k`` grams in common:
+    for k = 1, an equi-join on single rare grams finds every such pair.
+
+    A gram that more than ``dense`` names have in that prefix would give all its pairs. A pair that has only such grams in
+    common shares one of them and another gram of the prefixes for k = 2, so names with dense grams are joined on two
+    grams, one of them dense; and where such a couple is dense again, on three. Only pairs of names so short that they
+    need not share a further gram are joined on a dense key itself. So the candidates of a key are at most ``dense``
+    times its names, whatever the size of the table, up to the couples and triples that are dense still: names that agree
+    in more than the ``need`` grams, a whole first half for instance.
+
     Where the longer name is so short that no common gram is implied (up to 3 letters at 80 percent), names are joined on
-    a common letter instead: there are only so many names of that length.
-    A larger ``signature`` makes the join keys rarer, at the price of more keys per name.
+    a common letter: there are only so many names of that length. Runs jobs, a few for each length of key that is used.
     """
     t = (percent - 0.5) / 100.0
     shortest = lambda n: F.ceil(n * (t / (2 - t)) - 1e-9)
@@ -266,36 +323,45 @@ def similar_names(names: DataFrame, percent: int, signature: int = 1) -> DataFra
              .select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")),
                                                         lambda k: F.concat(F.col("g"), k.cast("string")))).alias("g")))
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
-    # One row per distinct name, used on both sides of the join below: written once. The rows are short but much work
-    # follows from each, so the partition number is set by hand (adaptive execution would merge them by size).
+    # One row per distinct name: written once. The rows are short but much work follows from each, so the partition number
+    # is set by hand (adaptive execution would merge them by size).
     n_parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (grams.join(rarity, "g").groupBy("name", "n")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("gs"))
-               .repartition(n_parts, "name"))
-    ordered = written(ordered)
-    size = F.least(F.lit(signature), need_of(F.col("n")))
-    low = F.least(size, need_of(shortest(F.col("n"))))
-    parts = ordered.withColumn("levels", F.sequence(low, size)).withColumn("level", F.explode("levels"))
-    prefix = F.slice("gs", F.lit(1), F.greatest(F.size("gs") - need_of(F.col("n")) + F.col("level"), F.col("level")))
-    parts = parts.withColumn("p", F.array_sort(prefix))
-    sigs = F.when(F.col("level") == 1, F.col("p"))
-    pairs_of = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(
-        F.slice(p, i + 2, F.size(p)), lambda y: F.concat_ws("\u0001", x, y))))
-    sigs = sigs.when(F.col("level") == 2, pairs_of(F.col("p")))
-    triples = F.flatten(F.transform("p", lambda x, i: F.transform(
-        pairs_of(F.slice("p", i + 2, F.size("p"))), lambda y: F.concat_ws("\u0001", x, y))))
-    keyed = parts.select("name", "n", "level", size.alias("size"), "p", F.explode(sigs.otherwise(triples)).alias("sig"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    close = F.least("a.n", "b.n") * 2.0 >= (F.col("a.n") + F.col("b.n")) * t - 1e-9
-    # A pair meets on many signatures; it is kept on the first one only, so no distinct shuffle follows.
-    first = F.array_join(F.slice(F.array_intersect("a.p", "b.p"), F.lit(1), F.col("a.level")), "\u0001")
-    once = (F.col("a.level") == F.least("a.size", "b.size")) & (F.col("a.sig") == first)
+    ordered = written(hot_join(grams, rarity, "g", "name", how="inner").groupBy("name", "n")
+                      .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("gs"))
+                      .repartition(n_parts, "name"))
+    prefix = lambda k: F.slice("gs", F.lit(1), F.greatest(F.size("gs") - need_of(F.col("n")) + k, F.lit(k)))
     # Edit distance never exceeds the insert/delete distance, so this JVM test is safe and leaves little to the UDF.
     room = F.floor((F.col("a.n") + F.col("b.n")) * (1 - t) + 1e-9).cast("int")
-    near = (a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.level") == F.col("b.level"))
-                   & (F.col("a.name") < F.col("b.name")) & close & once)
-            .filter(F.levenshtein("a.name", "b.name") <= room)
-            .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
+    close = F.least("a.n", "b.n") * 2.0 >= (F.col("a.n") + F.col("b.n")) * t - 1e-9
+
+    def met(rows: DataFrame, more) -> DataFrame:
+        """Pairs of ``rows(name, n, keys)`` on a common key; a pair that has several is kept on the first."""
+        keyed = rows.select("name", "n", "keys", F.explode("keys").alias("sig"))
+        a, b = keyed.alias("a"), keyed.alias("b")
+        first = F.col("a.sig") == F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0))
+        return (a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.name") < F.col("b.name")) & close & more & first)
+                .filter(F.levenshtein("a.name", "b.name") <= room).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
+
+    near, keys = None, ordered.withColumn("keys", F.array_sort(prefix(1)))
+    for k in range(1, LEVELS + 1):
+        each = keys.select("name", "n", "gs", F.explode("keys").alias("sig"))
+        thick = each.groupBy("sig").agg(F.count("*").alias("_n")).filter(F.col("_n") > dense).select("sig", F.lit(True).alias("_thick"))
+        told = hot_join(each, thick, "sig", "name").groupBy("name", "n", "gs").agg(
+            F.array_sort(F.collect_list(F.when(F.col("_thick").isNull(), F.col("sig")))).alias("thin"),
+            F.array_sort(F.collect_list(F.when(F.col("_thick"), F.col("sig")))).alias("thick"))
+        told = written(told.repartition(n_parts, "name"))
+        # Two names need not share k + 1 grams up to this sum of their lengths.
+        few = int(math.floor((k + 1) / (1.5 * t - 1) + 1e-9)) if k < LEVELS else None
+        short = F.lit(True) if few is None else F.col("a.n") + F.col("b.n") <= few
+        hot = told.filter(F.size("thick") > 0)
+        found = met(told.select("name", "n", F.col("thin").alias("keys")), F.lit(True))
+        near = found if near is None else near.unionByName(found)
+        near = near.unionByName(met((hot if few is None else hot.filter(F.col("n") < few)).select("name", "n", F.col("thick").alias("keys")), short))
+        if k == LEVELS or hot.isEmpty():
+            break
+        longer = lambda s: F.transform(F.filter(prefix(k + 1), lambda g: ~F.array_contains(F.split(s, "\u0001"), g)),  # noqa: B023, E731
+                                       lambda g: F.array_join(F.array_sort(F.concat(F.split(s, "\u0001"), F.array(g))), "\u0001"))
+        keys = hot.withColumn("keys", F.array_sort(F.array_distinct(F.flatten(F.transform("thick", longer))))).drop("thin", "thick")
     few = sized.filter((F.col("n") > 0) & ((F.col("n") + shortest(F.col("n"))) * (1.5 * t - 1) - 1 - 1e-9 <= 0))
     few = few.select("name", F.explode(F.array_distinct(F.split("name", ""))).alias("letter")).filter("letter <> ''")
     x, y = few.alias("x"), few.alias("y")

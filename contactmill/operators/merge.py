@@ -65,11 +65,15 @@ def merge_people(people: DataFrame, group: str) -> DataFrame:
             .select(group, "b.name", "b.title", "b.authority_score"))
 
 
-def merge_metadata(leads: DataFrame, group: str) -> DataFrame:
-    """Best confidence, latest time, number and list of the URLs (`merged_urls` has them in long form)."""
-    return leads.groupBy(group).agg(F.max("data_confidence").alias("data_confidence"), F.max("scraped_at").alias("scraped_at"),
-                                    F.countDistinct("url").alias("n_urls"), F.min("url").alias("first_url"),
-                                    F.array_sort(F.collect_set("url")).alias("urls"))
+def merge_metadata(leads: DataFrame, group: str, most: int | None = None) -> DataFrame:
+    """Best confidence, latest time, number of the URLs and their list, for groups with at most ``most`` of them (by default
+    `MOST_VALUES`; null beyond). `merged_values` has the URLs of every group in long form."""
+    one = leads.groupBy(group).agg(F.max("data_confidence").alias("data_confidence"), F.max("scraped_at").alias("scraped_at"), F.min("url").alias("first_url"))
+    urls = leads.select(group, F.lit("urls").alias("column"), F.col("url").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    lists = arrays_of(urls.select("*", F.lit(0).alias("first_id"), F.lit(0).alias("first_pos")), group, MOST_VALUES if most is None else most)
+    none = F.array().cast("array<string>")
+    return one.join(lists, group, "left").select(group, "data_confidence", "scraped_at", F.coalesce("n", F.lit(0)).alias("n_urls"), "first_url",
+                                                 F.when(F.col("n").isNull(), none).otherwise(F.col("items")).alias("urls"))
 
 
 def merge_by_confidence(leads: DataFrame, group: str, fields: list[str]) -> DataFrame:
@@ -103,6 +107,36 @@ def filled_in(leads: DataFrame, group: str, column: str) -> DataFrame:
     return first.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_key", "_value")))).alias(column))
 
 
+# --- merged lists in long form ----------------------------------------------------------------------------------------
+
+def merged_long(leads: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """The array columns of all leads of a group united, as rows: group, ``column``, ``value``, and ``first_id``,
+    ``first_pos`` where it came first, which is the order of the merged list. This is the stored form of a merged lead's
+    lists: a value costs one row, wherever its group is large or small, and partial aggregation comes before the shuffle."""
+    def tagged(c: str) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(c).alias("column"), i.alias("pos"), v.cast("string").alias("value")))
+    each = F.concat(*map(tagged, columns))
+    rows = leads.select(group, "id", F.inline(each)).filter(F.col("value").isNotNull())
+    return (rows.groupBy(group, "column", "value").agg(F.min(F.struct("id", "pos")).alias("_at"))
+            .select(group, "column", "value", F.col("_at.id").alias("first_id"), F.col("_at.pos").alias("first_pos")))
+
+
+#: Values that a reader puts into one row at most.
+MOST_VALUES = 10_000
+
+
+def arrays_of(long: DataFrame, group: str, most: int = MOST_VALUES) -> DataFrame:
+    """A reader of `merged_long`: group, column, ``n`` and ``items``, the list in order for lists of at most ``most`` values
+    and null for longer ones, which are read as rows (``n`` tells)."""
+    sizes = long.groupBy(group, "column").agg(F.count("*").alias("n"))
+    keyed = long.withColumn("_k", F.struct(group, "column"))
+    small = sizes.filter(F.col("n") <= most).select(F.struct(group, "column").alias("_k"))
+    # Values of lists that are too long leave before the lists are put together.
+    lists = keyed.join(small, "_k", "left_semi").groupBy(group, "column").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("first_id", "first_pos", "value"))), lambda x: x["value"]).alias("items"))
+    return sizes.join(lists, [group, "column"], "left")
+
+
 def merge_whole(leads: DataFrame, group: str, fields: list[str], lists: list[str], social: str | None = None) -> DataFrame:
     """`merge_by_confidence` with the unions (services, intents, data sources) and social profiles of all leads."""
     out = merge_by_confidence(leads, group, fields).join(united(leads, group, lists), group)
@@ -169,6 +203,23 @@ def dedupe_stages(leads: DataFrame) -> DataFrame:
     return leads
 
 
+def dedupe_long(leads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`dedupe_stages` for leads with lists: (survivors without the lists, members, values).
+
+    The stages see scalar columns only. ``members`` has the survivor of every lead, ``values`` the lists of all leads united
+    per survivor in long form (`merged_long`), so that no stage puts the lists of a group into one row."""
+    lists = [n for n, k in leads.dtypes if k.startswith("array")]
+    ids = written(leads.select("id", F.col("id").alias("survivor")))
+    rows = written(leads.drop(*lists))
+    for stage in (dedupe_exact, dedupe_fuzzy, dedupe_address):
+        grouped = written(stage(rows))
+        ids = written(hot_join(ids, grouped.select(F.col("id").alias("survivor"), "group"), "survivor", "id", how="inner").select("id", F.col("group").alias("survivor")))
+        rows = written(survivors(grouped))
+    if not lists:
+        return rows, ids, leads.sparkSession.createDataFrame([], "survivor long, column string, value string, first_id long, first_pos int")
+    return rows, ids, merged_long(leads.select("id", *lists).join(ids, "id"), "survivor", lists)
+
+
 def duplicate_groups(leads: DataFrame, *keys: str) -> DataFrame:
     """Rows whose key triple occurs more than once, with the size of their group, in long form."""
     lk = [F.coalesce(F.col(k), F.lit("")) for k in keys]
@@ -177,15 +228,28 @@ def duplicate_groups(leads: DataFrame, *keys: str) -> DataFrame:
     return hot_join(tagged, sizes, "_k", "id", how="inner").drop("_k")
 
 
-def quality_run(leads: DataFrame, as_of: Column) -> DataFrame:
-    """Survivors of all stages, validated and scored, best first."""
+def contact_confidence(contacts: DataFrame, members: DataFrame) -> DataFrame:
+    """``contacts(id, kind, value, confidence, ord)`` of all leads and ``members(id, survivor)`` -> survivor and the mean
+    confidence of its merged contacts (the best one of each e-mail and phone)."""
+    named = contacts.filter(F.col("kind").isin("email", "phone")).join(members, "id")
+    return merge_contact_list(named, "survivor").groupBy("survivor").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("_contacts"))
+
+
+def quality_run(leads: DataFrame, as_of: Column, contacts: DataFrame | None = None) -> DataFrame:
+    """Survivors of all stages, validated and scored, best first. ``contacts`` (id, kind, value, confidence, ord) are the
+    contacts found for the leads given; those of a survivor's whole group count for its reliability."""
     from contactmill.operators import scores as S
-    none = F.array().cast("array<string>")
-    v = dedupe_stages(leads).withColumn("v", S.validate_lead(F.array("email"), F.array("phone"), X.as_array("website"), "company_name", "industry"))
+    if contacts is None:
+        kept = dedupe_stages(leads).withColumn("_list", F.array().cast("array<double>"))
+    else:
+        rows, members, values = dedupe_long(leads)
+        kept = rows.join(contact_confidence(contacts, members).withColumnRenamed("survivor", "id"), "id", "left")
+        kept = kept.withColumn("_list", F.array_compact(F.array("_contacts"))).drop("_contacts")
+    v = kept.withColumn("v", S.validate_lead(F.array("email"), F.array("phone"), X.as_array("website"), "company_name", "industry"))
     v = v.withColumn("complete", S.completeness("v.contact_valid", F.size("v.phones") > 0, X.filled("email"), "industry", "score", "company_name"))
     total = S.quality_total("complete", S.accuracy(F.size("v.errors"), F.size("v.warnings"), "v.valid"),
-                            S.freshness("scraped_at", as_of), S.reliability("data_confidence", none.cast("array<double>")))
-    return v.withColumn("quality", F.round(total, 6)).withColumn("grade", S.grade("quality")).drop("v", "complete")
+                            S.freshness("scraped_at", as_of), S.reliability("data_confidence", "_list"))
+    return v.withColumn("quality", F.round(total, 6)).withColumn("grade", S.grade("quality")).drop("v", "complete", "_list")
 
 
 def quality_summary(original: DataFrame, processed: DataFrame) -> DataFrame:

@@ -59,14 +59,16 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
             .select("page_id", "url", "pos", F.posexplode("_g").alias("sub", "json")))
 
 
-def anchors(html) -> Column:
-    return F.transform(X.extract_all(html, ANCHOR), lambda tag: F.struct(
-        attr(tag, "href").alias("href"),
-        F.substring(X.strip(unescape(F.regexp_replace(tag, TAG, ""))), 1, 200).alias("text")))
+def anchors(html, cut: int | None = 200) -> Column:
+    """Links with their text, of which the first ``cut`` characters are kept (None: all)."""
+    def label(tag):
+        text = X.strip(unescape(F.regexp_replace(tag, TAG, "")))
+        return text if cut is None else F.substring(text, 1, cut)
+    return F.transform(X.extract_all(html, ANCHOR), lambda tag: F.struct(attr(tag, "href").alias("href"), label(tag).alias("text")))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    return (pages.select("page_id", "url", F.posexplode(anchors("html")).alias("pos", "_a"))
+def page_links(pages: DataFrame, cut: int | None = 200) -> DataFrame:
+    return (pages.select("page_id", "url", F.posexplode(anchors("html", cut)).alias("pos", "_a"))
             .select("page_id", "url", "pos", "_a.href", "_a.text"))
 
 
@@ -187,8 +189,8 @@ def youtube_text_fields(pages: DataFrame) -> DataFrame:
                         first_pattern("text", R.UPLOAD_DATE_PATTERNS).alias("upload_date"))
 
 
-def page_keywords(pages: DataFrame, site: str) -> DataFrame:
-    """Site keywords present, the page kind they suggest and a short summary (first ten non-empty lines)."""
+def page_keywords(pages: DataFrame, site: str, top: int | None = 10) -> DataFrame:
+    """Site keywords present, the page kind they suggest and a summary (the first ``top`` non-empty lines; None: all)."""
     low = F.lower("text")
     found = X.hits(low, R.PAGE_KEYWORDS[site])
     lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda s: s != "")
@@ -196,7 +198,7 @@ def page_keywords(pages: DataFrame, site: str) -> DataFrame:
     kind = (F.when(has("followers") & has("following"), "profile_page").when(has("caption") | has("likes"), "post_page")
             .when(has("story"), "story_page").when(has("feed"), "feed_page").otherwise("unknown"))
     return (pages.withColumn("keywords", found).withColumn("content_type", kind)
-            .select("page_id", "keywords", "content_type", F.array_join(F.slice(lines, 1, 10), " | ").alias("summary")))
+            .select("page_id", "keywords", "content_type", F.array_join(lines if top is None else F.slice(lines, 1, top), " | ").alias("summary")))
 
 
 def request_log_stats(log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["urls", "pages", "contacts", "business", "match", "unify", "reports", "jsonld", "jobs"]
+GROUPS = ["urls", "pages", "contacts", "business", "match", "unify", "reports", "jsonld", "jobs", "tables", "whole"]
 
 
 def load_all():

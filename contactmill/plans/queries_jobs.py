@@ -39,10 +39,11 @@ def read_url_list(t):
 
 @query("read_url_list_json", twin("SELECT url FROM fx_urls WHERE id % 2 = 0 UNION ALL SELECT url FROM fx_urls WHERE id % 2 = 1", "fx_urls"))
 def read_url_list_json(t):
-    # One file is a plain list, the other an object with "urls".
+    # Files of at most a thousand URLs; every other one is a plain list, the rest are objects with "urls".
     path = scratch(t, "urls")
-    halves = t.fx_urls.groupBy((F.col("id") % 2).alias("half")).agg(F.collect_list("url").alias("urls"))
-    halves.select(F.when(F.col("half") == 0, F.to_json("urls")).otherwise(F.to_json(F.struct("urls"))).alias("value")).repartition(2, "value").write.option("maxRecordsPerFile", 1).text(path)
+    part = F.floor(F.col("id") / 1000)
+    lists = t.fx_urls.groupBy(part.alias("part")).agg(F.collect_list("url").alias("urls"))
+    lists.select(F.when(F.col("part") % 2 == 0, F.to_json("urls")).otherwise(F.to_json(F.struct("urls"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return Rd.read_url_list(t.spark, path, "json")
 
 

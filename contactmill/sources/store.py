@@ -37,8 +37,19 @@ def append_counts(batch: DataFrame, appended: DataFrame, valid: Column) -> DataF
 
 # --- new versions ---------------------------------------------------------------------------------------------
 
-def apply_updates(table: DataFrame, updates: DataFrame, key: str, upsert: bool = False) -> DataFrame:
-    """New version of a table: filled update columns replace stored ones; ``upsert`` adds unknown keys."""
+def last_updates(updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One update per key: of every column the last value that is not null, by ``order`` (which stays out of the result);
+    without an order, and on ties, the greatest value. Updates without a key are left out."""
+    cols = [c for c in updates.columns if c not in (key, order)]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*([order] if order else []), c))).alias(c) for c in cols]
+    one = updates.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), *last)
+    return one.select(key, *[F.col(f"{c}.`{c}`").alias(c) for c in cols])
+
+
+def apply_updates(table: DataFrame, updates: DataFrame, key: str, upsert: bool = False, order: str | None = None) -> DataFrame:
+    """New version of a table: filled update columns replace stored ones; ``upsert`` adds unknown keys. Updates of one key
+    are applied in ``order``, the last value of each column wins (`last_updates`), so rows never multiply."""
+    updates = last_updates(updates, key, order)
     cols = [c for c in updates.columns if c != key]
     u = updates.select(key, *[F.col(c).alias("_" + c) for c in cols], F.lit(True).alias("_hit"))
     joined = table.join(u, key, "full" if upsert else "left")
@@ -48,6 +59,53 @@ def apply_updates(table: DataFrame, updates: DataFrame, key: str, upsert: bool =
     return joined.drop("_hit", *["_" + c for c in cols])
 
 
+def _replace_partitions(spark: SparkSession, path: str, partition: str, values: list, rows: DataFrame) -> None:
+    """Rows in place of the folders of ``values``: folders that get rows are overwritten, those that get none removed, all
+    others keep their files. The rows are written beside the table first, as they were read from it."""
+    from contactmill.session import written
+    rows = written(rows)
+    filled = {r[0] for r in rows.select(partition).distinct().collect()}
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    jvm = spark._jvm
+    for v in values:
+        if v not in filled:
+            folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, None if v is None else str(v))
+            at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def update_partitions(spark: SparkSession, path: str, updates: DataFrame, key: str, partition: str, upsert: bool = False, order: str | None = None) -> list:
+    """`apply_updates` on a table in folders by ``partition``: only folders that hold an updated key (or get a row) are read
+    whole and written anew. An update may move a row to another folder. Returns the values of the folders written; only
+    these reach the driver. Runs jobs: the table's keys are read once to find them. A run that is lost before the last
+    write has changed nothing, and running it again gives the same."""
+    from contactmill.session import written
+    table, updates = spark.read.parquet(path), written(last_updates(updates, key, order))
+    touched = table.select(key, partition).join(updates.select(key), key, "left_semi").select(partition).distinct()
+    if partition in updates.columns:
+        touched = touched.union(updates.filter(F.col(partition).isNotNull()).select(F.col(partition).cast(table.schema[partition].dataType))).distinct()
+    values = {r[0] for r in touched.collect()} | ({None} if upsert else set())
+    if not values:
+        return []
+    values = sorted(values, key=lambda v: (v is None, v))
+    inside = X.any_of([F.col(partition).eqNullSafe(F.lit(v)) for v in values])
+    # Folders that are not read hold no updated key, so a key unknown here is unknown; without a value it goes to the null folder.
+    rows = apply_updates(table.filter(inside), updates, key, upsert).drop("matched").select(*table.columns)
+    _replace_partitions(spark, path, partition, values, rows)
+    return values
+
+
+def delete_in_partitions(spark: SparkSession, path: str, condition: Column, partition: str) -> list:
+    """`delete_where` on a table in folders by ``partition``: only folders with a row to delete are written anew. Returns
+    their values. Runs jobs."""
+    table = spark.read.parquet(path)
+    values = [r[0] for r in table.filter(F.coalesce(condition, F.lit(False))).select(partition).distinct().collect()]
+    if values:
+        inside = X.any_of([F.col(partition).eqNullSafe(F.lit(v)) for v in values])
+        _replace_partitions(spark, path, partition, values, delete_where(table.filter(inside), condition))
+    return values
+
+
 def update_counts(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     cols = [c for c in updates.columns if c != key and c in table.columns]
     both = table.select(key, *cols).join(updates.select(key, *[F.col(c).alias("_" + c) for c in cols]), key)
@@ -114,11 +172,24 @@ def validate_export(spark: SparkSession, path: str, schema: str = schemas.LEAD)
     return found.join(meta, "_k").drop("_k").withColumn("valid", (F.col("rows") == F.col("declared")) & (F.col("corrupt") == 0) & (F.col("missing_required") == 0))
 
 
-def _map_keys(leads: DataFrame, column: str) -> list[str]:
-    """Distinct keys of a map column (names of fields and platforms, so a schema and not data). Runs a job."""
+#: Keys of a map column that get a column of their own in a flat export.
+KEY_COLUMNS = 200
+
+
+def _map_keys(leads: DataFrame, column: str, most: int) -> tuple[list[str], bool]:
+    """The ``most`` keys of a map column that most rows have, in order, and whether there are more. Runs a job; keys are
+    counted where they are, and only those chosen reach the driver."""
     if column not in leads.columns:
-        return []
-    return sorted(r[0] for r in leads.select(F.explode(F.map_keys(column))).distinct().collect())
+        return [], False
+    counts = leads.select(F.explode(F.map_keys(column)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    found = [r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(most + 1).collect()]
+    return sorted(found[:most]), len(found) > most
+
+
+def _rest(column: str, keys: list[str]) -> Column:
+    """The entries of a map column under other keys, as JSON; null where there are none."""
+    others = F.map_filter(column, lambda k, v: ~F.array_contains(F.array(*[F.lit(k) for k in keys]).cast("array<string>"), k))
+    return F.when(F.size(others) > 0, F.to_json(others))
 
 
 def export_errors(spark: SparkSession, path: str, schema: str = schemas.LEAD) -> DataFrame:
@@ -144,9 +215,11 @@ def export_errors(spark: SparkSession, path: str, schema: str = schemas.LEAD) ->
     return out
 
 
-def lead_flat(leads: DataFrame, fields: list[str] | None = None) -> DataFrame:
+def lead_flat(leads: DataFrame, fields: list[str] | None = None, most: int = KEY_COLUMNS) -> DataFrame:
     """Nested leads as one flat row each: lists joined, one column per key that occurs in ``confidence_scores`` and per
-    key and field (url, followers, verified) in ``social_media``, sorted header. Runs a job to find the keys."""
+    key and field (url, followers, verified) in ``social_media``, sorted header. The ``most`` commonest keys of each get
+    columns; where there are more, the entries of all others are JSON in ``confidence_rest`` and ``social_rest``. Runs jobs
+    to find the keys."""
     out = leads
     for name, kind in leads.dtypes:
         if kind == "array<string>":
@@ -154,9 +227,12 @@ def lead_flat(leads: DataFrame, fields: list[str] | None = None) -> DataFrame:
         elif kind.startswith("array<struct"):
             out = out.withColumn(name + "_count", F.coalesce(F.nullif(F.size(name), F.lit(-1)), F.lit(0)))
             out = out.withColumn(name, F.when(F.size(name) > 0, F.to_json(name)).otherwise(""))
-    for k in _map_keys(leads, "confidence_scores"):
-        out = out.withColumn("confidence_" + k, F.try_element_at("confidence_scores", F.lit(k)))
-    for k in _map_keys(leads, "social_media"):
+    scores, more = _map_keys(leads, "confidence_scores", most)
+    out = out.withColumns({"confidence_" + k: F.try_element_at("confidence_scores", F.lit(k)) for k in scores} | ({"confidence_rest": _rest("confidence_scores", scores)} if more else {}))
+    sites, more = _map_keys(leads, "social_media", most)
+    if more:
+        out = out.withColumn("social_rest", _rest("social_media", sites))
+    for k in sites:
         v, kind = F.try_element_at("social_media", F.lit(k)), leads.schema["social_media"].dataType.valueType
         for f in [x for x in kind.fieldNames() if x != "platform"] if hasattr(kind, "fieldNames") else []:
             out = out.withColumn(f"social_{k}_{f}", v[f])
