@@ -13,6 +13,7 @@ from contactmill.functions import business_rules as B
 from contactmill.functions import json_rules as R
 from contactmill.functions import text as X
 from contactmill.operators import pages as P
+from contactmill.session import written
 
 ORG_TYPES = ("Organization", "LocalBusiness", "WebSite", "Corporation", "TravelAgency", "NewsMediaOrganization")
 POST_TYPES = ("DiscussionForumPosting", "VideoObject", "Article", "SocialMediaPosting", "NewsArticle", "BlogPosting")
@@ -149,9 +150,33 @@ def path_rows(items: DataFrame, max_depth: int | None = None) -> DataFrame:
     return items.select("page_id", "pos", F.inline(json_paths("json", max_depth)))
 
 
-def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, types: bool = True, max_depth: int | None = None) -> DataFrame:
+def variant_rows(items: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """`path_rows` without Python: documents become variants, and objects and lists are exploded level by level until none
+    is left (or ``max_depth`` is reached). A document is spread over rows as soon as it is opened, so a very large one is no
+    task of its own. Runs a job for each level, which is written. Rows come in no order; a document that names a key twice
+    in one object is no variant and gives no rows, numbers are written as SQL does."""
+    spark, out, depth = items.sparkSession, None, 0
+    now = items.select("page_id", "pos", F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json("json").alias("v")).filter(F.col("v").isNotNull())
+    while max_depth is None or depth <= max_depth:
+        now = written(now.withColumn("_type", F.schema_of_variant("v")))
+        kind = (F.when(F.col("_type") == "BOOLEAN", "bool").when(F.col("_type") == "STRING", "string").otherwise("number"))
+        inside = F.col("_type").startswith("OBJECT") | F.col("_type").startswith("ARRAY")
+        leaves = now.filter(~inside & (F.col("_type") != "VOID")).select("page_id", "pos", "path", "key", kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        open_ = now.filter(inside)
+        if open_.isEmpty():
+            break
+        each = open_.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("_at", "_name", "_value"))
+        name = F.coalesce("_name", "key")
+        step = F.when(F.col("_name").isNotNull(), F.concat(F.lit("."), F.col("_name"))).otherwise(F.concat(F.lit("["), F.col("_at").cast("string"), F.lit("]")))
+        now, depth = each.select("page_id", "pos", F.concat("path", step).alias("path"), name.alias("key"), F.col("_value").alias("v")), depth + 1
+    return out
+
+
+def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, types: bool = True, max_depth: int | None = None, leaves=None) -> DataFrame:
     """Leaf rows worth keeping: no dropped key anywhere on the path; each key listed or, unless it looks technical,
-    a nested object, a number or a text of more than ten characters."""
+    a nested object, a number or a text of more than ten characters. ``leaves`` reads them: `path_rows` (the default) or
+    `variant_rows`."""
     keep, drop = keep or R.KEEP, drop or R.DROP
     keys = F.filter(F.split(F.regexp_replace("path", r"\[\d+\]", ""), r"\."), lambda k: k != "$")
     one_of = lambda k, names: k.isin(*names)
@@ -164,7 +189,7 @@ def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, t
     leaf = one_of(F.col("key"), keep) | (~technical(F.col("key")) & (value_ok | in_list))
     leaf = F.when(F.col("key") == "@type", F.lit(types)).when(one_of(F.col("key"), R.CONTEXT), F.lit(False)).otherwise(leaf)
     short = (F.col("kind") == "string") & (F.length("value") < min_string)
-    return path_rows(items, max_depth).filter(~F.exists(keys, lambda k: one_of(k, drop)) & nested_ok & leaf & ~short)
+    return (leaves or path_rows)(items, max_depth).filter(~F.exists(keys, lambda k: one_of(k, drop)) & nested_ok & leaf & ~short)
 
 
 def client_group(key) -> Column:

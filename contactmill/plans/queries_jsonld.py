@@ -60,11 +60,32 @@ def jsonld_generic(t):
     return L.generic(items(t)).select("page_id", "type")
 
 
-@query("jsonld_filter")
+def _listed(k, names):
+    return f"{k} IN ({', '.join(map(q, names))})"
+
+
+TECHNICAL = "(contains(lower({0}), 'id') OR (contains(lower({0}), 'url') AND contains(lower({0}), 'thumb')))"
+# The items of a page are its document, or the members of its graph (one, here).
+TREE = """SELECT page_id, replace(t.fullkey, '"', '') AS path, t.atom->>'$' AS value, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' ELSE 'number' END AS kind
+ FROM (SELECT page_id, coalesce(json_extract(json, '$."@graph"[0]'), json) AS item FROM docs) d, json_tree(d.item) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')"""
+KEYED = r"SELECT *, keys[len(keys)] AS key, keys[:len(keys) - 1] AS inside FROM (SELECT *, list_filter(string_split(regexp_replace(path, '\[\d+\]', '', 'g'), '.'), lambda k: k <> '$') AS keys FROM tree)"
+FILTERED = f"""SELECT page_id, path, value FROM keyed WHERE len(list_filter(keys, lambda k: {_listed('k', R.DROP)})) = 0
+ AND len(list_filter(inside, lambda k: {_listed('k', R.CONTEXT)} OR NOT ({_listed('k', R.KEEP)} OR NOT {TECHNICAL.format('k')}))) = 0
+ AND CASE WHEN key = '@type' THEN true WHEN {_listed('key', R.CONTEXT)} THEN false
+  ELSE {_listed('key', R.KEEP)} OR (NOT {TECHNICAL.format('key')} AND (ends_with(path, ']') OR CASE kind WHEN 'string' THEN length(value) > 10 WHEN 'number' THEN NOT regexp_matches(lower(key), 'width|height') ELSE true END)) END
+ AND NOT (kind = 'string' AND length(value) < 2)"""
+
+
+@query("jsonld_filter", d(FILTERED, tree=TREE, keyed=KEYED))
 def jsonld_filter(t):
     return L.jsonld_filter(L.P.jsonld_items(_pages(t)), max_depth=10).select("page_id", "path", "value")
 
 
+@query("jsonld_filter_variant", d(FILTERED, tree=TREE, keyed=KEYED))
+def jsonld_filter_variant(t):
+    return L.jsonld_filter(L.P.jsonld_items(_pages(t)), leaves=L.variant_rows).select("page_id", "path", "value")
+
+
 @query("jsonld_filter_custom", d("SELECT page_id, '$.name' AS path, concat('P', page_id) AS value FROM docs WHERE page_id % 5 = 0 UNION ALL SELECT page_id, '$.name', concat('O', page_id) FROM docs WHERE page_id % 5 = 1"))
 def jsonld_filter_custom(t):
     rows = L.jsonld_filter(L.P.jsonld_items(_pages(t)), keep=["name"], drop=["headline", "publisher", "author"], types=False)
