@@ -2,15 +2,17 @@
 
 1. Segments that vary by their form (numbers, hex, anything with a digit) become a wildcard; equal paths of a host then
    are one leaf with its number of urls, of labelled urls and of bad ones. All later steps work on leaves.
-2. Level by level, a node with more than ``BRANCHES`` different children, most of them rare, gets one wildcard child.
+2. Level by level, a node with more than ``BRANCHES`` different children, most of them rare, gets one wildcard child for
+   those with at most ``RARE`` times the average number of urls; the frequent ones keep their own branch.
 3. From the deepest level up, siblings whose share of bad urls does not differ from that of the other siblings
    (two-proportion test at ``Z``) merge into one wildcard branch; the ones that differ stay apart.
 4. A template's purity is its share of bad urls, smoothed towards its host's, and that towards the overall share, by
    ``WEIGHT`` pseudo-urls each. Templates at or above ``REJECT`` are blocked.
 
-Levels below ``DEPTH`` are one last segment. Nulls and urls without ``://`` have an empty host and path and are a host of
+What lies below ``DEPTH`` levels is one last segment, whole, so that templates may differ there too while the number of jobs
+stays the same for any path. Nulls and urls without ``://`` have an empty host and path and are a host of
 their own; repeated rows count as often as they occur; without labels nothing is blocked but by rule; an empty table
-gives an empty result.
+gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from contactmill.llm.common import hot_join, written
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DEPTH = 6
 BRANCHES = 16
+RARE = 2
 Z = 1.96
 WEIGHT = 10.0
 REJECT = 0.5
@@ -50,10 +53,10 @@ def rule_columns(host, path, rules=RULES) -> tuple[Column, Column]:
 
 
 def leaf_path(path) -> Column:
-    """Segments with the ones that vary by form as wildcards, at most DEPTH + 1 of them."""
+    """Segments with the ones that vary by form as wildcards; those below DEPTH are joined to one."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     parts = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
-    deep = F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))
+    deep = F.concat(F.slice(parts, 1, DEPTH), F.array(F.array_join(F.slice(parts, DEPTH + 1, F.greatest(F.size(parts) - DEPTH, F.lit(0))), "/")))
     return F.when(F.size(parts) > DEPTH, deep).otherwise(parts)
 
 
@@ -74,10 +77,11 @@ def templates(leaves: DataFrame) -> DataFrame:
     for level in range(1, depth + 1):
         t = t.withColumn("_up", _prefix(level - 1)).withColumn("_seg", F.get("template", F.lit(level - 1)))
         child = t.filter(F.col("_seg").isNotNull()).groupBy("_up", "_seg").agg(F.sum("n").alias("n"))
-        wide = child.groupBy("_up").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter(
-            (F.col("kinds") > BRANCHES) & (F.col("kinds") * 4 > F.col("all"))).select("_up", F.lit(True).alias("wide"))
-        t = hot_join(written(t), wide, "_up", "leaf")
-        t = t.withColumn("template", _set(level, F.coalesce("wide", F.lit(False)) & F.col("_seg").isNotNull())).drop("_up", "_seg", "wide")
+        kinds = child.groupBy("_up").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter((F.col("kinds") > BRANCHES) & (F.col("kinds") * 4 > F.col("all")))
+        rare = hot_join(written(child), kinds, "_up", "_seg", how="inner").filter(F.col("n") * F.col("kinds") <= RARE * F.col("all"))
+        t = t.withColumn("_node", F.struct("_up", "_seg"))
+        t = hot_join(written(t), rare.select(F.struct("_up", "_seg").alias("_node"), F.lit(True).alias("rare")), "_node", "leaf")
+        t = t.withColumn("template", _set(level, F.coalesce("rare", F.lit(False)))).drop("_up", "_seg", "_node", "rare")
     t = written(t)
     for level in range(depth, 0, -1):
         t = t.withColumn("_up", _prefix(level - 1)).withColumn("_node", _prefix(level)).withColumn("_seg", F.get("template", F.lit(level - 1)))
@@ -94,7 +98,7 @@ def templates(leaves: DataFrame) -> DataFrame:
     share = (every["b"] or 0) / every["n"] if every["n"] else 0.0
     smooth = lambda b, n, prior: (b + WEIGHT * prior) / (n + WEIGHT)
     host = t.groupBy("host").agg(smooth(F.sum("bad"), F.sum("labelled"), F.lit(share)).alias("host_purity"))
-    key = _prefix(DEPTH + 1)
+    key = F.concat_ws("/", F.lit(""), "host", F.lit(""), "template")
     own = t.withColumn("_t", key).groupBy("_t", "host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
     own = own.join(host, "host").select("_t", smooth(F.col("b"), F.col("n"), F.col("host_purity")).alias("purity"))
     return hot_join(t.withColumn("_t", key), own, "_t", "leaf", how="inner").drop("_t")
