@@ -205,9 +205,19 @@ def section_rank(sections: DataFrame) -> DataFrame:
             .withColumn("confidence", F.least("_raw", F.lit(1.0))).drop("_raw", "_links"))
 
 
+def _everything() -> Column:
+    return F.lower(F.concat_ws("\n", "text", "class", "id"))
+
+
+def relevant_sections(sections: DataFrame, top: int | None = None) -> DataFrame:
+    """`section_select` of `section_rank`: the cheap test on words comes first, so that irrelevant sections never meet the
+    contact patterns."""
+    return section_select(section_rank(sections.filter(~X.has_any(_everything(), B.SECTION_IRRELEVANT))), top)
+
+
 def section_select(ranked: DataFrame, top: int | None = None) -> DataFrame:
     """Relevant sections by priority, at most ``top`` per page where that is given."""
-    everything = F.lower(F.concat_ws("\n", "text", "class", "id"))
+    everything = _everything()
     direct = (F.size("phones") > 0) | (F.size("emails") > 0) | (F.size("addresses") > 0)
     pts = lambda cond, v: F.when(cond, F.lit(v)).otherwise(0.0)
     priority = (F.col("confidence") + F.least(X.n_hits(everything, B.SECTION_VALUABLE) * 0.1, F.lit(0.3)) + pts(direct, 0.2)

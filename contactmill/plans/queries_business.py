@@ -333,7 +333,7 @@ PRIO = f"round((confidence + least({sql_hits(EVERY, B.SECTION_VALUABLE)} * 0.1,
 @query("section_select", twin(f"""SELECT page_id, pos, priority_score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority_score DESC, pos) AS rank FROM
  (SELECT *, least(p, 1) AS priority_score FROM (SELECT *, {PRIO} AS p FROM ranked) WHERE p >= 0.4 AND NOT {sql_any(EVERY, B.SECTION_IRRELEVANT)})) WHERE rank <= 20""", sections=SECTIONS, ranked=RANKED))
 def section_select(t):
-    return E.section_select(E.section_rank(t.sql(SECTIONS)), 20).select("page_id", "pos", "priority_score", "rank")
+    return E.relevant_sections(t.sql(SECTIONS), 20).select("page_id", "pos", "priority_score", "rank")
 
 
 @query("section_company", twin(f"SELECT page_id, pos, left(text, 100) AS name FROM sections WHERE length(text) >= 10 AND ({sql_any('lower(text)', B.COMPANY_TEXT_WORDS)} OR len(string_split(text, ' ')) >= 3)", sections=SECTIONS))

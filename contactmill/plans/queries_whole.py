@@ -64,7 +64,7 @@ def same_host_links_all(t):
 
 @whole("section_select_all", "section_select", " WHERE rank <= 20")
 def section_select_all(t):
-    return E.section_select(E.section_rank(t.sql(SECTIONS))).select("page_id", "pos", "priority_score", "rank")
+    return E.relevant_sections(t.sql(SECTIONS)).select("page_id", "pos", "priority_score", "rank")
 
 
 @query("links_whole", ENTRIES["links_images"].sql.split("\nUNION ALL SELECT 'image'")[0].replace(" left(", " (").replace(", 200) AS text", ") AS text"))
