@@ -5,8 +5,8 @@
    (all of it is shared) counts with all its words and seeds with n-grams of ``WHOLE`` words.
 2. Seeds. Of its other n-grams every item gives those that at most ``max_items`` items have, and the rarest one of every
    stretch of ``STRETCH``. So a seed leads to ``TEMPLATE`` items at most, and text that only follows a template to none.
-3. Passages. Bit tables (16 bits a seed, 16 MB at most in all; they are all that is broadcast, and only say which n-grams
-   are worth a join) tell which n-grams of a document can be seeds. Neighbouring hits form one passage with a margin on both
+3. Passages. Bit tables (``SEED_BITS`` bits and two places a seed, 16 MB at most in all; they are all that is broadcast, and
+   only say which n-grams are worth a join) tell which n-grams of a document can be seeds. Neighbouring hits form one passage with a margin on both
    sides; documents without a hit leave nothing behind. Items are dealt into classes by length (up to 64 words, 256, ...);
    the margin, and the gap at which passages part, is the longest length of the class: a wider gap costs an alignment more
    than either side of it can bring, and a long item widens no passage of the others.
@@ -41,6 +41,7 @@ MAX_ITEMS = 2
 TEMPLATE = 8
 WHOLE = 12
 MOST_BITS = 1 << 27
+SEED_BITS = 512
 MARGIN = 64
 WIDER = 4
 STRETCH = 8
@@ -129,17 +130,32 @@ def seeds_and_own(items: DataFrame, max_items: int = MAX_ITEMS, template: int =
     return written(seed.unionByName(long).distinct()), written(shared.join(none.select("item"), "item", "left_anti"))
 
 
+def first_place(gram: np.ndarray, bits: int) -> np.ndarray:
+    """One of the two places of n-grams in a table of ``bits`` bits."""
+    return gram.view(np.uint64) % np.uint64(bits)
+
+
+def second_place(gram: np.ndarray, bits: int) -> np.ndarray:
+    g = gram.view(np.uint64)
+    return ((g ^ (g >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)
+
+
+def held(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def seed_tables(seed: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """(size, class) -> bit table of its seeds. Slots of 64 bits that hold a seed reach the driver."""
     sizes = {(r["size"], r["cls"]): r["n"] for r in seed.groupBy("size", "cls").agg(F.countDistinct("gram").alias("n")).collect()}
-    bits = {k: min(MOST_BITS // len(sizes), 1 << max(16, (16 * n - 1).bit_length())) // 64 * 64 for k, n in sizes.items()}
+    bits = {k: min(MOST_BITS // len(sizes), 1 << max(16, (SEED_BITS * n - 1).bit_length())) // 64 * 64 for k, n in sizes.items()}
 
     def run(batches):
         for b in batches:
             keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("size", "cls")], 1)
-            gram = b.column("gram").to_numpy(zero_copy_only=False).view(np.uint64)
+            gram = b.column("gram").to_numpy(zero_copy_only=False)
             for k in {tuple(x) for x in keys.tolist()}:
-                at = gram[(keys == k).all(1)] % np.uint64(bits[k])
+                own = gram[(keys == k).all(1)]
+                at = np.concatenate([first_place(own, bits[k]), second_place(own, bits[k])])
                 slot, where = np.unique(at >> np.uint64(6), return_inverse=True)
                 mask = np.zeros(len(slot), np.uint64)
                 np.bitwise_or.at(mask, where, np.uint64(1) << (at & np.uint64(63)))
@@ -170,8 +186,8 @@ def passages(docs: DataFrame, tables: dict) -> DataFrame:
                 made: dict = {}
                 for (size, cls), bits in tables.items():
                     g = made[size] if size in made else made.setdefault(size, grams(h, size))
-                    at = g.view(np.uint64) % np.uint64(len(bits) * 64)
-                    hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+                    hit = np.flatnonzero(held(bits, first_place(g, len(bits) * 64)))
+                    hit = hit[held(bits, second_place(g[hit], len(bits) * 64))]
                     if not len(hit):
                         continue
                     margin = MARGIN * WIDER ** cls
