@@ -9,7 +9,7 @@ inside an ``article`` or ``main`` element ``PRIOR`` times. Only whole names coun
 place (``comment-list``), never ``no-sidebar``; ids of headings are anchors and do not.
 
 The region with the largest sum of fused ratios is the article, be it an ``article`` or ``main`` element or what lies
-outside of them; another such element joins it from ``ALSO`` of that sum on. In it, paths whose fused ratio reaches
+outside of them (if that is ``OUTSIDE`` characters or more); another such element joins it from ``ALSO`` of that sum on. In it, paths whose fused ratio reaches
 ``LAMBDA`` times the standard deviation over the page are content (the best path, where none does). So are, in the same
 container (the article or main element, outside the element around the block), paths of paragraphs, headings, lists, tables
 and quotes, and others from ``WEAK`` of that limit on. Paths made of links, or with such a name, are not.
@@ -35,6 +35,7 @@ LINKS = 0.6
 PRIOR = 2.0
 NAMED = 0.02
 ALSO = 0.5
+OUTSIDE = 200
 WEAK = 0.25
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTR = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -54,6 +55,8 @@ OUT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising spons
                       "newsletter subscribe subscription popup modal overlay breadcrumb breadcrumbs pagination pager widget login signup toolbar search skip".split())
 PLACES = frozenset("list box wrap wrapper container site main page section area bar left right top bottom item items block inner outer body content links link text form panel slot unit "
                    "primary secondary global mobile desktop thread post posts user reader readers buttons icons module group row col column".split())
+# Containers that are part of the text around them.
+PARTS = frozenset("ul ol dl dd li table tbody thead tfoot tr blockquote figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STRUCTURE = HEADINGS | frozenset("p li dt dd td th pre blockquote caption figcaption summary".split())
 
@@ -105,7 +108,7 @@ def blocks(page: str) -> list[Block]:
                 if current is None:
                     at_block = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), -1)
                     holder = stack[at_block] if at_block >= 0 else top
-                    up = next((e for e in reversed(stack[:max(0, at_block)]) if e[0] in BLOCK), none)
+                    up = next((e for e in reversed(stack[:max(0, at_block)]) if e[0] in BLOCK and e[0] not in PARTS), none)
                     current = Block(holder[1], holder[0], up[2], top[4], top[6], top[7])
                     out.append(current)
                 text = html.unescape(text) if "&" in text else text
@@ -186,6 +189,8 @@ def content(found: list[Block]) -> list[Block]:
         by_path.setdefault(k, []).append(x)
         mass[k[0]] = mass.get(k[0], 0) + x
     means = {k: sum(v) / len(v) for k, v in by_path.items()}
+    if sum(len(b.text) for b in found if not b.region and not b.named) < OUTSIDE and len(mass) > 1:
+        mass.pop(0, None)
     first = max(mass, key=mass.get)
     regions = {r for r, m in mass.items() if r == first or r and m >= ALSO * mass[first]}
     wanted = [k for k in means if k[0] in regions]
