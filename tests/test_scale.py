@@ -34,3 +34,32 @@ def test_people_of_texts_with_very_long_runs_of_words(spark):
     df = spark.createDataFrame([(i, t, f"<div class='team'>{t}</div>") for i, t in enumerate(texts)], "page_id int, text string, html string")
     got = {r["page_id"]: [p["name"] for p in r["people"]] for r in E.people(df).collect()}
     assert got == {0: [], 1: [], 2: [], 3: ["Omar Diaz"]}
+
+
+def test_letter_classes_split_names_so_that_one_class_holds_few_differences():
+    from contactmill.operators import match as M
+    assert all(r // M.class_counts(r) <= (3 if r < 8 else 2) for r in range(400))
+    assert len({M.class_counts(r) for r in range(400)}) < 14
+    assert len(list(M._shortened("abcdefghij", 3))) == 1 + 10 + 45 + 120
+
+
+def test_dense_random_names_meet_on_classes_and_find_every_pair(spark):
+    """The joins on pairs and triples of grams gave hundreds of rows a name, each with all keys of that name."""
+    from contactmill.operators import match as M
+    from test_groups import ratio
+    rng = random.Random(11)
+    names = set()
+    for _ in range(60):
+        base = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(14, 24)))
+        names |= {base, base + "xx", base[1:], base[:6] + base[7:], base[:9] + "f" + base[9:], base[:3] + "x" + base[4:]}
+    names = sorted(names)
+    got = {(r.a, r.b): r.percent for r in M.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), 85, 1).collect()}
+    assert got == {(a, b): ratio(a, b) for a in names for b in names if a < b and ratio(a, b) >= 85} and len(got) > 300
+
+
+def test_addresses_meet_within_their_house_number_and_with_those_without_one(spark):
+    from contactmill.operators import match as M
+    df = spark.createDataFrame([(a,) for a in ("12 Main Street", "12 Main St.", "12 main streets", "13 Main Street", "Main Streets", "main strets", None, " ")], "address string")
+    got = {(r.a, r.b) for r in M.similar_address_pairs(df).collect()}
+    assert ("main streets", "main strets") in got and ("12 main streets", "main streets") in got
+    assert not any(a[:2] == "13" and b[:2] == "12" or a[:2] == "12" and b[:2] == "13" for a, b in got)
