@@ -367,14 +367,32 @@ def _by_classes(names: DataFrame, t: float, room, close, also) -> DataFrame:
                          F.substring_index("key", " ", 1).substr(F.lit(2), F.lit(9)).cast("int").alias("k"),
                          F.xxhash64(F.col("key").substr(at, F.length("key"))).alias("whole"),
                          F.xxhash64("within", F.col("key").substr(F.lit(2), at - 2)).alias("key"))
-    a, b = split.alias("a"), split.alias("b")
+    # At most three letters are left out of both together, so one of the two leaves out one at most: it is the right side.
+    a, b = split.alias("a"), split.filter("left_out <= 1").alias("b")
     # All in one condition, cheapest first: a filter after the join would be put in front of it. Where the whole class
     # agrees, the shorter rests do as well and need not meet.
     out = F.col("a.left_out") + F.col("b.left_out")
-    fits = ((out == 0) | (F.col("a.whole") != F.col("b.whole"))) & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= room)
-    fits = fits & (out <= F.floor(room / F.least("a.k", "b.k"))) & close & (F.col("a.name") < F.col("b.name")) & also
+    once = (F.col("a.left_out") > F.col("b.left_out")) | ((F.col("a.left_out") == F.col("b.left_out")) & (F.col("a.name") < F.col("b.name")))
+    fits = once & ((out == 0) | (F.col("a.whole") != F.col("b.whole"))) & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= room)
+    fits = fits & (out <= F.floor(room / F.least("a.k", "b.k"))) & close & also & (F.col("a.name") != F.col("b.name"))
     return (a.join(b, (F.col("a.key") == F.col("b.key")) & fits & (F.levenshtein("a.name", "b.name") <= room))
-            .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
+            .select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b")))
+
+
+def _with_grams(names: DataFrame) -> DataFrame:
+    """Adds ``grams``: the two-letter grams of each name, with what it is compared within. The k-th repeat of a gram inside a
+    name is a gram of its own. A name without anything to be compared within has none."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for name, within in zip(b.column("name").to_pylist(), b.column("within").to_pylist()):
+                times: dict = {}
+                for g in map("".join, zip(name, name[1:])) if name and within is not None else ():
+                    times[g] = times.get(g, 0) + 1
+                out.append([f"{g}{k}\u0001{within}" for g, n in times.items() for k in range(1, n + 1)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.string()))], [*b.schema.names, "grams"])
+
+    return names.mapInArrow(run, T.StructType([*names.schema.fields, T.StructField("grams", T.ArrayType(T.StringType()))]))
 
 
 def similar_names(names: DataFrame, percent: int, dense: int = DENSE) -> DataFrame:
@@ -396,20 +414,15 @@ def similar_names(names: DataFrame, percent: int, dense: int = DENSE) -> DataFra
     need_of = lambda n: F.greatest(F.ceil((n + shortest(n)) * (1.5 * t - 1) - 1 - 1e-9), F.lit(1)).cast("int")
     if percent < 70:
         raise ValueError("below 70 percent similar names need not share a gram")
+    own = ["name", "n", "within", "free"]
+    n_parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = names.select("name", F.length("name").alias("n"), F.col("within") if "within" in names.columns else F.lit("").alias("within"),
                          F.col("free") if "free" in names.columns else F.lit(True).alias("free"))
-    own = ["name", "n", "within", "free"]
-    base = sized.filter("n >= 2")
-    spans = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("name"), i, F.lit(2)))
-    # The k-th repeat of a gram inside a name is a gram of its own.
-    grams = (base.select(*own, F.posexplode(spans).alias("i", "g"))
-             .groupBy(*own, "g").agg(F.count("*").alias("times"))
-             .select(*own, F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")),
-                                                 lambda k: F.concat(F.col("g"), k.cast("string"), F.lit("\u0001"), F.col("within")))).alias("g")))
+    # One row per distinct name, with its grams: written once. The rows are short but much work follows from each, so the
+    # partition number is set by hand (adaptive execution would merge them by size), and by a hash, which is not how they come.
+    sized = written(_with_grams(sized.repartition(n_parts, F.xxhash64("name"))))
+    grams = sized.select(*own, F.explode("grams").alias("g"))
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
-    # One row per distinct name: written once. The rows are short but much work follows from each, so the partition number
-    # is set by hand (adaptive execution would merge them by size).
-    n_parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = written(hot_join(grams, rarity, "g", "name", how="inner").groupBy(*own)
                       .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("gs"))
                       .repartition(n_parts, "name"))
