@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,8 @@ def at(doc, path: str, kind: str = "string") -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """JSON-LD items with the parsed document ``d`` and its first type."""
-    items = P.jsonld_items(pages).withColumn("d", F.try_parse_json("json"))
+    """JSON-LD items with the parsed document ``d`` and its first type. Parsed once: a filter on the type stays above it."""
+    items = X.once(P.jsonld_items(pages), d=F.try_parse_json("json"))
     return items.withColumn("type", F.coalesce(at("d", '$["@type"][0]'), at("d", '$["@type"]')))
 
 
@@ -117,7 +118,7 @@ PATHS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.Struc
 
 
 def _leaves(text, max_depth):
-    """Leaf values in document order, without recursion; null for text that is not JSON."""
+    """Leaf values (path, key, kind, value) in document order, without recursion; None for text that is not JSON."""
     try:
         todo = [(json.loads(text), "$", "", 0)]
     except (TypeError, ValueError, RecursionError):
@@ -133,15 +134,24 @@ def _leaves(text, max_depth):
             todo += [(v, f"{path}[{i}]", key, depth + 1) for i, v in reversed(list(enumerate(node)))]
         elif node is not None:
             kind = "bool" if isinstance(node, bool) else "number" if isinstance(node, (int, float)) else "string"
-            out.append({"path": path, "key": key, "kind": kind, "value": str(node).lower() if kind == "bool" else str(node)})
+            out.append((path, key, kind, str(node).lower() if kind == "bool" else str(node)))
     return out
 
 
 def json_paths(docs, max_depth: int | None = None) -> Column:
     """Leaf values with their path, nearest key and kind, at every depth (down to ``max_depth``, where it is given)."""
-    @F.pandas_udf(PATHS)
-    def rows(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _leaves(t, max_depth))
+    @F.arrow_udf(PATHS)
+    def rows(texts: pa.Array) -> pa.Array:
+        starts, valid, found = [0], [], ([], [], [], [])
+        for t in texts:
+            leaves = _leaves(t.as_py(), max_depth)
+            for leaf in leaves or ():
+                for own, v in zip(found, leaf):
+                    own.append(v)
+            valid.append(leaves is None)
+            starts.append(len(found[0]))
+        leaf = pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in found], names=[f.name for f in PATHS.elementType])
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), leaf, mask=pa.array(valid, pa.bool_()))
     return rows(docs)
 
 
@@ -180,7 +190,7 @@ def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, t
     keep, drop = keep or R.KEEP, drop or R.DROP
     keys = F.filter(F.split(F.regexp_replace("path", r"\[\d+\]", ""), r"\."), lambda k: k != "$")
     one_of = lambda k, names: k.isin(*names)
-    inner = F.slice(keys, F.lit(1), F.greatest(F.size(keys) - 1, F.lit(0)))
+    inner = F.slice("_keys", F.lit(1), F.greatest(F.size("_keys") - 1, F.lit(0)))
     technical = lambda k: F.contains(F.lower(k), F.lit("id")) | (F.contains(F.lower(k), F.lit("url")) & F.contains(F.lower(k), F.lit("thumb")))
     nested_ok = F.forall(inner, lambda k: ~one_of(k, R.CONTEXT) & (one_of(k, keep) | ~technical(k)))
     value_ok = (F.when(F.col("kind") == "string", F.length("value") > 10)
@@ -189,7 +199,9 @@ def jsonld_filter(items: DataFrame, keep=None, drop=None, min_string: int = 2, t
     leaf = one_of(F.col("key"), keep) | (~technical(F.col("key")) & (value_ok | in_list))
     leaf = F.when(F.col("key") == "@type", F.lit(types)).when(one_of(F.col("key"), R.CONTEXT), F.lit(False)).otherwise(leaf)
     short = (F.col("kind") == "string") & (F.length("value") < min_string)
-    return (leaves or path_rows)(items, max_depth).filter(~F.exists(keys, lambda k: one_of(k, drop)) & nested_ok & leaf & ~short)
+    rows = (leaves or path_rows)(items, max_depth).filter(leaf & ~short)
+    # The keys of a path are split once, for the rows that are left.
+    return X.once(rows, _keys=keys).filter(~F.exists("_keys", lambda k: one_of(k, drop)) & nested_ok).drop("_keys")
 
 
 def client_group(key) -> Column:
@@ -294,10 +306,18 @@ def structured_people(items: DataFrame) -> DataFrame:
 
 def structured_relevant(items: DataFrame) -> DataFrame:
     """Items of the relevant types reduced to the relevant fields, as JSON (missing fields are left out)."""
-    get = lambda p: F.get_json_object("json", f"$.{p}")
-    nested = [F.when(get(f).startswith("{"), F.to_json(F.struct(*[get(f"{f}['{n}']" if n.startswith("@") else f"{f}.{n}").alias(n) for n in B.STRUCTURED_NESTED_FIELDS]))).alias(f) for f in B.STRUCTURED_NESTED]
-    kept = F.to_json(F.struct(F.col("type").alias("@type"), *[get(f).alias(f) for f in B.STRUCTURED_FIELDS], *nested))
-    return items.filter(X.has_any("type", B.STRUCTURED_TYPES)).select("page_id", "pos", kept.alias("json")).filter(F.size(F.json_object_keys("json")) > 1)
+    tops = list(dict.fromkeys([*B.STRUCTURED_FIELDS, *B.STRUCTURED_NESTED]))
+    found = [f"_top{i}" for i in range(len(tops))]
+    at_top = dict(zip(tops, found))
+    # Every text is read once for all its fields.
+    rows = items.filter(X.has_any("type", B.STRUCTURED_TYPES)).select("page_id", "pos", "type", F.json_tuple("json", *tops).alias(*found))
+    nested = []
+    for i, f in enumerate(B.STRUCTURED_NESTED):
+        own, inside = F.col(at_top[f]), [f"_in{i}_{j}" for j in range(len(B.STRUCTURED_NESTED_FIELDS))]
+        rows = rows.select("*", F.json_tuple(F.when(own.startswith("{"), own), *B.STRUCTURED_NESTED_FIELDS).alias(*inside))
+        nested.append(F.when(own.startswith("{"), F.to_json(F.struct(*[F.col(c).alias(n) for c, n in zip(inside, B.STRUCTURED_NESTED_FIELDS)]))).alias(f))
+    kept = F.to_json(F.struct(F.col("type").alias("@type"), *[F.col(at_top[f]).alias(f) for f in B.STRUCTURED_FIELDS], *nested))
+    return X.once(rows, _kept=kept).select("page_id", "pos", F.col("_kept").alias("json")).filter(F.size(F.json_object_keys("json")) > 1)
 
 
 def structured_company(items: DataFrame, cut: int | None = 200) -> DataFrame:
