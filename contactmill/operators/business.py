@@ -211,8 +211,9 @@ def _everything() -> Column:
 
 def relevant_sections(sections: DataFrame, top: int | None = None) -> DataFrame:
     """`section_select` of `section_rank`: the cheap test on words comes first, so that irrelevant sections never meet the
-    contact patterns."""
-    return section_select(section_rank(sections.filter(~X.has_any(_everything(), B.SECTION_IRRELEVANT))), top)
+    contact patterns. It is held where it is: it would be moved below the repartition of a small scan, into its few tasks."""
+    s = X.once(sections, _all=_everything())
+    return section_select(section_rank(s.filter(~X.has_any("_all", B.SECTION_IRRELEVANT)).drop("_all")), top)
 
 
 def section_select(ranked: DataFrame, top: int | None = None) -> DataFrame:

@@ -109,15 +109,28 @@ DERIVED = {"fx_urls": URLS, "fx_site_urls": SITE_URLS, "fx_contacts": CONTACTS,
            "fx_rich": PAGES_RICH, "fx_run_log": RUN_LOG}
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Rows of a narrow table that one task derives from. They are few bytes in the files, but each gives texts to work on.
+ROWS_A_TASK = 50_000
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Give a scan that is too small to fill the cores (one file, one row group) as many partitions as there are cores.
-    A scan with enough splits, which is every large table, is returned as it is and never shuffled."""
+    A scan of texts with enough splits, which is every large table, is returned as it is and never shuffled.
+
+    With ``rows``, for tables whose rows are narrow, the partitions hold about that many rows each, however large the table
+    is and however its files are cut: splits by bytes would grow to millions of such rows a task. Runs a count, which reads
+    the footers only."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if rows is not None:
+        n = max(cores, -(-df.count() // rows))
+    else:
+        n = cores if df.rdd.getNumPartitions() < cores else None
+    return df if n is None else df.repartition(n, F.rand(7))
 
 
-# Tables whose rows cost much work each (texts, pages and the derived texts).
-HEAVY = ("documents", "pages", "conversations", "orders", "customer")
+# Tables whose rows cost much work each: texts and pages, and narrow ones that texts are derived from.
+HEAVY = ("documents", "pages", "conversations")
+NARROW = ("orders", "customer", "part")
 
 
 class Tables:
@@ -129,7 +142,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            return spread(df) if name in HEAVY else df
+            return spread(df) if name in HEAVY else spread(df, ROWS_A_TASK) if name in NARROW else df
         if name in DERIVED:
             return self.sql(DERIVED[name])
         raise AttributeError(name)
