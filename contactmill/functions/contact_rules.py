@@ -62,11 +62,13 @@ LEAD_SOCIAL = [("instagram", r"instagram\.com/([^\s/]+)"), ("twitter", r"(?:twit
                ("facebook", r"facebook\.com/([^\s/]+)"), ("linkedin", r"linkedin\.com/(?:in|company)/([^\s/]+)"),
                ("youtube", r"youtube\.com/(?:user|c|channel)/([^\s/]+)"), ("tiktok", r"tiktok\.com/@([^\s/]+)")]
 
-CAPTION_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,6}"
+CAPTION_EMAIL = r"\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,6}"
 CAPTION_PHONES = [r"(?<!\d)[6-9]\d{9}(?!\d)",
                   r"(?<!\d)\+?1[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(?!\d)",
                   r"(?<!\d)\+[1-9]\d{1,3}[-.\s]?\d{3,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}(?!\d)",
                   r"(?<!\d)(?:\+?[1-9]\d{0,3}[-.\s]?)?\d{3,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}(?!\d)"]
+# What every caption phone of ten digits or more holds.
+CAPTION_DIGITS = r"[0-9](?:[-.\s()]{0,2}[0-9]){9}"
 BIO_PHONE = r"(\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 
 # Platform, URL prefix and suffix of the rebuilt link, and the patterns that find the handle.

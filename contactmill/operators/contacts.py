@@ -309,16 +309,17 @@ def lead_text_contacts(leads: DataFrame, *columns: str) -> DataFrame:
 
 
 def caption_email(text) -> Column:
-    return X.extract(text, R.CAPTION_EMAIL, 0)
+    return F.when(X.col(text).contains("@"), X.extract(text, R.CAPTION_EMAIL, 0))
 
 
 def caption_phone(text) -> Column:
-    """First number of the first pattern whose first match has 10 to 15 digits, separators removed."""
+    """First number of the first pattern whose first match has 10 to 15 digits, separators removed. Only texts with ten
+    digits in a row, separators aside, are searched: no pattern finds so many elsewhere."""
     tries = []
     for p in R.CAPTION_PHONES:
         v = F.regexp_replace(X.extract(text, p, 0), r"[-.\s]+", "")
         tries.append(F.when(F.length(X.digits(v)).between(10, 15), v))
-    return F.coalesce(*tries)
+    return F.when(X.col(text).rlike(R.CAPTION_DIGITS), F.coalesce(*tries))
 
 
 def social_handles(text) -> Column:
