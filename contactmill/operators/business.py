@@ -213,17 +213,21 @@ def relevant_sections(sections: DataFrame, top: int | None = None) -> DataFrame:
     """`section_select` of `section_rank`: the cheap test on words comes first, so that irrelevant sections never meet the
     contact patterns. It is held where it is: it would be moved below the repartition of a small scan, into its few tasks."""
     s = X.once(sections, _all=_everything())
-    return section_select(section_rank(s.filter(~X.has_any("_all", B.SECTION_IRRELEVANT)).drop("_all")), top)
+    return _by_priority(section_rank(s.filter(~X.has_any("_all", B.SECTION_IRRELEVANT)).drop("_all")), top)
 
 
 def section_select(ranked: DataFrame, top: int | None = None) -> DataFrame:
     """Relevant sections by priority, at most ``top`` per page where that is given."""
+    return _by_priority(ranked.filter(~X.has_any(_everything(), B.SECTION_IRRELEVANT)), top)
+
+
+def _by_priority(relevant: DataFrame, top: int | None) -> DataFrame:
     everything = _everything()
     direct = (F.size("phones") > 0) | (F.size("emails") > 0) | (F.size("addresses") > 0)
     pts = lambda cond, v: F.when(cond, F.lit(v)).otherwise(0.0)
     priority = (F.col("confidence") + F.least(X.n_hits(everything, B.SECTION_VALUABLE) * 0.1, F.lit(0.3)) + pts(direct, 0.2)
                 + pts(F.col("tag").isin("footer", "header", "aside"), 0.1))
-    kept = (X.once(ranked.filter(~X.has_any(everything, B.SECTION_IRRELEVANT)), _p=F.round(priority, 6))
+    kept = (X.once(relevant, _p=F.round(priority, 6))
             .filter(F.col("_p") >= 0.4).withColumn("priority_score", F.least("_p", F.lit(1.0))).drop("_p"))
     w = Window.partitionBy("page_id").orderBy(F.desc("priority_score"), "pos")
     return up_to(kept.withColumn("rank", F.row_number().over(w)), top)
