@@ -8,10 +8,12 @@ calibrated precision reaches ``PRECISION`` (no threshold, no extra spans, where
 
 No table marks personal data, so the labels come from the corpus: base spans are positives; each also gives disguised
 twins in its own place (positive) and broken ones, such as a card with a wrong digit or a date in its stead (negative);
-proposals beside base spans are negatives. The sample is bounded: ``SAMPLE`` documents with a digit or an @, those with
-the smallest hash of doc_id. Everything else covers all rows and whole texts.
+proposals beside base spans are negatives. Trees, calibration and thresholds come from all rows and whole texts: equal
+examples are counted, the trees grow on histograms summed over Spark's tasks, calibration and thresholds on counts per step of
+the score.
 
-Nulls count as empty and have no spans; repeated rows each get theirs; an empty table trains nothing and returns nothing.
+Nulls count as empty and have no spans; repeated rows each get theirs and count as often as they are there; an empty table
+trains nothing and returns nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from contactmill.llm import boosting
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000
+#: Distinct examples a task; steps of one point of the score (log odds).
+BLOCK = 25_000
+STEPS = 256
 PRECISION = 0.95
 NEAR = 24
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -96,6 +100,8 @@ GENERATORS = (
     ("phone", re.compile(r"(?<![\w.])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,4}\)?){2,5}(?!\w)")),
 )
 HINT = re.compile(r"[0-9@]|\bdot\b|\[dot", re.I)
+#: Spark's pattern for texts that may have a base span or a hint.
+HINTED = r"[0-9@]|(?i:dot)"
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "pay", "account"),
         "phone": ("tel", "phone", "call", "mobile", "fax")}
 FEATURES = 30
@@ -163,71 +169,113 @@ def examples(t: str, pick: int):
                     yield features(new, x, y, kk), int(label)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE):
-    """(trees, calibration points, threshold per kind), or None without examples of both labels. Runs a job; one task trains
-    on the features of at most ``sample`` documents."""
-    hinted = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id").alias("h"), "doc_id")
-    chosen = hinted.orderBy("h", "doc_id").limit(sample).select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
+def fit(docs: DataFrame):
+    """(trees, calibration points, threshold per kind), or None without examples of both labels. Learns from all rows; runs
+    a few jobs over them, then one a level of each tree over the distinct examples. The driver gets counts only: per value of
+    a feature, per bin of a level, and per kind and step of the score."""
     def run(batches):
         for b in batches:
-            hs, ys, xs = [], [], []
+            held, xs, ys = [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for x, y in examples(t, d):
-                    hs.append(d)
+                out = zlib.crc32(str(d).encode()) % 4 == 1
+                for x, y in examples(t, d or 0):
+                    held.append(out)
+                    xs.append(np.array(x, np.int32).tobytes())
                     ys.append(y)
-                    xs.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_()), pa.array(xs, pa.binary()), pa.array(ys, pa.int64())], ["held", "x", "y"])
 
-    def learn(batches):
-        held = list(batches)
-        model = trained(pa.Table.from_batches(held).to_pandas()) if held else None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    texts = docs.select("doc_id", "text").filter(F.col("text").rlike(HINTED))
+    rows = texts.mapInArrow(run, "held boolean, x binary, y long").groupBy("held", "x").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).persist()
+    try:
+        return trained(rows)
+    finally:
+        rows.unpersist()
 
-    # One task trains: it gets the features of the bounded sample.
-    rows = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, y int, x array<double>").repartition(1)
-    got = rows.mapInArrow(learn, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else None
 
+def arrays(batch) -> tuple:
+    """Features, positives and number of a batch of examples."""
+    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.int32).reshape(-1, FEATURES)
+    return x, batch.column("pos").to_numpy(), batch.column("n").to_numpy()
 
-def trained(got):
-    """(trees, calibration points, threshold per kind) from examples; None without both labels."""
-    if not len(got) or got["y"].nunique() < 2:
+
+def trained(rows: DataFrame):
+    """(trees, calibration points, threshold per kind) from counted examples; None without both labels."""
+    sizes = {r["held"]: r for r in rows.groupBy("held").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()}
+    if not 0 < sum(r["pos"] for r in sizes.values()) < sum(r["n"] for r in sizes.values()):
         return None
-    x, y, d = np.stack(got["x"].to_numpy()), got["y"].to_numpy(), got["doc_id"].to_numpy()
-    order = np.lexsort((*x.T, y, d))
-    x, y, d = x[order], y[order], d[order]
-    out = np.array([zlib.crc32(str(i).encode()) % 4 == 1 for i in d.tolist()])
-    if out.all() or not out.any() or len(set(y[~out])) < 2:
-        out = np.zeros(len(y), bool)
-    trees = boosting.fit(x[~out], y[~out].astype(float))
-    xs, ys = (x[out], y[out]) if out.any() else (x, y)
-    raw = trees.raw(xs)
-    points = isotonic(raw, ys)
-    prob = np.interp(raw, *points)
+    apart = len(sizes) == 2 and 0 < sizes[False]["pos"] < sizes[False]["n"]
+    own, out = (rows.filter("not held"), rows.filter("held")) if apart else (rows, rows)
+    used = [r for h, r in sizes.items() if not (apart and h)]
+
+    def values(batches):
+        for b in batches:
+            x, _, n = arrays(b)
+            for k, c in enumerate(x.T):
+                v, at = np.unique(c, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(v), pa.array(np.bincount(at, n).astype(np.int64))], ["feature", "value", "n"])
+
+    # All features are lengths, counts or flags of a span whose pattern is bounded, so they have few values.
+    got = own.mapInArrow(values, "feature int, value int, n long").groupBy("feature", "value").agg(F.sum("n").alias("n")).orderBy("feature", "value").collect()
+    edges = []
+    for k in range(FEATURES):
+        mine = [r for r in got if r["feature"] == k]
+        edges.append(boosting.bounds(np.array([r["value"] for r in mine]), np.array([r["n"] for r in mine])))
+    start = boosting.start_of(sum(r["pos"] for r in used) / sum(r["n"] for r in used))
+
+    def packed(batches):
+        held = list(batches)
+        if held:
+            x, pos, n = (np.concatenate(c) for c in zip(*map(arrays, held)))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(boosting.block(x, pos, n, edges, start))], pa.binary())], ["block"])
+
+    parts = max(2, -(-sum(r["rows"] for r in used) // BLOCK))
+    blocks = own.select("x", "pos", "n").repartition(parts).mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
+    trees = boosting.fit_blocks(blocks, edges, start)
+
+    def grades(batches):
+        for b in batches:
+            x, pos, n = arrays(b)
+            keys, at = np.unique(np.stack([x[:, :len(KINDS)].argmax(1), steps(trees, x)], 1), axis=0, return_inverse=True)
+            at = at.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array(np.bincount(at, v, len(keys)).astype(np.int64)) for v in (n, pos)]],
+                                             ["kind", "step", "n", "pos"])
+
+    counts = out.mapInArrow(grades, "kind long, step long, n long, pos long").groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()
+    kind, step, n, pos = (np.array([r[c] for r in counts]) for c in ("kind", "step", "n", "pos"))
+    points = isotonic(step, pos, n)
+    return trees, points, thresholds(kind, np.interp(step, *points), pos, n)
+
+
+def steps(trees, x) -> np.ndarray:
+    """Scores of examples in steps of 1 / ``STEPS``."""
+    return np.rint(trees.raw(x) * STEPS).astype(np.int64)
+
+
+def thresholds(kind, prob, pos, n) -> dict:
     limits = {}
-    for i, kind in enumerate(KINDS):
-        own = xs[:, i] == 1
+    for i, name in enumerate(KINDS):
+        own = kind == i
         best = np.inf
         for level in sorted(set(prob[own].tolist()), reverse=True):
-            if ys[own & (prob >= level)].mean() >= PRECISION:
+            at = own & (prob >= level)
+            if pos[at].sum() / n[at].sum() >= PRECISION:
                 best = level
             else:
                 break
-        limits[kind] = max(0.5, best)
-    return trees, points, limits
+        limits[name] = max(0.5, best)
+    return limits
 
 
-def isotonic(raw, y):
-    """Scores -> calibrated probability: pools neighbours until the share of positives rises with the score."""
+def isotonic(raw, y, n=None):
+    """Scores -> calibrated probability: pools neighbours until the share of positives rises with the score. ``y`` of ``n``
+    (one, if not given) are positive."""
     blocks: list = []
-    for r, v in sorted(zip(raw.tolist(), y.tolist())):
+    for r, v, k in sorted(zip(raw.tolist(), y.tolist(), (np.ones(len(y), int) if n is None else n).tolist())):
         if blocks and blocks[-1][3] == r:
             blocks[-1][0] += v
-            blocks[-1][1] += 1
+            blocks[-1][1] += k
         else:
-            blocks.append([v, 1, r, r])
+            blocks.append([v, k, r, r])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v1, n1, _, hi = blocks.pop()
             blocks[-1][0] += v1
@@ -249,7 +297,7 @@ def spans(t: str, model) -> tuple[list, list]:
     if not extra:
         return base, base
     trees, points, limits = model
-    prob = np.interp(trees.raw(np.array([features(t, *c) for c in extra], float)), *points)
+    prob = np.interp(steps(trees, np.array([features(t, *c) for c in extra], np.int32)), *points)
     taken: list = []
     for p, c in sorted(zip(prob.tolist(), extra), key=lambda x: (-x[0], x[1])):
         if p >= limits[c[2]] and not any(a < c[1] and c[0] < b for a, b, _ in taken):

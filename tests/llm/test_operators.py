@@ -341,6 +341,27 @@ def test_model_adds_disguised_spans_and_keeps_clean_text(spark, docs, none):
     assert pii.redacted(docs).columns == docs.columns and ids(pii.redacted(docs)) == ids(docs) and pii.op3_pii(none).count() == 0
 
 
+def test_model_learns_from_documents_beyond_the_first_4000_by_hash(spark):
+    ids = [r["id"] for r in spark.range(4300).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = random.Random(10)
+    df = spark.createDataFrame([(d, "room 7 or 9" if i < 4000 else with_pii(rng, i)) for i, d in enumerate(ids)], "doc_id long, text string")
+    model = pii.fit(df)
+    assert model is not None and [k for _, _, k in pii.spans("the 469-555-3334 is on", model)[1]] == ["phone"]
+
+
+def test_trees_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, (900, 4))
+    y = ((x[:, 0] > 4) ^ (x[:, 3] > 3)).astype(float)
+    whole, start = boosting.fit(x, y, trees=13), boosting.start_of(y.mean())
+    rows, (groups, at) = rng.permutation(900), np.unique(x, axis=0, return_inverse=True)
+    blocks = [boosting.block(x[i], y[i], np.ones(len(i)), whole.edges, start) for i in np.array_split(rows, 7)]
+    counted = boosting.block(groups, np.bincount(at.ravel(), y), np.bincount(at.ravel()), whole.edges, start)
+    for dealt, parts in ((blocks, 5), ([counted], 2)):
+        spread = boosting.fit_blocks(spark.sparkContext.parallelize(dealt, parts), whole.edges, start, trees=13)
+        assert all(np.array_equal(getattr(spread, f), getattr(whole, f)) for f in ("feature", "cut", "leaf"))
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 5))
