@@ -4,8 +4,10 @@ import os
 import random
 import time
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from contactmill.functions import graph
@@ -168,6 +170,63 @@ def test_leads_expire_by_their_own_time_and_renewals_extend_them(spark):
     assert ended[2] == 1 and ended[1] == 2 and set(ended) == {1, 2, 3, 4, 5}
 
 
+class Kept:
+    """State of one group, its timers, and how often they were reached."""
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def called(self):
+        self.calls += 1
+
+    def get(self):
+        self.called()
+        return self.value
+
+    def update(self, value):
+        self.called()
+        self.value = value
+
+    def clear(self):
+        self.called()
+        self.value = None
+
+    def registerTimer(self, at):
+        self.called()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.called()
+        self.timers.remove(at)
+
+
+def test_state_is_reached_a_few_times_a_group_not_for_every_lead():
+    rng, kept, run = random.Random(3), Kept(), Ex.Expiry()
+    run.init(kept)
+    alive, clock = {}, 0
+    for _ in range(60):
+        rows = [Row(id=rng.choice([None, rng.randrange(400)]), expires_ms=rng.randrange(clock - 50, clock + 300)) for _ in range(rng.choice([0, 5, 300]))]
+        values, kept.calls = SimpleNamespace(getCurrentWatermarkInMs=lambda at=clock: at), 0
+        got = list(run.handleInputRows((7,), iter(rows), values)) if rows else []
+        newest = {}
+        for r in rows:
+            if r["id"] is not None and r["expires_ms"] > max(clock, alive.get(r["id"], clock)):
+                newest[r["id"]] = max(newest.get(r["id"], 0), r["expires_ms"])
+        assert sorted((r["id"], r["expires_ms"]) for r in got) == sorted(newest.items()) and all(r["event"] == Ex.LIVE for r in got)
+        alive |= newest
+        over = []
+        for at in sorted(x for x in kept.timers if x <= clock):
+            kept.timers.remove(at)
+            over += run.handleExpiredTimer((7,), values, None)
+        assert sorted((r["id"], r["expires_ms"]) for r in over) == sorted(x for x in alive.items() if x[1] <= clock) and all(r["event"] == Ex.EXPIRED for r in over)
+        alive = {i: at for i, at in alive.items() if at > clock}
+        assert kept.calls <= 7 and len(kept.timers) == bool(alive) and (kept.value is None) == (not alive)
+        clock += rng.randrange(0, 120)
+    assert len(alive) > 50
+
+
 def test_own_time_to_live(spark):
     day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
     seen, _ = drained(spark, [[(1, day(0), 2), (2, day(0), 30), (3, day(0), None)], [(None, day(3), None)], [(None, day(11), None)]], 10, own_days="ttl")
