@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contactmill.functions.joins import hot_join
-from contactmill.session import written
+from contactmill.session import forget, written
 
-__all__ = ["WORD", "bounded", "doc_crc", "hot_join", "n_words", "ranked", "table", "written"]
+__all__ = ["WORD", "bounded", "doc_crc", "forget", "hot_join", "n_words", "ranked", "table", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -15,7 +15,9 @@ more than three bits. They come from an exact prefix join: shingles have one ord
 shingles a text keeps the first n // 5 + 1, and two texts that agree to 0.8 have one of those in common, at places that
 leave enough shingles behind it. The order is learnt from a bounded sample and decides the cost only: under any order
 every such pair is met. Texts that share a shingle are first compared with the one that has it earliest, twice; after
-that only texts of different components are, so a large group of near copies gives a few links for each text.
+that only texts of different components are, so a large group of near copies gives a few links for each text. A pair is
+first tested on a few bytes for each text that bound how far their shingles differ; only the texts of pairs that pass are
+read again and compared. Tables of a step go when the next one has what it needs.
 
 Nulls and texts without a word have fingerprint zero, linked like any other. Repeated rows each get their row. An empty
 table gives an empty result.
@@ -24,16 +26,17 @@ table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 from pyspark.sql.window import Window
 
 from contactmill.functions.graph import connected
-from contactmill.llm.common import hot_join, text_key, written
-from contactmill.llm.decontaminate import grams
+from contactmill.llm.common import forget, hot_join, text_key, written
+from contactmill.llm.decontaminate import first_place, grams, held, second_place, seed_tables
 
 SEED = 42
 RADIUS = 3
@@ -44,6 +47,8 @@ LOW = 0xFFFFFFFF
 #: Texts from which the order of shingles is learnt, and frequent shingles that it knows.
 SAMPLE = 20_000
 FREQUENT = 1 << 17
+#: Bits of `odd_bits`, at least and at most.
+ODD_BITS = (64, 1 << 16)
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -102,12 +107,28 @@ def prefix(h: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, last))][:len(h) // 5 + 1]
 
 
+def odd_bits(h: np.ndarray) -> bytes:
+    """One bit for each place that an odd number of a text's shingles fall on, with about as many places as shingles. A
+    shingle that only one of two texts has changes one bit: texts differ in at least as many shingles as bits."""
+    places = min(max(ODD_BITS[0], 1 << (len(h) - 1).bit_length()), ODD_BITS[1])
+    count = np.bincount((h & (places - 1)).astype(np.int64), minlength=places)
+    return np.packbits(count & 1 == 1).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two of `odd_bits` differ, the longer one folded to the length of the other."""
+    x, y = (np.frombuffer(z, np.uint8) for z in (x, y))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def with_fingerprint(df: DataFrame, width: int = 3, order: tuple | None = None) -> DataFrame:
     """Replace the binary column ``_bytes`` by ``_fp``; other columns pass unchanged. With ``order`` (of
-    `frequent_shingles`) also ``_s1``, ``_s2`` (what stands for the set of shingles), ``_n`` (its size) and ``_sig`` (its prefix)."""
+    `frequent_shingles`) also ``_s1``, ``_s2`` (what stands for the set of shingles), ``_n`` (its size), ``_sig`` (its prefix) and ``_odd`` (`odd_bits`)."""
     names = [c for c in df.columns if c != "_bytes"]
     shared = df.sparkSession.sparkContext.broadcast(order) if order is not None else None
-    more = [("_s1", pa.int64()), ("_s2", pa.int64()), ("_n", pa.int64()), ("_sig", pa.list_(pa.int64()))] if order is not None else []
+    more = [("_s1", pa.int64()), ("_s2", pa.int64()), ("_n", pa.int64()), ("_sig", pa.list_(pa.int64())), ("_odd", pa.binary())] if order is not None else []
 
     def run(batches):
         known: dict = {}
@@ -121,13 +142,13 @@ def with_fingerprint(df: DataFrame, width: int = 3, order: tuple | None = None)
                     h = shingle_hashes(t, known)
                     raw = h.tobytes()
                     two = [int(np.uint64(xxhash.xxh64_intdigest(raw, k)).view(np.int64)) for k in (1, 2)]
-                    got.append((*two, len(h), prefix(h, often, rank)))
+                    got.append((*two, len(h), prefix(h, often, rank), odd_bits(h)))
                 new += [pa.array([g[i] for g in got], ty) for i, (_, ty) in enumerate(more)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new], [*names, "_fp", *[c for c, _ in more]])
 
     schema = df.select(*[F.col(f"`{c}`") for c in names]).schema.add("_fp", "long")
     for c, _ in more:
-        schema = schema.add(c, ArrayType(LongType()) if c == "_sig" else LongType())
+        schema = schema.add(c, {"_sig": ArrayType(LongType()), "_odd": BinaryType()}.get(c, LongType()))
     return df.mapInArrow(run, schema)
 
 
@@ -188,10 +209,10 @@ def may_agree(n, i, m, j):
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
 
-def met(live: DataFrame, roots: DataFrame | None, step: int) -> DataFrame:
+def met(live: DataFrame, roots: DataFrame | None, step: int, made: list | None = None) -> DataFrame:
     """Shared shingles and the components so far (``node``, ``root``) -> pairs ``a``, ``b`` of texts of different
     components that may agree. Step 1: each text with the one that has the shingle earliest; 2: the texts outside that
-    one's component with the earliest of themselves; 3: these with all others."""
+    one's component with the earliest of themselves; 3: these with all others. ``made`` gets the table that is written."""
     rows = live.withColumn("comp", F.col("id"))
     if roots is not None:
         named = hot_join(live, roots.select(F.col("node").alias("id"), "root"), "id", "h")
@@ -205,8 +226,10 @@ def met(live: DataFrame, roots: DataFrame | None, step: int) -> DataFrame:
         found = rest.select("id", "n", "pos", F.col("lead.id").alias("id_"), F.col("lead.n").alias("n_"), F.col("lead.pos").alias("pos_"))
     else:
         other = rows.select("h", *[F.col(c).alias(c + "_") for c in ("id", "n", "pos", "comp")])
-        both = written(rest.select("h", "id", "n", "pos", "comp", F.col("lead.comp").alias("main"))).join(other, "h")
-        found = both.filter((F.col("comp") != F.col("comp_")) & ((F.col("comp_") == F.col("main")) | (F.col("id") < F.col("id_"))))
+        few = written(rest.select("h", "id", "n", "pos", "comp", F.col("lead.comp").alias("main")))
+        if made is not None:
+            made.append(few)
+        found = few.join(other, "h").filter((F.col("comp") != F.col("comp_")) & ((F.col("comp_") == F.col("main")) | (F.col("id") < F.col("id_"))))
     found = found.filter(may_agree(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_")))
     return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
@@ -230,28 +253,74 @@ def similar(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def not_too_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` without those whose `odd_bits` differ in too many bits for texts that agree to 0.8."""
+    def run(batches):
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("na", "nb", "oa", "ob"))
+            ok = [9 * bits_apart(x, y) <= n + m for n, m, x, y in zip(*cols)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    t = lambda x: nodes.select(F.col("_row").alias(x), F.col("_n").alias("n" + x), F.col("_odd").alias("o" + x))
+    return pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(run, "a long, b long")
+
+
+ROW = ["_none", "_doc", "_k1", "_k2"]
+
+
+def texts_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``_row``, ``t`` of the texts in ``pairs`` (not empty). A bit table (16 MB at most) of their keys leaves most others
+    out before the shuffle. Runs jobs."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    wanted = written(nodes.select("_row", *ROW).join(ids, "_row"))
+    table = seed_tables(wanted.select(F.lit(0).alias("size"), F.lit(0).alias("cls"), F.col("_k1").alias("gram")))[0, 0]
+    shared = pairs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def asked(key: pd.Series) -> pd.Series:
+        bits, k = shared.value, key.to_numpy(np.int64)
+        return pd.Series(held(bits, first_place(k, len(bits) * 64)) & held(bits, second_place(k, len(bits) * 64)))
+
+    return written(texts.filter(asked("_k1")).join(wanted, ROW).select("_row", "t").dropDuplicates(["_row"]))
+
+
 def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows with ``_row`` (unique), ``_fp``, ``_k1``, ``_k2`` (the key of their text) and what `with_fingerprint` adds, and
-    texts with ``_k1``, ``_k2``, ``t`` -> links between fingerprints that connect all texts whose shingles agree to
-    ``SIMILARITY``. Texts of the same shingles are linked to the first of them, which alone goes on."""
-    first = F.min(F.struct("_row", "_fp", "_k1", "_k2", "_n", "_sig")).alias("n")
-    nodes = written(rows.groupBy("_s1", "_s2").agg(first).select("_s1", "_s2", "n.*"))
+    """Rows with ``_row`` (unique), ``_fp``, what `ROW` names (the document and the key of its text) and what
+    `with_fingerprint` adds, and texts with `ROW` and ``t`` -> links between fingerprints that connect all texts whose
+    shingles agree to ``SIMILARITY``. Texts of the same shingles are linked to the first of them, which alone goes on."""
+    spark = rows.sparkSession
+    first = F.min(F.struct("_row", "_fp", *ROW, "_n", "_sig", "_odd")).alias("n")
+    whole = written(rows.groupBy("_s1", "_s2").agg(first).select("_s1", "_s2", "n.*"))
+    forget(spark)
+    live = written(shared_shingles(whole))
+    nodes = written(whole.drop("_sig"))
+    forget(spark, whole)
     same = rows.select("_s1", "_s2", F.col("_fp").alias("b")).distinct().join(nodes.select("_s1", "_s2", F.col("_fp").alias("a")), ["_s1", "_s2"])
-    live = written(shared_shingles(nodes))
-    used = written(nodes.join(live.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi").select("_k1", "_k2", "_row"))
-    held = written(texts.join(used, ["_k1", "_k2"]).select("_row", "t").dropDuplicates(["_row"]))
-    t = lambda x: held.select(F.col("_row").alias(x), F.col("t").alias("t" + x))
     sure = tested = roots = None
+    made = [nodes, live]
     for step in (1, 2, 3):
-        pairs = met(live, roots, step)
+        pairs = met(live, roots, step, made)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        good = written(similar(pairs.join(t("a"), "a").join(t("b"), "b")))
+        good = written(not_too_far(pairs, nodes))
+        made += [pairs, good]
+        forget(spark)
+        if not good.isEmpty():
+            t = texts_of(good, nodes, texts)
+            forget(spark)
+            side = lambda x: t.select(F.col("_row").alias(x), F.col("t").alias("t" + x))  # noqa: E731, B023
+            good = written(similar(good.join(side("a"), "a").join(side("b"), "b")))
+            made.append(good)
+            forget(spark, t)
         sure = good if sure is None else sure.unionByName(good)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = written(connected(sure)) if step < 3 else None
+        if step < 3:
+            roots = written(connected(sure))
+            made.append(roots)
     fp = lambda x: nodes.select(F.col("_row").alias(x), F.col("_fp").alias("f" + x))
     named = sure.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    return named.unionByName(same.select("a", "b")).filter("a <> b").distinct()
+    out = written(named.unionByName(same.select("a", "b")).filter("a <> b").distinct())
+    forget(spark, *made)
+    return out
 
 
 def labelled(rows: DataFrame, first, more: DataFrame | None = None, dense: int = DENSE) -> DataFrame:
@@ -283,13 +352,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # Fingerprints are written without the texts; a row is known by its doc_id and the key of its text.
     slim = plain.select(own.isNull().alias("_none"), F.coalesce(own.cast("long"), F.lit(0)).alias("_doc"), "_k1", "_k2", text.cast("binary").alias("_bytes"))
     rows = written(with_fingerprint(slim.withColumn("_row", F.monotonically_increasing_id()), order=frequent_shingles(slim)))
-    more = near_links(rows, plain.select("_k1", "_k2", text.cast("binary").alias("t")))
-    row = ["_none", "_doc", "_k1", "_k2"]
-    chosen = labelled(rows.select("_fp", *row), F.struct(*row), more).select("_first.*").distinct()
-    often = rows.groupBy(*row).agg(F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("_often", F.lit(True))
-    chosen = written(chosen.join(often, row, "left").withColumn("_often", F.coalesce("_often", F.lit(False))))
+    forget(docs.sparkSession)
     named = plain.select("*", own.isNull().alias("_none"), F.coalesce(own.cast("long"), F.lit(0)).alias("_doc"))
-    kept = named.join(chosen, row)
+    more = near_links(rows, named.select(*ROW, text.cast("binary").alias("t")))
+    chosen = labelled(rows.select("_fp", *ROW), F.struct(*ROW), more).select("_first.*").distinct()
+    often = rows.groupBy(*ROW).agg(F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("_often", F.lit(True))
+    chosen = written(chosen.join(often, ROW, "left").withColumn("_often", F.coalesce("_often", F.lit(False))))
+    forget(docs.sparkSession, rows, more)
+    kept = named.join(chosen, ROW)
     # Of rows that repeat id and text, one stays; only those are compared once more.
-    kept = kept.filter("not _often").unionByName(kept.filter("_often").dropDuplicates(row))
+    kept = kept.filter("not _often").unionByName(kept.filter("_often").dropDuplicates(ROW))
     return kept.select(*[F.col(c).alias(n) for n, c in at.items()])

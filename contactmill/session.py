@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,3 +55,17 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete ``tables``, which `written` made and nothing reads any more (others stay), and have the shuffle files of ended
+    queries removed: Spark removes those once the driver's JVM has collected their plans, which on a long job is late."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in tables:
+        # All files of such a table are in one folder.
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+            if folder.getName().startswith("written-"):
+                folder.getFileSystem(conf).delete(folder, True)
+    gc.collect()
+    jvm.System.gc()

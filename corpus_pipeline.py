@@ -7,7 +7,7 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 from __future__ import annotations
 
 from contactmill.llm import decontaminate, mixing, pii, simhash, toxicity
-from contactmill.llm.common import table, written
+from contactmill.llm.common import forget, table, written
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs)
+            if i:
+                forget(spark, before)
     return docs

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -271,6 +272,37 @@ def test_large_group_of_near_copies_by_few_pairs(spark):
     assert live.filter("n <= 0").count() == 0 and simhash.met(live, None, 1).count() <= 12 * len(texts)
 
 
+def test_bits_never_tell_agreeing_texts_apart():
+    """Bits that differ are at most the shingles that differ, whatever the lengths; texts without common shingles differ in many."""
+    rng = np.random.default_rng(24)
+    for n in (1, 3, 40, 63, 64, 65, 500, 3000, 70_000):
+        h = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+        for drop, add in ((0, 0), (n // 9, n // 9), (n // 5, 0), (0, n // 4), (n // 2, n)):
+            other = np.unique(np.concatenate([h[drop:], rng.integers(-2**63, 2**63 - 1, add)]))
+            assert simhash.bits_apart(simhash.odd_bits(h), simhash.odd_bits(other)) <= len(np.setxor1d(h, other))
+        far = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+        assert n < 40 or 9 * simhash.bits_apart(simhash.odd_bits(h), simhash.odd_bits(far)) > len(h) + len(far)
+
+
+def test_filter_reads_only_texts_that_may_agree_and_leaves_one_table(spark, monkeypatch, tmp_path):
+    """Texts with a common beginning meet but do not agree: their texts are not read again. Tables of a step are gone after it."""
+    rng = random.Random(25)
+    base = changed(rng, [], 0, 24)
+    texts = [" ".join(base + changed(rng, [], 0, 120)) for _ in range(60)]
+    texts += [t + " more words" for t in texts[:3]] + [None, "", texts[5], texts[5]]
+    monkeypatch.setattr("contactmill.session.ensure_checkpoint_dir", lambda _: str(tmp_path))
+    read, plain = [], simhash.texts_of
+    monkeypatch.setattr(simhash, "texts_of", lambda *a: read.append(plain(*a)) or read[-1])
+    seen: list = []
+    monkeypatch.setattr(simhash, "similar", lambda pairs, f=simhash.similar: seen.append(read[-1].count()) or f(pairs))
+    got = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    left = {c for folder in tmp_path.glob("written-*") for f in folder.glob("*.parquet") for c in pq.read_schema(f).names}
+    assert "_often" in left and not left & {"_sig", "_odd", "pos", "t"}
+    kept = {r["doc_id"] for r in got.collect()}
+    want = similar_components([t or "" for t in texts])
+    assert kept == set(want) and sum(seen) <= 12
+
+
 def test_dense_halves_lose_no_link(spark):
     rng = random.Random(8)
     base = rng.getrandbits(64)
