@@ -57,6 +57,40 @@ def test_dense_random_names_meet_on_classes_and_find_every_pair(spark):
     assert got == {(a, b): ratio(a, b) for a in names for b in names if a < b and ratio(a, b) >= 85} and len(got) > 300
 
 
+def test_prefixes_with_their_tails_give_every_rest():
+    from contactmill.operators import match as M
+    rng = random.Random(12)
+    for _ in range(300):
+        part, j, most = "".join(rng.choice("abcx") for _ in range(rng.randint(0, 9))), rng.randint(1, 4), rng.randint(0, 3)
+        got = {(skip + out, prefix.rstrip("\0") + rest) for prefix, skip, tail in M._prefixes(part, j, most)
+               for out, rest in M._shortened(tail, min(most - skip, len(tail)) if tail else 0)}
+        assert got == {(out, rest) for out, rest in M._shortened(part, min(most, len(part)))}
+        split = [p for n in range(3) for p in M._prefixes(part, j, most, lambda c, n=n: ord(c) % 3 == n)]
+        assert sorted(split) == sorted(M._prefixes(part, j, most))
+
+
+def test_names_go_to_few_buckets_in_rounds(spark, monkeypatch):
+    """Each rest of a name was a row, some 400 for one of 20 letters, all at once."""
+    from contactmill.operators import match as M
+    from test_groups import ratio
+    rng, names = random.Random(13), set()
+    for _ in range(25):
+        base = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(18, 22)))
+        names |= {base, base + "xxxxxx", base[2:], base[:6] + "g" + base[7:], base[::-1]}
+    names = sorted(names)
+    want = {(a, b): ratio(a, b) for a in names for b in names if a < b and ratio(a, b) >= 85}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    sent, plain, met = [], M._in_buckets, M._met
+    monkeypatch.setattr(M, "_in_buckets", lambda rows, t: sent.append(rows.count()) or plain(rows, t))
+    monkeypatch.setattr(M, "BUCKET", 60)
+    assert {(r.a, r.b): r.percent for r in M.similar_names(df, 85, 1).collect()} == want and len(want) > 80
+    assert len(sent) == 1 and 0 < sent[0] <= 120 * len(names)
+    monkeypatch.setattr(M, "ROUND", sent[0] // 3)
+    monkeypatch.setattr(M, "CHUNK", 7)
+    monkeypatch.setattr(M, "_met", lambda rows, t: met(rows, t, 500))
+    assert {(r.a, r.b): r.percent for r in M.similar_names(df, 85, 1).collect()} == want and len(sent) > 2
+
+
 def test_addresses_meet_within_their_house_number_and_with_those_without_one(spark):
     from contactmill.operators import match as M
     df = spark.createDataFrame([(a,) for a in ("12 Main Street", "12 Main St.", "12 main streets", "13 Main Street", "Main Streets", "main strets", None, " ")], "address string")
